@@ -28,4 +28,4 @@ def load_all() -> None:
         importlib.import_module(f"feedloom.plans.{mod}")
 
 
-MODULES = ["q_feeds", "q_functions"]
+MODULES = ["q_feeds", "q_functions", "q_memo"]
