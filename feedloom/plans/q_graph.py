@@ -13,7 +13,10 @@ from feedloom.session import table
 BFS_START = "s1"
 
 
-def lineitem_graph(spark, sf) -> G.Graph:
+def lineitem_graph(spark, sf, with_ids: bool = False) -> G.Graph:
+    """Suppliers and parts linked by order lines. Lines have no unique key,
+    so edge ids (when asked for) are dense ranks in a total order of the
+    edge columns; identical lines are interchangeable."""
     s = table(spark, sf, "supplier").select(
         F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("supplier").alias("label"),
         F.create_map(F.lit("name"), F.col("s_name"), F.lit("nation"), F.col("s_nationkey").cast("string")).alias("properties"))
@@ -21,18 +24,23 @@ def lineitem_graph(spark, sf) -> G.Graph:
         F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.lit("part").alias("label"),
         F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type")).alias("properties"))
     e = table(spark, sf, "lineitem").select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("edge_id"),
+        "l_orderkey", "l_linenumber",
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"),
         F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"),
         F.col("l_returnflag").alias("label"))
-    return G.Graph(s.unionByName(p), e)
+    if with_ids:
+        order = [F.col(c).asc() for c in ("l_orderkey", "l_linenumber", "src", "dst", "label")]
+        e = G.append_edges(None, e, order)
+    return G.Graph(s.unionByName(p), e.drop("l_orderkey", "l_linenumber"))
 
 
 LINEITEM_GRAPH_SQL = """
 nodes AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) AS id, 'supplier' AS label, 2 AS n_props FROM supplier
           UNION ALL SELECT 'p' || CAST(p_partkey AS VARCHAR), 'part', 2 FROM part),
-edges AS (SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS edge_id, 's' || CAST(l_suppkey AS VARCHAR) AS src,
-                 'p' || CAST(l_partkey AS VARCHAR) AS dst, l_returnflag AS label FROM lineitem),
+edges AS (SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, 's' || CAST(l_suppkey AS VARCHAR),
+                   'p' || CAST(l_partkey AS VARCHAR), l_returnflag) - 1 AS BIGINT) AS edge_id,
+                 's' || CAST(l_suppkey AS VARCHAR) AS src, 'p' || CAST(l_partkey AS VARCHAR) AS dst,
+                 l_returnflag AS label FROM lineitem),
 und AS (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges))"""
 
 
@@ -136,7 +144,7 @@ SELECT 'node' AS kind, id AS key, label, CAST(n_props AS INTEGER) AS n_props, NU
 UNION ALL
 SELECT 'edge', CAST(edge_id AS VARCHAR), label, NULL, src, dst FROM edges""")
 def graph_snapshot(spark, sf):
-    g = G.snapshot(lineitem_graph(spark, sf))
+    g = G.snapshot(lineitem_graph(spark, sf, with_ids=True))
     n = g.nodes.select(F.lit("node").alias("kind"), F.col("id").alias("key"), "label",
                        F.size("properties").alias("n_props"), F.lit(None).cast("string").alias("src"),
                        F.lit(None).cast("string").alias("dst"))
