@@ -20,6 +20,13 @@ channel struct<
 _corrupt_record string
 """
 
+# One RSS <item> on its own (the XML reader with rowTag=item).
+RSS_ITEM_DDL = ("title string, description string, pubDate string, "
+                "guid struct<_VALUE: string, _isPermaLink: string>, category array<string>, "
+                "enclosure array<struct<_url: string, _type: string, _length: string>>, "
+                "`itunes:duration` string, `itunes:explicit` string, `itunes:author` string, "
+                "`dc:creator` array<string>")
+
 # Atom 1.0: enclosures are <link rel="enclosure" href=...>.
 ATOM_SCHEMA = """
 title string, subtitle string,

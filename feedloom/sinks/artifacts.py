@@ -55,7 +55,9 @@ def append_batch(df: DataFrame, path: str) -> int:
     spark = df.sparkSession
     batches = committed_batches(spark, path)
     n = (batches[-1][0] + 1) if batches else 0
-    df.write.mode("errorifexists").parquet(f"{path.rstrip('/')}/batch={n}")
+    # An uncommitted directory (no _SUCCESS) is invisible to readers, so a
+    # retried write may replace it.
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={n}")
     return n
 
 
@@ -160,12 +162,15 @@ def read_artifacts(spark: SparkSession, path: str, glob: str | None = None) -> D
 
     Works for plain per-file folders and for ``export_files`` layouts, where
     the artifact name is the partition directory."""
-    r = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-    raw = r.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    r = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true")
+    raw = r.load(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     dir_name = F.regexp_extract("path", r"name=([^/]+)/[^/]+$", 1)
     file_name = F.regexp_extract("path", r"([^/]+)$", 1)
     name = F.when(dir_name != "", F.url_decode(dir_name)).otherwise(file_name)
-    out = raw.select(name.alias("name"), "path", "text")
+    # Spark's text writer ends every row with one line separator.
+    text = F.when((dir_name != "") & F.col("text").endswith("\n"),
+                  F.col("text").substr(F.lit(1), F.length("text") - 1)).otherwise(F.col("text"))
+    out = raw.select(name.alias("name"), "path", text.alias("text"))
     if glob:
         like = glob.replace("%", "\\%").replace("_", "\\_").replace("*", "%").replace("?", "_")
         out = out.where(F.col("name").like(like))
@@ -176,6 +181,6 @@ def read_artifacts(spark: SparkSession, path: str, glob: str | None = None) -> D
 
 def read_scheme(spark: SparkSession, path: str) -> DataFrame:
     """(scheme_json, scheme_id): whole file text; id = base name without extension."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.format("text").option("wholetext", "true").load(path)
     return raw.select(F.col("value").alias("scheme_json"),
                       F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("scheme_id"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.dates import parse_pub_date
 from feedloom.functions.strings import empty_to_null, trim_ws
-from feedloom.schemas import ATOM_SCHEMA, JSON_FEED_SCHEMA, RSS_SCHEMA
+from feedloom.schemas import ATOM_SCHEMA, JSON_FEED_SCHEMA, RSS_ITEM_DDL, RSS_SCHEMA
 
 XML_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 INVALID_FEED = "invalid feed XML"
@@ -162,22 +162,24 @@ def read_feeds(feeds: DataFrame, xml_col: str = "xml", url_col: str = "feed_url"
 
 
 def read_feed_files(spark: SparkSession, path: str, dialect: str = "rss",
-                    glob: str | None = None) -> FeedTables:
+                    glob: str | None = None, recursive: bool = False) -> FeedTables:
     """One feed per file; the file path is the feed URL."""
     r = spark.read.option("wholetext", "true")
+    if recursive:
+        r = r.option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    raw = r.text(path).select(F.col("_metadata.file_path").alias("feed_url"),
-                              F.col("value").alias("xml"))
+    raw = r.format("text").load(path).select(F.col("_metadata.file_path").alias("feed_url"),
+                                             F.col("value").alias("xml"))
     return read_feeds(raw, dialect=dialect)
 
 
 def read_feed_items(spark: SparkSession, path: str) -> DataFrame:
     """S2 for very large single feeds: the XML reader splits by ``<item>``."""
-    item_schema = RSS_SCHEMA.split("item array<struct<", 1)[1].rsplit(">>>>", 1)[0]
-    return (spark.read.format("xml").option("rowTag", "item")
-            .schema(item_schema + ", _corrupt_record string")
+    return (spark.read.format("xml").option("rowTag", "item").option("recursiveFileLookup", "true")
+            .schema(RSS_ITEM_DDL + ", _corrupt_record string")
             .option("columnNameOfCorruptRecord", "_corrupt_record").load(path)
+            .where(F.col("_corrupt_record").isNull())
             .select(F.col("_metadata.file_path").alias("feed_url"),
                     _s(F.col("guid._VALUE")).alias("id"), _s(F.col("title")).alias("title"),
                     _s(F.get(F.col("enclosure"), 0)["_url"]).alias("audio_url"),
