@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.strings import trim_ws
 from feedloom.operators.ordered import row_rank, running_sum
+from feedloom.session import cut_lineage
 
 # Fixed values that must equal the reference's for identical results.
 LINE_PATTERN = r"^(Benchmark\S+?/\S+?)(?:-\d+)?\s+\d+\s+([\d.]+)\s+ns/op"
-STRICT_LINE_PATTERN = r"^(Benchmark\S+/\S+?)(?:-\d+)?\s+\d+\s+([\d.]+)\s+ns/op"
 PERCENTILES = (0.5, 0.95, 0.99)
 KS_TERMS = 99
 EFFECT_BANDS = ((0.2, "negligible"), (0.5, "small"), (0.8, "medium"))
@@ -38,9 +38,10 @@ def parse_benchmark_lines(lines: DataFrame, line_col: str = "line", strip_procs:
     pat = LINE_PATTERN if strip_procs else r"^(Benchmark\S+/\S+)\s+\d+\s+([\d.]+)\s+ns/op"
     s = trim_ws(F.col(line_col))
     keep = [c for c in lines.columns if c != line_col]
-    return (lines.where(s.rlike(pat))
-            .select(*keep, F.regexp_extract(s, pat, 1).alias("variant"),
-                    F.regexp_extract(s, pat, 2).cast("double").alias("ns_per_op")))
+    # A match always has a non-empty first group, so '' marks "no match".
+    return (lines.select(*keep, F.regexp_extract(s, pat, 1).alias("variant"), s.alias("_s"))
+            .where(F.col("variant") != "")
+            .select(*keep, "variant", F.regexp_extract("_s", pat, 2).cast("double").alias("ns_per_op")))
 
 
 def read_benchmark_log(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
@@ -84,6 +85,9 @@ def summary(samples: DataFrame, groups: Sequence[str] = ("run", "variant"),
             value: str = "ns_per_op") -> DataFrame:
     """B1: n, min, max, mean, sample std (0 when n = 1), p50, p95, p99."""
     groups = list(groups)
+    # Read by three jobs (moments, counts, ranks): materialise the two
+    # needed columns once instead of recomputing the upstream each time.
+    samples = cut_lineage(samples.select(*groups, value))
     basic = samples.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"),
         F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"))
@@ -136,6 +140,9 @@ def compare(base: DataFrame, exp: DataFrame, value: str = "ns_per_op") -> DataFr
     """Per variant present in both runs: means, delta %, Cohen's d
     (base - exp over the unweighted pooled sd; 0 when either n < 2 or the
     pooled sd is 0), magnitude, KS D, p-value and confidence band."""
+    base = cut_lineage(base.select("variant", value))
+    exp = cut_lineage(exp.select("variant", value))
+
     def stats(df, tag):
         return df.groupBy("variant").agg(F.count(F.lit(1)).alias(f"n_{tag}"), F.avg(value).alias(f"mean_{tag}"),
                                          F.var_samp(value).alias(f"var_{tag}"))

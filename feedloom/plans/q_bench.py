@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.operators import benchstats as B
 from feedloom.plans.registry import register
-from feedloom.session import table
+from feedloom.session import cut_lineage, table
 
 
 def bench_lines(spark, sf):
@@ -89,7 +89,7 @@ SELECT variant, CAST(n_base AS BIGINT) AS n_base, CAST(n_exp AS BIGINT) AS n_exp
        ELSE 'not significant' END AS confidence
 FROM p""")
 def bench_compare(spark, sf):
-    s = bench_samples_df(spark, sf)
+    s = cut_lineage(bench_samples_df(spark, sf))
     c = B.compare(s.where(F.col("run") == "base"), s.where(F.col("run") == "exp"))
     return c.select("variant", F.col("n_base").cast("bigint"), F.col("n_exp").cast("bigint"),
                     *[F.round(x, 6).alias(x) for x in ("mean_base", "mean_exp", "delta_pct", "cohens_d")],

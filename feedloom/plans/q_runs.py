@@ -17,7 +17,7 @@ from feedloom.plans.fixtures import feeds_from_documents
 from feedloom.plans.flow import DocumentFlow, read_documents, row_transform
 from feedloom.plans.q_feeds import DOC_FIELDS_SQL, _episodes
 from feedloom.plans.registry import register
-from feedloom.session import scratch_path, table
+from feedloom.session import cut_lineage, scratch_path, table
 from feedloom.sinks import artifacts as K
 from feedloom.sources.feeds import read_feed_files, read_feed_items
 from feedloom.streaming.feeds import read_episode_table, stream_feeds
@@ -49,6 +49,7 @@ def _valid_episodes(spark, sf):
 
 def _enriched(spark, sf):
     t, _ = transcribe(_valid_episodes(spark, sf), fake_asr, row_fn=True)
+    t = cut_lineage(t)      # external calls run once, whatever reads them later
     x, _ = extract(t.where(F.col("transcript_status") != "error"), fake_model, row_fn=True)
     return t, x
 

@@ -153,8 +153,15 @@ def emit(df: DataFrame, sinks: Iterable[Callable[[DataFrame], object]]) -> list:
 # --- file exports and S5 / S8 readers ----------------------------------------------------------
 
 def export_files(df: DataFrame, path: str, name_col: str = "name", text_col: str = "text") -> None:
-    """One text output per name (``<path>/name=<name>/part-*``)."""
-    df.select(name_col, text_col).write.mode("append").partitionBy(name_col).text(path)
+    """One text output per name (``<path>/name=<name>/part-*``).
+
+    Rows are hash-partitioned by name first, so each name is written by one
+    task (one file) and the many small files are spread over all tasks.
+    This is the reference's file-per-episode layout, for interchange; it is
+    bound by file-system metadata operations, and the batch tables above
+    are the primary sink."""
+    (df.select(name_col, text_col).repartition(name_col)
+     .write.mode("append").partitionBy(name_col).text(path))
 
 
 def read_artifacts(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

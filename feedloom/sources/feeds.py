@@ -52,9 +52,8 @@ def parse_feeds(feeds: DataFrame, xml_col: str = "xml", url_col: str = "feed_url
 def _ok(dialect: str) -> Column:
     if dialect == "rss":
         return F.col("doc.channel").isNotNull()
-    if dialect == "atom":
-        return F.col("doc").isNotNull() & F.col("doc._corrupt_record").isNull()
-    return F.col("doc").isNotNull()
+    # atom and json: a malformed document keeps its text in _corrupt_record
+    return F.col("doc").isNotNull() & F.col("doc._corrupt_record").isNull()
 
 
 def podcasts(parsed: DataFrame, dialect: str = "rss") -> DataFrame:
