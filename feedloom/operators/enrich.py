@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from feedloom.functions import jsonfn as J
 from feedloom.functions import strings as S
 from feedloom.operators import memo as M
+from feedloom.session import ship_package
 
 BatchFn = Callable[[pd.Series], pd.Series]
 RowFn = Callable[[str], str]
@@ -76,6 +77,7 @@ def enrich(df: DataFrame, fn: BatchFn | RowFn, request_col: str = "request",
             out[error_col] = errors
             yield out
 
+    ship_package(df.sparkSession)
     src = df.repartition(max_parallel) if max_parallel else df
     return src.mapInPandas(run, schema)
 

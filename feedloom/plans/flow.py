@@ -17,7 +17,7 @@ from feedloom.operators import memo as M
 from feedloom.operators import status as R
 from feedloom.operators.enrich import extract, transcribe
 from feedloom.operators.validate import limit_per_feed, with_reject_reason
-from feedloom.session import cut_lineage
+from feedloom.session import cut_lineage, ship_package
 from feedloom.sinks import artifacts as K
 from feedloom.functions.strings import DEFAULT_ENDPOINT, DEFAULT_MODEL
 
@@ -141,6 +141,7 @@ def row_transform(fn: Callable[[dict], dict], schema: str | T.StructType | None
                         r["_error"] = f"{type(e).__name__}: {e}"
                     rows.append({n: r.get(n) for n in names})
                 yield pd.DataFrame(rows, columns=names)
+        ship_package(df.sparkSession)
         return df.mapInPandas(run, out_schema)
     return apply
 
@@ -185,4 +186,5 @@ def register_stage(spark: SparkSession, name: str, fn: Callable[[str], str]) ->
     @F.pandas_udf(T.StringType())
     def stage(requests: pd.Series) -> pd.Series:
         return requests.map(fn)
+    ship_package(spark)
     spark.udf.register(name, stage)
