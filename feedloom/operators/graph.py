@@ -79,9 +79,10 @@ def append_edges(edges: DataFrame | None, new: DataFrame, order: list[Column] |
 def undirected(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Distinct (a, b) pairs for every edge in both directions. With
     ``nodes``, pairs whose far end is not a node (dangling) are dropped."""
-    u = (edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-         .unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")))
-         .distinct())
+    # one scan of the edge table emits both directions
+    both = F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")),
+                   F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))
+    u = edges.select(F.inline(both)).distinct()
     if nodes is not None:
         u = u.join(nodes.select(F.col("id").alias("b")), "b", "left_semi")
     return u

@@ -11,7 +11,7 @@ from feedloom.operators.validate import download_plan, limit_per_feed, with_reje
 from feedloom.plans.fixtures import feeds_from_documents
 from feedloom.plans.registry import register
 from feedloom.session import table
-from feedloom.sources.feeds import read_feeds
+from feedloom.sources.feeds import episodes, parse_feeds, read_feeds
 
 # Oracle side of ``doc_item_fields``: the same rules in DuckDB SQL.
 DOC_FIELDS_SQL = """
@@ -138,20 +138,20 @@ SELECT feed_url, 'Feed ' || any_value(source) || ' #' || CAST(any_value(block) A
 FROM episodes GROUP BY feed_url
 """)
 def feed_catalog(spark, sf):
-    """Flagship: feed -> parse -> validate -> per-podcast catalogue."""
-    ft = _feed_tables(spark, sf)
-    tagged = with_reject_reason(ft.episodes, "strict")
+    """Flagship: feed -> parse -> validate -> per-podcast catalogue, from a
+    single parse (the podcast title travels with its items)."""
+    parsed = parse_feeds(feeds_from_documents(_docs(spark, sf)))
+    tagged = with_reject_reason(episodes(parsed, podcast_title=True), "strict")
     valid = F.col("reject_reason").isNull()
     agg = tagged.groupBy("feed_url").agg(
+        F.first("podcast_title").alias("title"),
         F.count(F.lit(1)).alias("n_items"),
         F.count(F.when(valid, 1)).alias("n_valid"),
         F.count(F.when(~valid, 1)).alias("n_rejected"),
         F.sum(F.when(valid, duration_seconds())).alias("valid_seconds"),
         F.count(F.when(F.col("explicit"), 1)).alias("n_explicit"))
-    return (ft.podcasts.select("feed_url", "title").join(agg, "feed_url", "inner")
-            .select("feed_url", "title", F.col("n_items").cast("bigint"), F.col("n_valid").cast("bigint"),
-                    F.col("n_rejected").cast("bigint"), F.col("valid_seconds").cast("bigint"),
-                    F.col("n_explicit").cast("bigint")))
+    return agg.select("feed_url", "title", *[F.col(c).cast("bigint") for c in
+                                             ("n_items", "n_valid", "n_rejected", "valid_seconds", "n_explicit")])
 
 
 @register("episodes_strict", f"WITH {DOC_FIELDS_SQL.strip()}\nSELECT {EPISODE_SQL_COLS} FROM episodes WHERE strict_reason IS NULL")

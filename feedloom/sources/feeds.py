@@ -80,13 +80,16 @@ def podcasts(parsed: DataFrame, dialect: str = "rss") -> DataFrame:
                     F.array().cast("array<string>").alias("categories"))
 
 
-def episodes(parsed: DataFrame, dialect: str = "rss") -> DataFrame:
+def episodes(parsed: DataFrame, dialect: str = "rss", podcast_title: bool = False) -> DataFrame:
     """One row per item, in feed order (``position`` from 0). Absent values
     are '' like the reference's zero values; ``enclosures`` counts the
-    enclosures for the lenient policy."""
+    enclosures for the lenient policy. ``podcast_title`` carries the feed's
+    title along, so per-podcast reports need no second parse and join."""
+    title = F.col("doc.channel.title") if dialect == "rss" else F.col("doc.title")
+    parsed = parsed.withColumn("podcast_title", _s(title))
     if dialect == "rss":
         items = parsed.where(_ok(dialect)).select(
-            "feed_url", F.posexplode(F.col("doc.channel.item")).alias("position", "it"))
+            "feed_url", "podcast_title", F.posexplode(F.col("doc.channel.item")).alias("position", "it"))
         it = F.col("it")
         pub = _s(it["pubDate"])
         cols = [
@@ -105,7 +108,7 @@ def episodes(parsed: DataFrame, dialect: str = "rss") -> DataFrame:
         ]
     elif dialect == "atom":
         items = parsed.where(_ok(dialect)).select(
-            "feed_url", F.posexplode(F.col("doc.entry")).alias("position", "it"))
+            "feed_url", "podcast_title", F.posexplode(F.col("doc.entry")).alias("position", "it"))
         it = F.col("it")
         encl = F.filter(it["link"], lambda l: l["_rel"] == "enclosure")
         pub = F.coalesce(empty_to_null(it["published"]), _s(it["updated"]))
@@ -124,7 +127,7 @@ def episodes(parsed: DataFrame, dialect: str = "rss") -> DataFrame:
         ]
     else:
         items = parsed.where(_ok(dialect)).select(
-            "feed_url", F.posexplode(F.col("doc.items")).alias("position", "it"))
+            "feed_url", "podcast_title", F.posexplode(F.col("doc.items")).alias("position", "it"))
         it = F.col("it")
         pub = _s(it["date_published"])
         cols = [
@@ -139,7 +142,8 @@ def episodes(parsed: DataFrame, dialect: str = "rss") -> DataFrame:
             F.lit("").alias("transcript"),
             F.coalesce(F.size(it["attachments"]), F.lit(0)).alias("enclosures"),
         ]
-    return items.select("feed_url", "position", *cols)
+    extra = ["podcast_title"] if podcast_title else []
+    return items.select("feed_url", *extra, "position", *cols)
 
 
 def feed_errors(parsed: DataFrame, dialect: str = "rss") -> DataFrame:
