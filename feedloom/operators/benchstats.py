@@ -19,6 +19,7 @@ from feedloom.session import cut_lineage
 
 # Fixed values that must equal the reference's for identical results.
 LINE_PATTERN = r"^(Benchmark\S+?/\S+?)(?:-\d+)?\s+\d+\s+([\d.]+)\s+ns/op"
+NAME_PATTERN = r"^(Benchmark\S+?/\S+?)(?:-\d+)?$"     # LINE_PATTERN's name part, per token
 PERCENTILES = (0.5, 0.95, 0.99)
 KS_TERMS = 99
 EFFECT_BANDS = ((0.2, "negligible"), (0.5, "small"), (0.8, "medium"))
@@ -35,13 +36,19 @@ def parse_benchmark_lines(lines: DataFrame, line_col: str = "line", strip_procs:
     The default pattern is the reference's (it also strips ``-100`` from a
     name ending in ``scale-100`` when the log has no proc suffix);
     ``strip_procs=False`` keeps the whole name."""
-    pat = LINE_PATTERN if strip_procs else r"^(Benchmark\S+/\S+)\s+\d+\s+([\d.]+)\s+ns/op"
+    # ``LINE_PATTERN`` anchored at the start cannot cross whitespace before
+    # the iteration count, so it is applied token-wise: the name rule to the
+    # first token only (no backtracking over the rest of the line), then
+    # plain checks on the count, the value and the unit.
+    name_pat = NAME_PATTERN if strip_procs else r"^(Benchmark\S+/\S+)$"
     s = trim_ws(F.col(line_col))
     keep = [c for c in lines.columns if c != line_col]
-    # A match always has a non-empty first group, so '' marks "no match".
-    return (lines.select(*keep, F.regexp_extract(s, pat, 1).alias("variant"), s.alias("_s"))
-            .where(F.col("variant") != "")
-            .select(*keep, "variant", F.regexp_extract("_s", pat, 2).cast("double").alias("ns_per_op")))
+    value = F.regexp_extract(s, r"^\S+\s+\d+\s+([\d.]+)\s+ns/op", 1)    # greedy, no backtracking
+    token = F.regexp_extract(s, r"^(\S+)", 1)
+    return (lines.select(*keep, value.alias("_v"), token.alias("_t")).where(F.col("_v") != "")
+            .select(*keep, F.regexp_extract("_t", name_pat, 1).alias("variant"),
+                    F.col("_v").cast("double").alias("ns_per_op"))
+            .where(F.col("variant") != ""))
 
 
 def read_benchmark_log(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
