@@ -142,3 +142,75 @@ def artifact_rows(df: DataFrame, key: str, kind: str, value: str, at: Column) ->
     return (df.where(F.col(key).isNotNull())
             .select(F.col(key).alias("key"), F.lit(kind).alias("kind"), F.col(value).alias("value"),
                     F.octet_length(value).cast("bigint").alias("size_bytes"), at.alias("last_used")))
+
+
+# --- M4 + M7: the store on shared storage -------------------------------------------------
+
+class MemoStore:
+    """A memo table kept under one folder: ``data/batch=<n>`` snapshots
+    (the latest committed one is current) and an append-only ``access``
+    log of reads. An unusable store turns memoisation off; a failed write
+    is reported and never fails the run."""
+
+    def __init__(self, spark, settings: StoreSettings):
+        self.spark = spark
+        self.settings = settings.resolved()
+        self.path = (self.settings.path or "").rstrip("/")
+        self.last_error: str | None = None
+
+    @property
+    def enabled(self) -> bool:
+        return bool(self.path)
+
+    def _latest(self):
+        from feedloom.sinks.artifacts import committed_batches
+        batches = committed_batches(self.spark, f"{self.path}/data")
+        return batches[-1][1] if batches else None
+
+    def load(self) -> DataFrame | None:
+        if not self.enabled:
+            return None
+        try:
+            latest = self._latest()
+            if latest is None:
+                return None
+            return self.spark.read.parquet(latest).select("key", "kind", "value", "size_bytes", "last_used")
+        except Exception as e:  # noqa: BLE001  (cannot open -> caching off)
+            self.last_error = f"{type(e).__name__}: {e}"
+            return None
+
+    def record_reads(self, keys: DataFrame) -> None:
+        """Append (key, accessed_at) for every recalled key (M4)."""
+        if not self.enabled:
+            return
+        from feedloom.sinks.artifacts import append_batch
+        try:
+            append_batch(keys.where(F.col("key").isNotNull())
+                         .select("key", F.current_timestamp().alias("accessed_at")), f"{self.path}/access")
+        except Exception as e:  # noqa: BLE001
+            self.last_error = f"{type(e).__name__}: {e}"
+
+    def save(self, new: DataFrame) -> DataFrame | None:
+        """Fold the unread part of the access log, put the new rows, evict to
+        the budget and commit the result as the next snapshot. Returns the
+        refused rows (values larger than the whole budget)."""
+        if not self.enabled:
+            return None
+        from feedloom.sinks.artifacts import append_batch, committed_batches
+        try:
+            cur = self.load()
+            access = committed_batches(self.spark, f"{self.path}/access")
+            if cur is not None:
+                snap = self.spark.read.parquet(self._latest())
+                # reads up to this access batch are already folded into the snapshot
+                upto = snap.agg(F.max("access_upto")).first()[0] if "access_upto" in snap.columns else None
+                fresh = [d for n, d in access if n > (-1 if upto is None else upto)]
+                if fresh:
+                    cur = memo_refresh(cur, self.spark.read.parquet(*fresh).select("key", "accessed_at"))
+            stored, refused = memo_put_bounded(cur, new, self.settings.max_bytes)
+            top = access[-1][0] if access else -1
+            append_batch(stored.withColumn("access_upto", F.lit(top)), f"{self.path}/data")
+            return refused
+        except Exception as e:  # noqa: BLE001  (the run already has its values)
+            self.last_error = f"{type(e).__name__}: {e}"
+            return None

@@ -63,11 +63,14 @@ def process_episodes(episodes: DataFrame, stages: dict[str, Callable], options:
     recomputation after a lost executor never repeats a call."""
     o = options or RunOptions()
     t0 = time.time()
+    store = M.MemoStore(episodes.sparkSession, o.store)
+    if artifacts is None and store.enabled:
+        artifacts = store.load()
     tagged = with_reject_reason(episodes, o.policy)
     rejected = tagged.where(F.col("reject_reason").isNotNull())
     valid = limit_per_feed(tagged.where(F.col("reject_reason").isNull()).drop("reject_reason"), o.limit)
 
-    transcribed, art_t = transcribe(valid, stages["transcribe"], artifacts, o.max_parallel)
+    transcribed, _ = transcribe(valid, stages["transcribe"], artifacts, o.max_parallel)
     transcribed = cut_lineage(transcribed)
     st_t = R.stage_status(transcribed, "transcribe", "transcript_status", "transcript_error")
     if o.fail_fast and not st_t.where(F.col("status") == "error").isEmpty():
@@ -76,9 +79,22 @@ def process_episodes(episodes: DataFrame, stages: dict[str, Callable], options:
     ready = transcribed.where(F.col("transcript_status") != "error")
     if o.output_dir:
         K.write_raw(ready, f"{o.output_dir}/raw")
-    extracted, art_e = extract(ready, stages["extract"], o.scheme, o.scheme_id, artifacts,
-                               o.max_parallel, o.model)
+    extracted, _ = extract(ready, stages["extract"], o.scheme, o.scheme_id, artifacts,
+                           o.max_parallel, o.model)
     extracted = cut_lineage(extracted)
+    # New artifacts come from the checkpointed outputs: reading them never
+    # repeats an external call.
+    now = F.current_timestamp()
+    new_artifacts = (
+        M.artifact_rows(transcribed.where(F.col("transcript_status") == "ok"), "transcript_key", "transcript",
+                        "transcript", now)
+        .unionByName(M.artifact_rows(extracted.where(F.col("entry_status") == "ok"), "entry_key", "entry",
+                                     "entry", now)))
+    if store.enabled:
+        store.record_reads(
+            transcribed.where(F.col("transcript_status") == "cache").select(F.col("transcript_key").alias("key"))
+            .unionByName(extracted.where(F.col("entry_status") == "cache").select(F.col("entry_key").alias("key"))))
+        store.save(new_artifacts)
     st_e = R.stage_status(extracted, "extract", "entry_status", "entry_error")
     if o.output_dir:
         good = extracted.where(F.col("entry_status").isin("ok", "cache", "malformed"))
@@ -96,7 +112,7 @@ def process_episodes(episodes: DataFrame, stages: dict[str, Callable], options:
         o.on_status(status)
     if o.raise_on_error:
         R.raise_on_error(status)
-    return RunResult(valid, transcribed, extracted, status, summary, art_t.unionByName(art_e))
+    return RunResult(valid, transcribed, extracted, status, summary, new_artifacts)
 
 
 # --- D1..D3 document pipeline -----------------------------------------------------------------

@@ -84,9 +84,12 @@ def ship_package(spark: SparkSession) -> None:
 
     Arrow-batch stages (``mapInPandas``, pandas UDFs) run library code in
     the workers; the package is zipped on the driver and distributed with
-    ``addPyFile`` so executors never depend on the driver's layout."""
+    ``addPyFile`` so executors never depend on the driver's layout. Only in
+    local mode: on a cluster the package is deployed with the job
+    (``--py-files`` or the executors' environment), and no machine-local
+    folder is used."""
     sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED or not _is_local(spark):
         return
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))

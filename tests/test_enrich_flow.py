@@ -128,3 +128,31 @@ def test_document_flow(spark):
         return d
     with pytest.raises(FlowError, match="document 2"):
         DocumentFlow(docs, [row_transform(boom)]).run()
+
+
+def test_store_cold_warm_renamed_and_other_scheme(spark, tmp_dir):
+    stages = {"transcribe": _row(asr), "extract": _row(model)}
+    store = M.StoreSettings(path=f"{tmp_dir}/cache", max_bytes=10 ** 9)
+    eps = episodes(spark).where("position in (0, 1)")
+
+    def statuses(res):
+        t = {r.position: r.transcript_status for r in res.transcripts.collect()}
+        x = {r.position: r.entry_status for r in res.entries.collect()}
+        return t, x
+
+    cold = process_episodes(eps, stages, RunOptions(store=store))
+    assert statuses(cold) == ({0: "ok", 1: "ok"}, {0: "ok", 1: "error"})
+    warm = process_episodes(eps, stages, RunOptions(store=store))
+    assert statuses(warm) == ({0: "cache", 1: "cache"}, {0: "cache", 1: "error"})    # errors are not cached
+    renamed = eps.withColumn("id", F.concat(F.lit("new-"), "id")).withColumn("title", F.lit("Zero again"))
+    t, _ = statuses(process_episodes(renamed, stages, RunOptions(store=store)))
+    assert t == {0: "cache", 1: "cache"}                                            # same URL, same keys
+    t, x = statuses(process_episodes(eps, stages, RunOptions(store=store, scheme='{"k": ""}', scheme_id="k")))
+    assert t == {0: "cache", 1: "cache"} and x[0] == "ok"                           # other scheme: extract again
+    tiny = M.StoreSettings(path=f"{tmp_dir}/tiny", max_bytes=40)
+    process_episodes(eps, stages, RunOptions(store=tiny))
+    t, _ = statuses(process_episodes(eps, stages, RunOptions(store=tiny)))
+    assert sorted(t.values()) == ["cache", "ok"]                                    # one evicted, recomputed
+    broken = M.StoreSettings(path="/proc/definitely/not/writable")
+    t, _ = statuses(process_episodes(eps, stages, RunOptions(store=broken)))        # caching off, run goes on
+    assert t == {0: "ok", 1: "ok"}
