@@ -121,10 +121,15 @@ def memo_evict(artifacts: DataFrame, max_bytes: int, num_partitions: int | None
 
     Evicting oldest-first until the total fits keeps exactly the rows whose
     newest-first running byte total is within the budget (zero-size rows
-    included). Ties on ``last_used`` evict the smaller key first."""
-    with_cum = running_sum(artifacts, [F.col("last_used").desc(), F.col("key").desc()],
+    included). Ties on ``last_used`` evict the smaller key first.
+
+    The ordered pass runs on (key, size, time) only; values move once, in
+    the semi join that keeps them."""
+    meta = artifacts.select("key", "size_bytes", "last_used")
+    with_cum = running_sum(meta, [F.col("last_used").desc(), F.col("key").desc()],
                            ["size_bytes"], num_partitions=num_partitions)
-    return with_cum.where(F.col("cum_size_bytes") <= max_bytes).drop("cum_size_bytes")
+    keep = with_cum.where(F.col("cum_size_bytes") <= max_bytes).select("key")
+    return artifacts.join(keep, "key", "left_semi")
 
 
 def memo_put_bounded(artifacts: DataFrame | None, new: DataFrame, max_bytes: int,

@@ -75,9 +75,10 @@ def test_properties_long_form_round_trip(spark):
     assert {r.id: r.properties for r in back.collect()} == {"a": {"k": "1"}, "b": {"k": "2"}, "c": {}}
 
 
-def test_bfs_matches_python_and_depth_one_is_neighbors(spark):
+@pytest.mark.parametrize("bucketed", [False, True])
+def test_bfs_matches_python_and_depth_one_is_neighbors(spark, bucketed):
     g = G.synthetic_graph(spark, 300, seed=7, edges_per_node=2)
-    got = {r.id: r.depth for r in G.bfs(g, "node-0").collect()}
+    got = {r.id: r.depth for r in G.bfs(g, "node-0", bucketed=bucketed).collect()}
     adj = {}
     for r in g.edges.collect():
         adj.setdefault(r.src, set()).add(r.dst)
@@ -109,3 +110,17 @@ def test_entities_to_graph(spark):
     assert sorted((r.id, r.label) for r in g.nodes.collect()) == [("Acme", "Organization"), ("Ann", "Person"), ("X", "Unknown")]
     e = g.edges.first()
     assert (e.src, e.dst, e.label, e.context, e.edge_id) == ("Ann", "Acme", "works_at", "since 2020", 0)
+
+
+def test_hot_node_is_salted_and_bfs_stays_exact(spark):
+    leaves = [f"l{i}" for i in range(400)]
+    nodes = [("hub", "H", None)] + [(x, "L", None) for x in leaves] + [("tail", "T", None)]
+    edges = [("hub", x, "r") for x in leaves] + [("l7", "tail", "r")]
+    g = graph(spark, nodes, edges)
+    und, hot, name = G.edge_view(g, num_partitions=4)
+    hot_rows = {r.a: r.k for r in hot.collect()}
+    assert "hub" in hot_rows and hot_rows["hub"] > 1 and len(hot_rows) < 4
+    assert und.where("a = 'hub'").select("salt").distinct().count() == hot_rows["hub"]
+    depth = {r.id: r.depth for r in G.bfs(g, "tail", bucketed=True).collect()}
+    assert depth["tail"] == 0 and depth["l7"] == 1 and depth["hub"] == 2 and depth["l8"] == 3
+    assert len(depth) == 402
