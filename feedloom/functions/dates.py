@@ -33,4 +33,9 @@ def parse_pub_date(x) -> Column:
 def normalize_pub_date(x) -> Column:
     """Parsed date in the fixed RFC-1123 layout, else the raw text ('' if none)."""
     ts = parse_pub_date(x)
-    return F.coalesce(F.date_format(ts, RFC1123_OUT), empty_to_null(x), F.lit(""))
+    return F.coalesce(F.date_format(utc_wall_clock(ts), RFC1123_OUT), empty_to_null(x), F.lit(""))
+
+
+def utc_wall_clock(ts) -> Column:
+    """Shift an instant so formatting in the session zone shows UTC time."""
+    return F.to_utc_timestamp(_c(ts), F.current_timezone())

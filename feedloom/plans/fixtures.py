@@ -35,7 +35,7 @@ def doc_item_fields(docs: DataFrame) -> DataFrame:
     """Per-document episode fields (the oracle recomputes the same rules)."""
     d = docs.select("doc_id", "text", "lang", "source", "n_chars")
     block = F.floor(F.col("doc_id") / FEED_BLOCK).cast("bigint")
-    ts = (F.lit("2024-01-01 00:00:00").cast("timestamp")
+    ts = (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")      # zone-free wall clock
           + F.make_dt_interval(F.lit(0), F.col("doc_id").cast("int"), (F.col("n_chars") % 60).cast("int")))
     pub = (F.when(F.col("doc_id") % 3 == 0, F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss +0000"))
            .when(F.col("doc_id") % 3 == 1, F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")))

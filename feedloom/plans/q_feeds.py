@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.functions.dates import normalize_pub_date
+from feedloom.functions.dates import normalize_pub_date, utc_wall_clock
 from feedloom.functions.strings import effective_id, transcription_hint
 from feedloom.operators.validate import download_plan, limit_per_feed, with_reject_reason
 from feedloom.plans.fixtures import feeds_from_documents
@@ -61,7 +61,8 @@ def _episodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ts(c) -> F.Column:
-    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    """An instant as UTC wall-clock text, whatever the session time zone."""
+    return F.date_format(utc_wall_clock(c), "yyyy-MM-dd HH:mm:ss")
 
 
 def duration_seconds(col: str = "duration") -> F.Column:
