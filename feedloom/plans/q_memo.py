@@ -19,14 +19,14 @@ REFUSE_BUDGET = 16_384
 def _eps(spark, sf):
     f = doc_item_fields(table(spark, sf, "documents"))
     url = F.when(F.col("has_enclosure"), F.col("audio_url")).otherwise(F.lit(""))
-    return f.select("doc_id", "title", "text", "ts", url.alias("audio_url"),
+    return f.select("doc_id", "lang", "title", "text", "ts", url.alias("audio_url"),
                     F.when(F.col("lang") == "fr", F.col("text")).otherwise(F.lit("")).alias("transcript")) \
         .withColumn("transcript_key", M.transcript_key("audio_url"))
 
 
 def _cached(eps):
-    """Transcripts already in the store: every fourth document with audio."""
-    src = eps.where((F.col("doc_id") % 4 == 0) & (F.col("audio_url") != ""))
+    """Transcripts already in the store: German and Spanish episodes with audio."""
+    src = eps.where(F.col("lang").isin("de", "es") & (F.col("audio_url") != ""))
     src = src.withColumn("value", F.concat(F.lit("[cached] "), F.col("text")))
     return M.artifact_rows(src, "transcript_key", "transcript", "value", F.col("ts"))
 
@@ -34,13 +34,13 @@ def _cached(eps):
 MEMO_SQL = f"""
 {DOC_FIELDS_SQL.strip()},
 e AS (
-  SELECT doc_id, title, text, ts, audio_url,
+  SELECT doc_id, lang, title, text, ts, audio_url,
     CASE WHEN lang = 'fr' THEN text ELSE '' END AS transcript,
     CASE WHEN audio_url = '' THEN NULL ELSE 'transcript-' || sha256(encode(audio_url) || '\\x00'::BLOB) END AS transcript_key
   FROM doc_fields
 ),
 art AS (
-  SELECT transcript_key AS key, '[cached] ' || text AS value FROM e WHERE doc_id % 4 = 0 AND audio_url <> ''
+  SELECT transcript_key AS key, '[cached] ' || text AS value FROM e WHERE lang IN ('de', 'es') AND audio_url <> ''
 )"""
 
 
@@ -104,20 +104,20 @@ def memo_upsert(spark, sf):
 def _doc_artifacts(spark, sf):
     d = table(spark, sf, "documents")
     lu = F.lit(T0).cast("timestamp") + F.make_dt_interval(F.lit(0), (F.col("doc_id") % 97).cast("int"))
-    return d.select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("key"),
+    return d.select("doc_id", "lang", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("key"),
                     F.lit("text").alias("kind"), F.col("text").alias("value"),
                     F.octet_length("text").cast("bigint").alias("size_bytes"), lu.alias("last_used"))
 
 
 DOC_ART_SQL = f"""
-a AS (SELECT doc_id, 'doc-' || CAST(doc_id AS VARCHAR) AS key, CAST(strlen(text) AS BIGINT) AS size_bytes,
+a AS (SELECT doc_id, lang, 'doc-' || CAST(doc_id AS VARCHAR) AS key, CAST(strlen(text) AS BIGINT) AS size_bytes,
              TIMESTAMP '{T0}' + to_hours(CAST(doc_id % 97 AS BIGINT)) AS lu FROM documents)"""
 
 
 @register("memo_evict", f"""
 WITH {DOC_ART_SQL.strip()},
 r AS (SELECT key, size_bytes,
-        CASE WHEN doc_id % 10 = 3 THEN greatest(lu, TIMESTAMP '{T0}' + to_hours(200) + to_seconds(CAST(doc_id AS BIGINT)))
+        CASE WHEN lang = 'fr' THEN greatest(lu, TIMESTAMP '{T0}' + to_hours(200) + to_seconds(CAST(doc_id AS BIGINT)))
              ELSE lu END AS last_used FROM a),
 c AS (SELECT *, sum(size_bytes) OVER (ORDER BY last_used DESC, key DESC
                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM r)
@@ -125,10 +125,10 @@ SELECT key, size_bytes, strftime(last_used, '%Y-%m-%d %H:%M:%S') AS last_used FR
 def memo_evict(spark, sf):
     """M4 + M5: reads refresh recency, then the byte budget evicts oldest first."""
     art = _doc_artifacts(spark, sf)
-    log = art.where(F.col("doc_id") % 10 == 3).select(
+    log = art.where(F.col("lang") == "fr").select(
         "key", (F.lit(T0).cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(200), F.lit(0),
                                                                  F.col("doc_id").cast("int"))).alias("accessed_at"))
-    kept = M.memo_evict(M.memo_refresh(art.drop("doc_id"), log), EVICT_BUDGET)
+    kept = M.memo_evict(M.memo_refresh(art.drop("doc_id", "lang"), log), EVICT_BUDGET)
     return kept.select("key", "size_bytes", F.date_format("last_used", "yyyy-MM-dd HH:mm:ss").alias("last_used"))
 
 
@@ -141,7 +141,7 @@ SELECT a.key, a.size_bytes,
 FROM a LEFT JOIN c ON a.key = c.key""")
 def memo_refused(spark, sf):
     """M6: a value over the whole budget is refused; eviction still runs."""
-    art = _doc_artifacts(spark, sf).drop("doc_id")
+    art = _doc_artifacts(spark, sf).drop("doc_id", "lang")
     kept, refused = M.memo_put_bounded(None, art, REFUSE_BUDGET)
     tag = (art.select("key", "size_bytes")
            .join(kept.select("key", F.lit(True).alias("_kept")), "key", "left")

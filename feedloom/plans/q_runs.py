@@ -135,16 +135,19 @@ v AS (SELECT *, regexp_replace(id, '[^A-Za-z0-9]', '_', 'g') AS sl FROM episodes
 
 
 def _entries_and_state(spark, sf):
+    """Episodes to store, and what an earlier run already wrote: entries of
+    English and German episodes, sidecars of English and French ones."""
     v = _valid_episodes(spark, sf).withColumn("entry", F.to_json(F.struct(F.col("title").alias("title"))))
-    old_structured = K.structured_rows(v.where(F.col("position") % 2 == 0), "entry").select("name")
-    old_meta = K.metadata_rows(v.where(F.col("position") % 3 == 0)).select("name")
+    lang = F.get(F.col("categories"), 0)
+    old_structured = K.structured_rows(v.where(lang.isin("en", "de")), "entry").select("name")
+    old_meta = K.metadata_rows(v.where(lang.isin("en", "fr"))).select("name")
     return v, old_structured, old_meta
 
 
 @register("structured_new", f"""
 WITH {SKIP_SQL.strip()}
 SELECT sl || '_entry.json' AS name, id AS episode_id, 'entry' AS scheme_id, to_json({{'title': title}})::VARCHAR AS entry
-FROM v WHERE position % 2 <> 0""")
+FROM v WHERE lang NOT IN ('en', 'de')""")
 def structured_new(spark, sf):
     """Entries written this run: only names not already present."""
     v, old_s, _ = _entries_and_state(spark, sf)
@@ -154,8 +157,8 @@ def structured_new(spark, sf):
 @register("metadata_backfill", f"""
 WITH {SKIP_SQL.strip()}
 SELECT sl || '_meta.json' AS name, id AS episode_id, audio_url, title, pub_date,
-  (position % 2 = 0) AS entry_exists
-FROM v WHERE position % 3 <> 0""")
+  (lang IN ('en', 'de')) AS entry_exists
+FROM v WHERE lang NOT IN ('en', 'fr')""")
 def metadata_backfill(spark, sf):
     """Sidecars back-filled independently of entries: a sidecar is written
     even when its entry already exists (K3, K4)."""
