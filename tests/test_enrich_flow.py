@@ -156,3 +156,30 @@ def test_store_cold_warm_renamed_and_other_scheme(spark, tmp_dir):
     broken = M.StoreSettings(path="/proc/definitely/not/writable")
     t, _ = statuses(process_episodes(eps, stages, RunOptions(store=broken)))        # caching off, run goes on
     assert t == {0: "ok", 1: "ok"}
+
+
+def test_named_stage_in_sql(spark):
+    from feedloom.plans.flow import register_stage
+    register_stage(spark, "asr_stage", lambda req: "reply to " + req)
+    r = spark.sql("SELECT asr_stage(x) AS y FROM VALUES ('a'), ('b') AS t(x)").collect()
+    assert sorted(x.y for x in r) == ["reply to a", "reply to b"]
+
+
+def test_fail_fast_and_scheme_id_without_scheme(spark, tmp_dir):
+    stages = {"transcribe": _row(asr), "extract": _row(model)}
+    with pytest.raises(RunFailed):
+        process_episodes(episodes(spark), stages, RunOptions(fail_fast=True))
+    res = process_episodes(episodes(spark).where("position = 0"), stages,
+                           RunOptions(scheme_id="guests", output_dir=tmp_dir))
+    names = [r.name for r in K.read_latest(spark, f"{tmp_dir}/structured").collect()]
+    assert names == ["g0_guests.json"]
+    assert res.entries.first().scheme_rejected is False
+
+
+def test_synthetic_graph_shape(spark):
+    from feedloom.operators import graph as G
+    g = G.synthetic_graph(spark, 50, seed=42)
+    assert g.nodes.count() == 50 and g.edges.count() == 150
+    again = G.synthetic_graph(spark, 50, seed=42)
+    assert sorted(tuple(r) for r in g.edges.collect()) == sorted(tuple(r) for r in again.edges.collect())
+    assert {r.properties["index"] for r in g.nodes.collect()} == {str(i) for i in range(50)}
