@@ -20,6 +20,14 @@ channel struct<
 _corrupt_record string
 """
 
+# The channel alone: items are skipped, not materialised.
+RSS_CHANNEL_SCHEMA = """
+channel struct<
+  title string, description string, category array<string>,
+  `itunes:author` string, `dc:creator` array<string>>,
+_corrupt_record string
+"""
+
 # One RSS <item> on its own (the XML reader with rowTag=item).
 RSS_ITEM_DDL = ("title string, description string, pubDate string, "
                 "guid struct<_VALUE: string, _isPermaLink: string>, category array<string>, "

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.dates import parse_pub_date
 from feedloom.functions.strings import empty_to_null, trim_ws
-from feedloom.schemas import ATOM_SCHEMA, JSON_FEED_SCHEMA, RSS_ITEM_DDL, RSS_SCHEMA
+from feedloom.schemas import ATOM_SCHEMA, JSON_FEED_SCHEMA, RSS_CHANNEL_SCHEMA, RSS_ITEM_DDL, RSS_SCHEMA
 
 XML_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 INVALID_FEED = "invalid feed XML"
@@ -32,12 +32,13 @@ def _first_nonempty(a: Column, arr: Column) -> Column:
 
 
 def parse_feeds(feeds: DataFrame, xml_col: str = "xml", url_col: str = "feed_url",
-                dialect: str = "rss") -> DataFrame:
+                dialect: str = "rss", items: bool = True) -> DataFrame:
     """(feed_url, xml) -> (feed_url, doc struct). A malformed feed yields a
     row with a NULL body and the original text in ``_corrupt_record``; it
-    never fails the job."""
+    never fails the job. ``items=False`` reads the channel only (the parser
+    still checks the whole document but builds no item rows)."""
     if dialect == "rss":
-        doc = F.from_xml(F.col(xml_col), RSS_SCHEMA, XML_OPTS)
+        doc = F.from_xml(F.col(xml_col), RSS_SCHEMA if items else RSS_CHANNEL_SCHEMA, XML_OPTS)
     elif dialect == "atom":
         doc = F.from_xml(F.col(xml_col), ATOM_SCHEMA, XML_OPTS)
     elif dialect == "json":
@@ -159,9 +160,10 @@ def feed_errors(parsed: DataFrame, dialect: str = "rss") -> DataFrame:
 def read_feeds(feeds: DataFrame, xml_col: str = "xml", url_col: str = "feed_url",
                dialect: str = "rss") -> FeedTables:
     """Parse a table of feeds into podcasts, episodes and errors."""
+    channel = parse_feeds(feeds, xml_col, url_col, dialect, items=False)
     parsed = parse_feeds(feeds, xml_col, url_col, dialect)
-    return FeedTables(podcasts(parsed, dialect), episodes(parsed, dialect),
-                      feed_errors(parsed, dialect))
+    return FeedTables(podcasts(channel, dialect), episodes(parsed, dialect),
+                      feed_errors(channel, dialect))
 
 
 def read_feed_files(spark: SparkSession, path: str, dialect: str = "rss",
