@@ -83,7 +83,7 @@ def memo_lookup(df: DataFrame, artifacts: DataFrame | None, key: str = "key",
         return df.limit(0).withColumn(value, F.lit(None).cast("string")), df
     art = artifacts.select(F.col("key").alias(key), F.col("value").alias(value))
     hits = df.join(art, key, "inner")
-    misses = df.join(art.select(key), key, "left_anti")
+    misses = df.join(art.select(key), key, "left_anti")      # the anti side reads keys only
     return hits, misses
 
 
