@@ -196,3 +196,9 @@ def test_pub_dates(spark):
     assert r[2][1] == "Mon, 02 Jan 2006 22:04:05 +0000"
     assert r[4][1] == "garbage" and r[5][1] == ""
     assert not math.isnan(0.0)
+
+
+def test_generate_request_round_trip(spark):
+    body = json.loads(ev(spark, S.generate_request, ["say hi"])[0])
+    assert body == {"model": S.DEFAULT_MODEL, "prompt": "say hi", "stream": False}
+    assert ev(spark, J.generate_reply, ['{"response": "hi", "done": true}']) == ["hi"]

@@ -124,3 +124,11 @@ def test_hot_node_is_salted_and_bfs_stays_exact(spark):
     depth = {r.id: r.depth for r in G.bfs(g, "tail", bucketed=True).collect()}
     assert depth["tail"] == 0 and depth["l7"] == 1 and depth["hub"] == 2 and depth["l8"] == 3
     assert len(depth) == 402
+
+
+def test_snapshot_json_lines(spark):
+    import json as _json
+    rows = {(r.kind, r.key): _json.loads(r.json) for r in G.snapshot_json(cycle(spark)).collect()}
+    assert rows[("node", "a")] == {"id": "a", "label": "P", "properties": {"k": "1"}}
+    assert rows[("edge", "0")] == {"from": "a", "to": "b", "label": "r"}
+    assert len(rows) == 6
