@@ -27,13 +27,16 @@ def error_class(stage, error) -> F.Column:
             .otherwise(F.lit(None).cast("string")))
 
 
-def stage_status(df: DataFrame, stage: str, status_col: str, error_col: str) -> DataFrame:
-    """R1 rows for one stage: (feed_url, episode_id, stage, status, error, error_class)."""
+def stage_status(df: DataFrame, stage: str, status_col: str, error_col: str,
+                 value_col: str | None = None) -> DataFrame:
+    """R1 rows for one stage: (feed_url, episode_id, stage, status, error,
+    error_class[, value]) — one projection of the stage output, no join."""
     feed = F.col("feed_url") if "feed_url" in df.columns else F.lit(None).cast("string")
+    extra = [F.col(value_col).alias("value")] if value_col else []
     return df.select(feed.alias("feed_url"), effective_id("id", "audio_url").alias("episode_id"),
                      F.lit(stage).alias("stage"), F.col(status_col).alias("status"),
                      F.col(error_col).alias("error"),
-                     error_class(F.lit(stage), F.col(error_col)).alias("error_class"))
+                     error_class(F.lit(stage), F.col(error_col)).alias("error_class"), *extra)
 
 
 def summarize(status: DataFrame, by: tuple[str, ...] = ("feed_url", "stage")) -> DataFrame:

@@ -78,11 +78,8 @@ st AS (
 @register("enrich_status", f"WITH {ENRICH_SQL.strip()}\nSELECT feed_url, episode_id, stage, status, error, value FROM st")
 def enrich_status(spark, sf):
     t, x = _enriched(spark, sf)
-    a = R.stage_status(t, "transcribe", "transcript_status", "transcript_error").join(
-        t.select(S.effective_id("id", "audio_url").alias("episode_id"), F.col("transcript").alias("value")),
-        "episode_id")
-    b = R.stage_status(x, "extract", "entry_status", "entry_error").join(
-        x.select(S.effective_id("id", "audio_url").alias("episode_id"), F.col("entry").alias("value")), "episode_id")
+    a = R.stage_status(t, "transcribe", "transcript_status", "transcript_error", "transcript")
+    b = R.stage_status(x, "extract", "entry_status", "entry_error", "entry")
     return a.unionByName(b).select("feed_url", "episode_id", "stage", "status", "error", "value")
 
 
