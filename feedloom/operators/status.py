@@ -39,12 +39,16 @@ def stage_status(df: DataFrame, stage: str, status_col: str, error_col: str,
                      error_class(F.lit(stage), F.col(error_col)).alias("error_class"), *extra)
 
 
-def summarize(status: DataFrame, by: tuple[str, ...] = ("feed_url", "stage")) -> DataFrame:
-    """Counts per (feed, stage); partial aggregates only."""
+def summarize(status: DataFrame, by: tuple[str, ...] = ("feed_url", "stage"),
+              per_class: tuple[str, ...] = ()) -> DataFrame:
+    """Counts per (feed, stage), plus ``n_<class>`` for the named
+    error classes; one partial aggregate."""
     bad = F.col("status").isin(*FAILED)
+    classes = [F.count(F.when(F.col("error_class") == c, 1)).cast("bigint").alias("n_" + c.replace(" ", "_"))
+               for c in per_class]
     return status.groupBy(*by).agg(F.count(F.lit(1)).cast("bigint").alias("n"),
                                    F.count(F.when(~bad, 1)).cast("bigint").alias("n_ok"),
-                                   F.count(F.when(bad, 1)).cast("bigint").alias("n_error"))
+                                   F.count(F.when(bad, 1)).cast("bigint").alias("n_error"), *classes)
 
 
 def raise_on_error(status: DataFrame, show: int = 20) -> None:

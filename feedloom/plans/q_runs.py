@@ -93,9 +93,8 @@ def run_summary(spark, sf):
     t, x = _enriched(spark, sf)
     status = (R.stage_status(t, "transcribe", "transcript_status", "transcript_error")
               .unionByName(R.stage_status(x, "extract", "entry_status", "entry_error")))
-    classes = status.groupBy("feed_url", "stage").agg(
-        F.count(F.when(F.col("error_class") == R.ERROR_CLASSES[3], 1)).cast("bigint").alias("n_extraction_class"))
-    return R.summarize(status).join(classes, ["feed_url", "stage"])
+    out = R.summarize(status, per_class=(R.ERROR_CLASSES[3],))
+    return out.withColumnRenamed("n_" + R.ERROR_CLASSES[3], "n_extraction_class")
 
 
 def _word_count(doc: dict) -> dict:
