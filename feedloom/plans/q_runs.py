@@ -134,6 +134,7 @@ def _entries_and_state(spark, sf):
     """Episodes to store, and what an earlier run already wrote: entries of
     English and German episodes, sidecars of English and French ones."""
     v = _valid_episodes(spark, sf).withColumn("entry", F.to_json(F.struct(F.col("title").alias("title"))))
+    v = cut_lineage(v)          # read four times below: parse the feeds once
     lang = F.get(F.col("categories"), 0)
     old_structured = K.structured_rows(v.where(lang.isin("en", "de")), "entry").select("name")
     old_meta = K.metadata_rows(v.where(lang.isin("en", "fr"))).select("name")
