@@ -1,6 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
 
 from feedloom.operators.validate import download_plan, limit_per_feed, validate_episodes, with_reject_reason
 from feedloom.sources.feeds import read_feed_files, read_feeds
