@@ -198,10 +198,16 @@ def _write_feed_files(spark, sf, copies: int = 1) -> str:
     feeds = feeds_from_documents(table(spark, sf, "documents"))
     path = scratch_path(spark, "feeds")
     files = feeds.select(F.concat(S.slug("feed_url"), F.lit(".xml")).alias("name"), F.col("xml").alias("text"))
+    if copies > 1:
+        # the feeds of block 0 are delivered again under other names, in the
+        # same write (one pass over the documents)
+        again = F.explode(F.sequence(F.lit(0), F.when(F.col("name").contains("_0_xml"), F.lit(copies - 1))
+                                     .otherwise(F.lit(0))))
+        files = files.select(again.alias("_copy"), "name", "text").select(
+            F.when(F.col("_copy") == 0, F.col("name"))
+            .otherwise(F.concat(F.lit("copy"), F.col("_copy").cast("string"), F.lit("-"), F.col("name"))).alias("name"),
+            "text")
     K.export_files(files, path)
-    for i in range(1, copies):
-        K.export_files(files.where(F.col("name").contains("_0_xml")).withColumn(
-            "name", F.concat(F.lit(f"copy{i}-"), F.col("name"))), path)
     return path
 
 
