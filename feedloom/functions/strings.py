@@ -21,7 +21,8 @@ DEFAULT_MODEL = "qwen2.5:0.5b"
 DEFAULT_ENDPOINT = "http://localhost:11434"
 NO_TRANSCRIPT_NOTE = "(no transcript)"
 
-WS = " \t\n\r"
+# Characters the reference's trimming removes (its runtime's Latin-1 white space).
+WS = " \t\n\r\f\v\u0085 "
 
 
 def _c(x) -> Column:

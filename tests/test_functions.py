@@ -200,3 +200,8 @@ def test_generate_request_round_trip(spark):
     body = json.loads(ev(spark, S.generate_request, ["say hi"])[0])
     assert body == {"model": S.DEFAULT_MODEL, "prompt": "say hi", "stream": False}
     assert ev(spark, J.generate_reply, ['{"response": "hi", "done": true}']) == ["hi"]
+
+
+def test_trim_matches_reference_white_space(spark):
+    assert ev(spark, S.trim_ws, ["\v\f x y \u0085 ", "\t\r\nz\n"]) == ["x y", "z"]
+    assert ev(spark, lambda c: J.resolve_scheme(c)["scheme"], [' {"a":1}\v']) == ['{"a":1}']
