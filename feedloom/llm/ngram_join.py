@@ -437,7 +437,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     left = stored(sets.withColumn("ref", ref).join(sieve(docs, id_col, text_col, size, rule), "ref")
                   .where(F.col("shared") >= few).select("rep", "sid", "n"), "sieved")
     texts = (docs.select(F.col(f"`{id_col}`").cast("bigint").alias("rep"), F.col(f"`{text_col}`").alias("t"))
-             .join(left, "rep").select("sid", "n", "t"))
+             .join(left.hint("merge"), "rep").select("sid", "n", "t"))       # the sets left follow the input: no broadcast
     tokens = stored(shared_tokens(texts, size), "shared-tokens")
     entries = stored(index_entries(tokens, rule, rare), "index")
     heads = entries.groupBy("key").agg(F.min("sid").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1")
