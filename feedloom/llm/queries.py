@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import (decontaminate, html_text, ngram_join, permutation_index, token_files, toxicity,
-                          url_reputation, warc)
+from feedloom.llm import (decontaminate, html_text, mixing, ngram_join, permutation_index, repeats, token_files,
+                          toxicity, url_reputation, warc)
 from feedloom.llm.common import shared_path, stored, table
 from feedloom.llm.oracles import ORACLES  # noqa: F401
 
@@ -19,6 +19,10 @@ def tokenizer_file() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest(table(spark, sf_dir, "embeddings"), lambda i: F.pmod(i, F.lit(100)) == 0)
 
@@ -57,6 +61,10 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
@@ -65,5 +73,5 @@ def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_permutation_index, op3_warc_transactions, op4_counterfactual_toxicity,
-    op5_token_files, op6_text_to_tag_ratio, op7_host_reputation, op8_ngram_join, op10_wu_manber)}
+    op1_soft_mixing, op2_permutation_index, op3_warc_transactions, op4_counterfactual_toxicity, op5_token_files,
+    op6_text_to_tag_ratio, op7_host_reputation, op8_ngram_join, op9_run_length_index, op10_wu_manber)}
