@@ -53,7 +53,7 @@ DICT_BYTES = 64 * 1024
 DICT_DOCS = 1000
 BLOCK_DOCS = 256
 BLOCK_BYTES = 4 * 1024 * 1024
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 400_000
 LEVEL = 3
 
 BLOCK_DDL = ("part int, block int, first_doc bigint, last_doc bigint, doc_ids array<bigint>, offsets array<int>, "
@@ -81,8 +81,9 @@ PLAIN = "\u024f"
 
 
 class WordIds(dict):
-    """word -> serialized ids, filled from the library on demand and emptied
-    when full. ``lead`` is what stands before every word ("" or a blank); a
+    """word -> serialized ids, filled from the library on demand. When full it
+    becomes the older generation, from which words still in use come back.
+    ``lead`` is what stands before every word ("" or a blank); a
     word may begin with a line feed of its own. Letters, and punctuation
     behind them, are encoded apart: the vocabulary never joins them. Any other
     word is encoded as a text of its own."""
@@ -90,13 +91,17 @@ class WordIds(dict):
     def __init__(self, tokenizer, lead: str, letters: ByteLetters, limit: int = CACHE_WORDS):
         super().__init__()
         self.tokenizer, self.lead, self.letters, self.limit = tokenizer, lead, letters, limit
-        self.model, self.tails = tokenizer.model, {}
+        self.model, self.tails, self.old = tokenizer.model, {}, {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.limit:
+            self.old = self.copy()
             self.clear()
             self.tails.clear()
-        self[word] = out = self.ids(word)
+        out = self.old.get(word)
+        if out is None:
+            out = self.ids(word)
+        self[word] = out
         return out
 
     def ids(self, word: str) -> bytes:

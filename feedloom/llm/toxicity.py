@@ -90,7 +90,7 @@ class Model:
             for w in words_in(text):
                 hit = cache.get(w)
                 if hit is None:
-                    if len(cache) > 500_000:
+                    if len(cache) > 300_000:
                         cache.clear()
                     hit = cache[w] = tuple(f for f in features(w) if f in weights)
                 if hit:
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             for w in words:
                 f = cache.get(w)
                 if f is None:
-                    if len(cache) > 300_000:
+                    if len(cache) > 100_000:
                         cache.clear()
                     f = cache[w] = [signed(h) for h in features(w)]
                 out.update(f)
