@@ -61,7 +61,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def choose_pivots(vectors: DataFrame, n: int = PIVOTS) -> np.ndarray:
     rows = vectors.orderBy(F.xxhash64("id"), "id").limit(n).collect()
-    return np.array([r.v for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    return np.array([r.v for r in rows], dtype=np.float64).reshape(len(rows), len(rows[0].v) if rows else 0)
 
 
 def orders(x: np.ndarray, pivots: np.ndarray, places: int) -> np.ndarray:

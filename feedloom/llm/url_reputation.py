@@ -99,10 +99,11 @@ def _strength(groups: DataFrame, mean: str) -> Column:
     total = F.sum(n)
     spread = F.sum(F.when(n > 0, n * F.pow(bad / n - m, 2)).otherwise(0.0))
     chance = F.avg(F.when(n > 0, m * (1 - m)))
-    share = (spread - (F.sum(F.when(n > 0, 1).otherwise(0)) - 1) * chance) / (total - F.sum(n * n) / total)
-    rho = share / chance
+    # try_divide: one group, or rates of 0 and 1 only, leave nothing to estimate from.
+    share = F.try_divide(spread - (F.sum(F.when(n > 0, 1).otherwise(0)) - 1) * chance, total - F.try_divide(F.sum(n * n), total))
+    rho = F.try_divide(share, chance)
     return F.coalesce(F.when(rho <= 0, F.lit(STRONGEST))
-                      .otherwise(F.least(F.greatest((1 - rho) / rho, F.lit(WEAKEST)), F.lit(STRONGEST))),
+                      .otherwise(F.least(F.greatest(F.try_divide(1 - rho, rho), F.lit(WEAKEST)), F.lit(STRONGEST))),
                       F.lit(STRONGEST))
 
 
