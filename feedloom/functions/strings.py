@@ -21,8 +21,9 @@ DEFAULT_MODEL = "qwen2.5:0.5b"
 DEFAULT_ENDPOINT = "http://localhost:11434"
 NO_TRANSCRIPT_NOTE = "(no transcript)"
 
-# Characters the reference's trimming removes (its runtime's Latin-1 white space).
-WS = " \t\n\r\f\v\u0085 "
+# The white space of the Unicode character tables, which the reference's trimming removes.
+WS = (" \t\n\r\f\v\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+      "\u2028\u2029\u202f\u205f\u3000")
 
 
 def _c(x) -> Column:

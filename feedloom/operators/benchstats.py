@@ -18,8 +18,8 @@ from feedloom.operators.ordered import row_rank, running_sum
 from feedloom.session import cut_lineage
 
 # Fixed values that must equal the reference's for identical results.
-LINE_PATTERN = r"^(Benchmark\S+?/\S+?)(?:-\d+)?\s+\d+\s+([\d.]+)\s+ns/op"
-NAME_PATTERN = r"^(Benchmark\S+?/\S+?)(?:-\d+)?$"     # LINE_PATTERN's name part, per token
+NAME_PATTERN = r"^(Benchmark\S+?/\S+?)(?:-\d+)?$"     # first token of a line
+VALUE_PATTERN = r"^\S+\s+\d+\s+([\d.]+)\s+ns/op"      # what follows it
 PERCENTILES = (0.5, 0.95, 0.99)
 KS_TERMS = 99
 EFFECT_BANDS = ((0.2, "negligible"), (0.5, "small"), (0.8, "medium"))
@@ -31,24 +31,29 @@ NOT_SIGNIFICANT = "not significant"
 # --- S6 log parsing ---------------------------------------------------------------------
 
 def parse_benchmark_lines(lines: DataFrame, line_col: str = "line", strip_procs: bool = True) -> DataFrame:
-    """Benchmark output lines -> (…, variant, ns_per_op); other lines dropped.
+    """Benchmark output lines -> (…, variant, ns_per_op); other lines dropped
+    (``rejected_lines`` returns those whose number cannot be read).
 
     The default pattern is the reference's (it also strips ``-100`` from a
     name ending in ``scale-100`` when the log has no proc suffix);
     ``strip_procs=False`` keeps the whole name."""
-    # ``LINE_PATTERN`` anchored at the start cannot cross whitespace before
-    # the iteration count, so it is applied token-wise: the name rule to the
-    # first token only (no backtracking over the rest of the line), then
-    # plain checks on the count, the value and the unit.
+    # The name rule applies to the first token only (no backtracking over the
+    # rest of the line), then plain checks on the count, value and unit.
     name_pat = NAME_PATTERN if strip_procs else r"^(Benchmark\S+/\S+)$"
     s = trim_ws(F.col(line_col))
     keep = [c for c in lines.columns if c != line_col]
-    value = F.regexp_extract(s, r"^\S+\s+\d+\s+([\d.]+)\s+ns/op", 1)    # greedy, no backtracking
+    value = F.regexp_extract(s, VALUE_PATTERN, 1)
     token = F.regexp_extract(s, r"^(\S+)", 1)
     return (lines.select(*keep, value.alias("_v"), token.alias("_t")).where(F.col("_v") != "")
             .select(*keep, F.regexp_extract("_t", name_pat, 1).alias("variant"),
-                    F.col("_v").cast("double").alias("ns_per_op"))
-            .where(F.col("variant") != ""))
+                    F.col("_v").try_cast("double").alias("ns_per_op"))
+            .where((F.col("variant") != "") & F.col("ns_per_op").isNotNull()))
+
+
+def rejected_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """The lines that have a sample's form but no readable number."""
+    value = F.regexp_extract(trim_ws(F.col(line_col)), VALUE_PATTERN, 1)
+    return lines.where((value != "") & value.try_cast("double").isNull())
 
 
 def read_benchmark_log(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:

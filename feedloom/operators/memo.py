@@ -98,9 +98,10 @@ def needs_transcription(episodes: DataFrame, artifacts: DataFrame | None,
 
 def memo_put(artifacts: DataFrame | None, new: DataFrame) -> DataFrame:
     """Upsert by key, latest ``last_used`` wins (new rows win ties).
+    New rows whose key a store refuses (``key_reason``) are left out.
     ``max_by`` is a partial aggregate: a hot key is combined map-side."""
     cols = ["kind", "value", "size_bytes", "last_used"]
-    new = new.select("key", *cols).withColumn("_src", F.lit(1))
+    new = new.where(key_reason("key").isNull()).select("key", *cols).withColumn("_src", F.lit(1))
     both = new if artifacts is None else artifacts.select("key", *cols).withColumn("_src", F.lit(0)).unionByName(new)
     order = F.struct(F.col("last_used"), F.col("_src"))
     return (both.groupBy("key").agg(F.max_by(F.struct(*cols), order).alias("_v"))

@@ -110,10 +110,20 @@ def metadata_rows(entries: DataFrame) -> DataFrame:
 
 
 def new_rows(rows: DataFrame, existing_names: DataFrame | None) -> DataFrame:
-    """Skip rule: only names not written before (anti join on name)."""
+    """Skip rule: only names not written before, and each name once: of rows
+    whose ids share a name the smallest stays (``name_collisions`` lists them)."""
+    rest = [c for c in rows.columns if c != "name"]
+    rows = (rows.groupBy("name").agg(F.min(F.struct(*rest)).alias("_v"))
+            .select(*[F.col("name") if c == "name" else F.col("_v")[c].alias(c) for c in rows.columns]))
     if existing_names is None:
         return rows
-    return rows.join(existing_names.select("name").distinct(), "name", "left_anti")
+    return rows.join(existing_names.select("name"), "name", "left_anti")
+
+
+def name_collisions(rows: DataFrame) -> DataFrame:
+    """(name, rows): names that different rows of a batch would write to."""
+    rest = [c for c in rows.columns if c != "name"]
+    return (rows.groupBy("name").agg(F.count_distinct(F.struct(*rest)).alias("rows")).where("rows > 1"))
 
 
 def write_structured(entries: DataFrame, path: str, scheme_id: str, mode: str = "skip") -> int | None:
@@ -181,7 +191,9 @@ def read_artifacts(spark: SparkSession, path: str, glob: str | None = None) -> D
     if glob:
         like = glob.replace("%", "\\%").replace("_", "\\_").replace("*", "%").replace("?", "_")
         out = out.where(F.col("name").like(like))
-    suffix = F.regexp_extract("name", r"(_raw\.txt|_meta\.json|\.mp3|_[^_]+\.json)$", 1)
+    asked = glob[1:] if glob and glob.startswith("*") and not set("*?") & set(glob[1:]) else None
+    # The asked suffix is the artifact's; without one the known kinds decide.
+    suffix = F.lit(asked) if asked else F.regexp_extract("name", r"(_raw\.txt|_meta\.json|\.mp3|_[^_]+\.json)$", 1)
     slug = F.col("name").substr(F.lit(1), F.length("name") - F.length(suffix))
     return out.select("name", slug.alias("slug"), "path", "text")
 

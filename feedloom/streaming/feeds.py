@@ -1,8 +1,8 @@
 """Incremental feed ingestion with Structured Streaming.
 
 New feed files landing in a folder are parsed, validated and appended to an
-episode table. Re-ingestion is safe: episodes are identified by audio URL,
-and each micro-batch anti-joins against what the table already holds
+episode table. Re-ingestion is safe: episodes are identified by audio URL (without
+one, by feed and guid or position), and each micro-batch anti-joins against what the table already holds
 before it appends (an idempotent sink: a replayed batch writes nothing
 new). The table itself is the dedupe state, so there is no streaming state
 store growing with history.
@@ -15,50 +15,81 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from feedloom.operators.validate import with_reject_reason
-from feedloom.session import scratch_path
+from feedloom.session import cut_lineage
 from feedloom.sinks.artifacts import append_batch, read_batches
 from feedloom.sources.feeds import episodes as feed_episodes
-from feedloom.sources.feeds import parse_feeds
+from feedloom.sources.feeds import feed_errors, parse_feeds
 
 
-def dedupe_by_audio_url(df: DataFrame) -> DataFrame:
-    """One row per audio URL (the earliest by feed and position); a partial
+def with_identity(df: DataFrame) -> DataFrame:
+    """Adds ``identity``: the audio URL, or, where there is none (an empty URL
+    is no identity), the feed with the guid or else the position."""
+    own = F.concat_ws("\n", F.lit(""), F.coalesce("feed_url", F.lit("")),
+                      F.when(F.coalesce("id", F.lit("")) != "", F.concat(F.lit("id "), F.col("id")))
+                      .otherwise(F.concat(F.lit("at "), F.col("position").cast("string"))))
+    return df.withColumn("identity", F.when(F.coalesce("audio_url", F.lit("")) != "", F.col("audio_url")).otherwise(own))
+
+
+def dedupe_by_identity(df: DataFrame) -> DataFrame:
+    """One row per identity (the earliest by feed and position); a partial
     ``min_by`` aggregate, so duplicates are folded map-side."""
-    cols = [c for c in df.columns if c != "audio_url"]
-    return (df.groupBy("audio_url").agg(F.min_by(F.struct(*cols), F.struct("feed_url", "position")).alias("_v"))
-            .select("audio_url", *[F.col("_v")[c].alias(c) for c in cols]))
+    cols = [c for c in df.columns if c != "identity"]
+    return (df.groupBy("identity").agg(F.min_by(F.struct(*cols), F.struct("feed_url", "position")).alias("_v"))
+            .select("identity", *[F.col("_v")[c].alias(c) for c in cols]))
 
 
 def ingest_batch(batch: DataFrame, table_path: str, policy: str = "strict") -> int | None:
-    """T2/T3 for one micro-batch: parse, validate, dedupe, skip what the
-    table already has, append. Returns the batch number written (None when
-    nothing was new)."""
+    """T2/T3 for one micro-batch: parse once, validate, dedupe, skip what the
+    table already has, append. Feeds that cannot be read and episodes that are
+    rejected go to ``<table_path>_errors``, deduped by what they name, so a
+    replay adds none. Returns the batch number written (None when nothing was
+    new)."""
     spark = batch.sparkSession
-    eps = with_reject_reason(feed_episodes(parse_feeds(batch, "xml", "feed_url"), "rss"), policy)
-    eps = dedupe_by_audio_url(eps.where(F.col("reject_reason").isNull()).drop("reject_reason")
-                              .withColumn("categories", F.array_join("categories", "|")))
-    existing = read_batches(spark, table_path)
+    parsed = parse_feeds(batch, "xml", "feed_url")
+    eps = cut_lineage(with_identity(with_reject_reason(feed_episodes(parsed, "rss"), policy)
+                                    .withColumn("categories", F.array_join("categories", "|"))))
+    bad = (feed_errors(parsed, "rss").select("feed_url", F.lit(None).cast("bigint").alias("position"), F.col("error").alias("reason"))
+           .unionByName(eps.where(F.col("reject_reason").isNotNull())
+                        .select("feed_url", F.col("position").cast("bigint").alias("position"), F.col("reject_reason").alias("reason"))))
+    _append_new(bad.distinct(), f"{table_path}_errors", ["feed_url", "position", "reason"])
+    return _append_new(dedupe_by_identity(eps.where(F.col("reject_reason").isNull()).drop("reject_reason")),
+                       table_path, ["identity"])
+
+
+def _append_new(rows: DataFrame, path: str, keys: list[str]) -> int | None:
+    """Append the rows whose keys ``path`` does not hold; evaluated once."""
+    existing = read_batches(rows.sparkSession, path)
     if existing is not None:
-        eps = eps.join(existing.select("audio_url"), "audio_url", "left_anti")
-    if eps.isEmpty():
-        return None
-    return append_batch(eps, table_path)
+        known = existing.select(*[F.col(k).alias(f"_{k}") for k in keys])
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        rows = rows.join(known, same, "left_anti")
+    rows = cut_lineage(rows)
+    return None if rows.isEmpty() else append_batch(rows, path)
 
 
 def stream_feeds(spark: SparkSession, source_dir: str, table_path: str, checkpoint: str | None = None,
                  policy: str = "strict", available_now: bool = True, max_files: int | None = None) -> StreamingQuery:
     """Watch ``source_dir`` for feed files (one feed per file) and
-    append new, valid, unseen episodes to ``table_path``."""
+    append new, valid, unseen episodes to ``table_path``. The stream's own
+    checkpoint lies beside the table unless another place is given, so a
+    second run reads only new files."""
     reader = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
     raw = reader.load(source_dir).select(F.col("_metadata.file_path").alias("feed_url"), F.col("value").alias("xml"))
     w = (raw.writeStream.foreachBatch(lambda df, epoch: ingest_batch(df, table_path, policy))
-         .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-ckpt")))
+         .option("checkpointLocation", checkpoint or f"{table_path.rstrip('/')}_checkpoint"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
 def read_episode_table(spark: SparkSession, table_path: str) -> DataFrame | None:
     b = read_batches(spark, table_path)
+    return None if b is None else b.drop("batch", "identity")
+
+
+def read_error_table(spark: SparkSession, table_path: str) -> DataFrame | None:
+    """(feed_url, position, reason): unreadable feeds (no position) and
+    rejected episodes of all batches."""
+    b = read_batches(spark, f"{table_path}_errors")
     return None if b is None else b.drop("batch")

@@ -90,3 +90,31 @@ def test_stream_dedupes_by_audio_url_and_replays_nothing(spark, tmp_dir):
     assert first == ["https://a/1.mp3", "https://a/2.mp3"]
     stream_feeds(spark, src, out, checkpoint=f"{tmp_dir}/ck2").awaitTermination()   # full replay
     assert read_episode_table(spark, out).count() == 2
+
+
+def test_stream_keeps_episodes_without_url_and_reports_errors(spark, tmp_dir):
+    from feedloom.streaming.feeds import read_error_table
+    src, out = f"{tmp_dir}/in2", f"{tmp_dir}/out2"
+    os.makedirs(src)
+    items = "".join(f"<item><title>t{k}</title><guid>g{k}</guid></item>" for k in range(5))
+    with open(f"{src}/nourl.xml", "w") as fh:
+        fh.write(f"<rss><channel><title>c</title>{items}</channel></rss>")
+    with open(f"{src}/bad.xml", "w") as fh:
+        fh.write("<rss><channel>")
+    for _ in range(2):                           # the second run starts from the stream's own checkpoint
+        stream_feeds(spark, src, out, policy="strict").awaitTermination()
+    errors = read_error_table(spark, out).collect()
+    assert sorted(e.position is None for e in errors) == [False] * 5 + [True]
+    from feedloom.streaming.feeds import dedupe_by_identity, with_identity
+    rows = spark.createDataFrame([("f", k, f"g{k}" if k else "", "") for k in range(5)] + [("f", 7, "x", "u"), ("h", 1, "y", "u")],
+                                 "feed_url string, position int, id string, audio_url string")
+    assert dedupe_by_identity(with_identity(rows)).count() == 6
+
+
+def test_names_collide_once_and_suffix_follows_the_glob(spark, tmp_dir):
+    rows = spark.createDataFrame([("a_b_entry.json", "2"), ("a_b_entry.json", "1"), ("c_entry.json", "3")], "name string, text string")
+    assert sorted(tuple(r) for r in K.new_rows(rows, None).collect()) == [("a_b_entry.json", "1"), ("c_entry.json", "3")]
+    assert [tuple(r) for r in K.name_collisions(rows).collect()] == [("a_b_entry.json", 2)]
+    with open(f"{tmp_dir}/ep_1_my_scheme.json", "w") as fh:
+        fh.write("{}")
+    assert [r.slug for r in K.read_artifacts(spark, tmp_dir, "*_my_scheme.json").collect()] == ["ep_1"]
