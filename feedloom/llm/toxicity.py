@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 out.update(f)
             return sorted(out)
 
-        for b in batches:
+        for b in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):     # few feature lists at a time
             ys, xs, lost, won = [], [], [], []
             for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = words_in(t)
