@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +32,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch; whole texts travel in them, so the default of 10,000 holds much at a time.
+BATCH_ROWS = 2000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def workers_ready(spark: SparkSession) -> None:
-    """Make the package importable in Python workers."""
+    """Make the package importable in Python workers, and hold the session's
+    Arrow batches to ``BATCH_ROWS`` rows (a smaller setting stays)."""
     ship_package(spark)
+    if not 0 < int(spark.conf.get(_BATCH_CONF)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+
+
+def release_memory() -> None:
+    """Hand freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):                      # another C library: it has no such call
+        pass
+
+
+def gives_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` as a task that hands its freed memory back when it ends: Python
+    workers live on from stage to stage, and would keep their peak."""
+    @functools.wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+    return task
 
 
 def parts(spark: SparkSession) -> int:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import bytes_list, workers_ready
+from feedloom.llm.common import bytes_list, gives_back, workers_ready
 
 # A word is a run of a-z, 0-9 and bytes above ASCII; A-Z count as a-z.
 WORD_BYTES = bytes(
@@ -152,14 +152,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
                   "n_hit bigint, items array<string>")
     rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("_text"))
     if len(blocks) == 1:
-        return rows.mapInArrow(_searcher(blocks[0], window), out_schema)
+        return rows.mapInArrow(gives_back(_searcher(blocks[0], window)), out_schema)
     # More than one block: the hits of a row meet again by a row key.
     from feedloom.llm.common import stored
     keyed = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
     found = None
     for block in blocks:
         part = keyed.select("_row", "_text").mapInArrow(
-            _searcher(block, window), out_schema.replace(f"`{id_col}` {id_type}", "_row bigint"))
+            gives_back(_searcher(block, window)), out_schema.replace(f"`{id_col}` {id_type}", "_row bigint"))
         found = part if found is None else found.unionByName(part)
     merged = (found.groupBy("_row")
               .agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("s"),
@@ -216,7 +216,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     window = kw.get("window", WINDOW)
     out = docs
     for block in blocks:
-        out = out.mapInArrow(_keeper(block, window, docs.columns.index(text)), docs.schema)
+        out = out.mapInArrow(gives_back(_keeper(block, window, docs.columns.index(text))), docs.schema)
     return out
 
 

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import bytes_list, parts, stored, workers_ready
+from feedloom.llm.common import bytes_list, gives_back, parts, stored, workers_ready
 from feedloom.llm.links import components
 from feedloom.llm.shingles import mix, set_id, shingle_sets
 
@@ -108,7 +108,7 @@ def token_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
                 [b.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64())], names=["id", "n", "sid"])
 
     return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("t")).mapInArrow(
-        run, "id bigint, n bigint, sid bigint")
+        gives_back(run), "id bigint, n bigint, sid bigint")
 
 
 # -- 2: sieve ------------------------------------------------------------------------------------
@@ -177,8 +177,8 @@ def sieve(docs: DataFrame, id_col: str, text_col: str, size: int, rule: Rule) ->
                 [pa.array(ref.astype(np.int64), pa.int64()), pa.array(k, pa.int64())], names=["ref", "k"])
 
     dealt = docs.select(F.col(f"`{text_col}`").alias("t")).mapInArrow(
-        deal, "bucket int, tokens binary, low binary, high binary")
-    counts = _together(dealt, n_buckets).mapInArrow(count, "ref bigint, k bigint")
+        gives_back(deal), "bucket int, tokens binary, low binary, high binary")
+    counts = _together(dealt, n_buckets).mapInArrow(gives_back(count), "ref bigint, k bigint")
     return counts.groupBy("ref").agg(F.sum("k").alias("shared"))
 
 
@@ -265,10 +265,10 @@ def shared_tokens(texts: DataFrame, size: int) -> DataFrame:
                      pa.array([freq[first[k]:ends[k]].tobytes() for k in rows], pa.binary())],
                     names=["sid", "n", "tokens", "freqs"])
 
-    dealt = texts.select("sid", "n", "t").mapInArrow(deal, "bucket int, tokens binary, sids binary, ns binary")
+    dealt = texts.select("sid", "n", "t").mapInArrow(gives_back(deal), "bucket int, tokens binary, sids binary, ns binary")
     counted = _together(dealt, n_buckets).mapInArrow(
-        count, "bucket int, tokens binary, sids binary, ns binary, freqs binary")
-    return _together(counted, n_buckets).mapInArrow(regroup, "sid bigint, n bigint, tokens binary, freqs binary")
+        gives_back(count), "bucket int, tokens binary, sids binary, ns binary, freqs binary")
+    return _together(counted, n_buckets).mapInArrow(gives_back(regroup), "sid bigint, n bigint, tokens binary, freqs binary")
 
 
 def prefix_keys(n: int, tokens: np.ndarray, freqs: np.ndarray, rule: Rule, rare: int = RARE) -> np.ndarray:
@@ -307,7 +307,7 @@ def index_entries(sets: DataFrame, rule: Rule, rare: int = RARE) -> DataFrame:
                 [pa.array(signed(np.concatenate(keys)), pa.int64()), pa.array(np.concatenate(sids), pa.int64())],
                 names=["key", "sid"])
 
-    return sets.select("sid", "n", "tokens", "freqs").mapInArrow(run, "key bigint, sid bigint")
+    return sets.select("sid", "n", "tokens", "freqs").mapInArrow(gives_back(run), "key bigint, sid bigint")
 
 
 # -- 5: verify -----------------------------------------------------------------------------------
@@ -412,7 +412,7 @@ def verified(members: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
         yield _edges(found)
 
     return (units.repartition(parts(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "sid")
-            .mapInArrow(run, "a bigint, b bigint"))
+            .mapInArrow(gives_back(run), "a bigint, b bigint"))
 
 
 def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:

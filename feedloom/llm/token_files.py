@@ -46,7 +46,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import parts, shared_path, workers_ready
+from feedloom.llm.common import gives_back, parts, shared_path, workers_ready
 
 END_ID = 2
 DICT_BYTES = 64 * 1024
@@ -201,7 +201,7 @@ def train_dictionary(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc
 
     few = (docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
            .join(F.broadcast(chosen), "_id", "left_semi").select("_text"))     # at most sample_docs ids
-    samples = [bytes(r.s) for r in few.mapInArrow(run, "s binary").limit(sample_docs).collect()]
+    samples = [bytes(r.s) for r in few.mapInArrow(gives_back(run), "s binary").limit(sample_docs).collect()]
     samples.sort()
     if sum(map(len, samples)) < 8 * 1024 or len(samples) < 16:
         return b""
@@ -265,7 +265,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, *, id_col
 
     (docs.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
      .repartitionByRange(num_parts or parts(spark), "_id").sortWithinPartitions("_id")
-     .mapInArrow(run, BLOCK_DDL).write.option("compression", "uncompressed").parquet(f"{path}/blocks"))
+     .mapInArrow(gives_back(run), BLOCK_DDL).write.option("compression", "uncompressed").parquet(f"{path}/blocks"))
 
 
 _BLOCK_SCHEMA = pa.schema([
@@ -308,7 +308,7 @@ def read_token_ids(spark: SparkSession, path: str, where=None) -> DataFrame:
 
     blocks = _blocks(spark, path)
     return (blocks if where is None else blocks.where(where)).mapInArrow(
-        run, "part int, block int, pos int, doc_id bigint, ids array<int>")
+        gives_back(run), "part int, block int, pos int, doc_id bigint, ids array<int>")
 
 
 def _blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -352,7 +352,7 @@ def document_index(spark: SparkSession, path: str) -> DataFrame:
                     names=["part", "block", "doc_id", "before", "n_tokens", "ids_crc32"])
 
     docs = _blocks(spark, path).mapInArrow(
-        run, "part int, block int, doc_id bigint, before bigint, n_tokens bigint, ids_crc32 bigint")
+        gives_back(run), "part int, block int, doc_id bigint, before bigint, n_tokens bigint, ids_crc32 bigint")
     sums = _blocks(spark, path).select(
         "part", "block", F.aggregate("n_tokens", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"))
     running = sums.withColumn("in_part", F.sum("n").over(Window.partitionBy("part").orderBy("block")) - F.col("n"))

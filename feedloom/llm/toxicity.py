@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import workers_ready
+from feedloom.llm.common import gives_back, workers_ready
 
 MAX_ROWS = 12_000
 MAX_FEATURES = 4096
@@ -182,8 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     texts = (docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_t"))
              .join(F.broadcast(sample), "_id").select("_y", "_t"))              # at most max_rows ids
-    rows = (texts.mapInArrow(extract, "y int, x array<bigint>, lost array<array<bigint>>, won array<array<bigint>>")
-            .repartition(1).mapInArrow(train, "f bigint, w double, is_bias boolean").collect())
+    rows = (texts.mapInArrow(gives_back(extract), "y int, x array<bigint>, lost array<array<bigint>>, won array<array<bigint>>")
+            .repartition(1).mapInArrow(gives_back(train), "f bigint, w double, is_bias boolean").collect())
     model = Model()
     for r in rows:
         if r.is_bias:
@@ -261,7 +261,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 names=[b.schema.names[0], "score"])
 
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("_text")).mapInArrow(
-        run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, score double")
+        gives_back(run), f"`{id_col}` {dict(docs.dtypes)[id_col]}, score double")
 
 
 def clean_documents(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -274,4 +274,4 @@ def clean_documents(docs: DataFrame, model: Model, *, text_col: str = "text", th
         for b in batches:
             yield b.filter(pa.array([s(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(gives_back(run), docs.schema)
