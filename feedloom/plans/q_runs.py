@@ -227,14 +227,15 @@ def feed_xml_rows(spark, sf):
 @register("feed_item_rows", f"""
 WITH {DOC_FIELDS_SQL.strip()}
 SELECT regexp_replace(feed_url, '[^A-Za-z0-9]', '_', 'g') || '.xml' AS feed, id, title, audio_url,
-       text AS description
-FROM episodes""")
+       text AS description, CAST(NULL AS VARCHAR) AS error
+FROM doc_fields""")
 def feed_item_rows(spark, sf):
-    """S2 for very large feed files: the XML reader splits files by item."""
+    """S2 for very large feed files, cut by item: the good items of feeds with
+    a broken channel are there too."""
     path = _write_feed_files(spark, sf)
     items = read_feed_items(spark, path)
     feed = F.url_decode(F.regexp_extract("feed_url", r"name=([^/]+)/[^/]+$", 1))
-    return items.select(feed.alias("feed"), "id", "title", "audio_url", "description")
+    return items.select(feed.alias("feed"), "id", "title", "audio_url", "description", "error")
 
 
 @register("stream_episodes", f"""

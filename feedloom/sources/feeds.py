@@ -14,6 +14,8 @@ from feedloom.schemas import ATOM_SCHEMA, JSON_FEED_SCHEMA, RSS_CHANNEL_SCHEMA,
 XML_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 INVALID_FEED = "invalid feed XML"
 NO_CHANNEL = "feed has no channel"
+INVALID_ITEM = "invalid feed item"
+ITEM_END = "</item>"
 
 
 class FeedTables(NamedTuple):
@@ -180,13 +182,26 @@ def read_feed_files(spark: SparkSession, path: str, dialect: str = "rss",
 
 
 def read_feed_items(spark: SparkSession, path: str) -> DataFrame:
-    """S2 for very large single feeds: the XML reader splits by ``<item>``."""
-    return (spark.read.format("xml").option("rowTag", "item").option("recursiveFileLookup", "true")
-            .schema(RSS_ITEM_DDL + ", _corrupt_record string")
-            .option("columnNameOfCorruptRecord", "_corrupt_record").load(path)
-            .where(F.col("_corrupt_record").isNull())
-            .select(F.col("_metadata.file_path").alias("feed_url"),
-                    _s(F.col("guid._VALUE")).alias("id"), _s(F.col("title")).alias("title"),
-                    _s(F.get(F.col("enclosure"), 0)["_url"]).alias("audio_url"),
-                    _s(F.col("pubDate")).alias("pub_date"),
-                    trim_ws(_s(F.col("description"))).alias("description")))
+    """S2 for very large single feeds: one row per item, in no order.
+
+    The text reader cuts files at ``</item>``, so one file is read by many
+    tasks, and an error stays where it is: a malformed channel costs no item,
+    and a malformed (or unfinished) item comes back as a row with ``error``
+    set, its fields empty. A literal ``</item>`` inside CDATA cuts too and
+    yields an error row."""
+    pieces = (spark.read.format("text").option("recursiveFileLookup", "true").option("lineSep", ITEM_END).load(path)
+              .select(F.col("_metadata.file_path").alias("feed_url"),
+                      F.regexp_extract("value", r"(?s)<item(?:\s[^>]*)?>.*", 0).alias("xml"))
+              .where("xml <> ''"))
+    it = F.from_xml(F.concat("xml", F.lit(ITEM_END)), RSS_ITEM_DDL + ", _corrupt_record string", XML_OPTS)
+    items = pieces.select("feed_url", it.alias("it"))
+    bad = F.col("it").isNull() | F.col("it._corrupt_record").isNotNull()
+
+    def field(x: Column) -> Column:
+        return F.when(bad, F.lit("")).otherwise(_s(x))
+
+    return items.select("feed_url", field(F.col("it.guid._VALUE")).alias("id"), field(F.col("it.title")).alias("title"),
+                        field(F.get(F.col("it.enclosure"), 0)["_url"]).alias("audio_url"),
+                        field(F.col("it.pubDate")).alias("pub_date"),
+                        trim_ws(field(F.col("it.description"))).alias("description"),
+                        F.when(bad, F.lit(INVALID_ITEM)).alias("error"))

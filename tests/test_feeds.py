@@ -141,3 +141,30 @@ def test_feed_files(spark, tmp_dir):
     ft = read_feed_files(spark, tmp_dir)
     assert ft.episodes.count() == 5
     assert all(r.feed_url.endswith(".xml") for r in ft.podcasts.collect())
+
+
+def test_feed_items_keep_good_items_and_report_bad_ones(spark, tmp_path):
+    from feedloom.sources.feeds import INVALID_ITEM, read_feed_items
+    item = "<item><guid>{0}</guid><title>{1}</title></item>"
+    (tmp_path / "a.xml").write_text("<rss><channel><title>A & B</title>" + item.format("g1", "x")
+                                    + item.format("g2", "A & B") + item.format("g3", "y") + "</channel></rss>")
+    (tmp_path / "b.xml").write_text("<rss><channel><title>cut</title>" + item.format("g4", "z") + "<item><guid>g5")
+    got = read_feed_items(spark, str(tmp_path))
+    assert got.count() == 5
+    rows = sorted((r.id, r.title, r.error) for r in got.collect())
+    assert rows == [("", "", INVALID_ITEM), ("", "", INVALID_ITEM), ("g1", "x", None), ("g3", "y", None),
+                    ("g4", "z", None)]
+
+
+def test_one_large_feed_file_splits_and_loses_no_item(spark, tmp_path):
+    from feedloom.sources.feeds import read_feed_items
+    body = "".join(f"<item><guid>g{i}</guid><description>{'word ' * 40}</description></item>" for i in range(5000))
+    (tmp_path / "big.xml").write_text(f"<rss><channel>{body}</channel></rss>")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")
+    try:
+        items = read_feed_items(spark, str(tmp_path))
+        assert items.rdd.getNumPartitions() > 4
+        assert items.where("error is null").select("id").distinct().count() == 5000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
