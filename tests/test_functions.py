@@ -196,6 +196,18 @@ def test_pub_dates(spark):
     assert r[4][1] == "garbage" and r[5][1] == ""
 
 
+def test_pub_date_layouts(spark):
+    cases = ["02 Jan 06 15:04 GMT", "2006-01-02T15:04:05.123456Z", "2006-01-02T15:04Z", "Mon, 02 Jan 2006 15:04:05",
+             "Monday, 02-Jan-06 15:04:05 UTC", "2 January 2006 15:04:05 +0000", "Mon Jan  2 15:04:05 2006",
+             "Mon, 2 Jan 2006 10:04:05 EST", "2006-01-02 15:04:05", "2006-01-02", "2006", "12:00", "1 Foo 2006 15:04:05 Z"]
+    want = ["2006-01-02 15:04:00", "2006-01-02 15:04:05", "2006-01-02 15:04:00", "2006-01-02 15:04:05",
+            "2006-01-02 15:04:05", "2006-01-02 15:04:05", "2006-01-02 15:04:05",
+            "2006-01-02 15:04:05", "2006-01-02 15:04:05", "2006-01-02 00:00:00", None, None, None]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string")
+    got = df.orderBy("i").select(F.date_format(D.parse_pub_date("c"), "yyyy-MM-dd HH:mm:ss")).collect()
+    assert [r[0] for r in got] == want
+
+
 def test_generate_request_round_trip(spark):
     body = json.loads(ev(spark, S.generate_request, ["say hi"])[0])
     assert body == {"model": S.DEFAULT_MODEL, "prompt": "say hi", "stream": False}
