@@ -24,6 +24,9 @@ input; matches never cross documents.
    streaming over the text from the sampled run ends alone gives the matching
    statistics: at each byte the longest match that starts there and occurs
    elsewhere in the batch. Windows where it is ``length`` or more are marked.
+   An anchor whose contexts exceed a batch is *hot*: its contexts are spread
+   over the tasks and their windows meet by hash instead (step 2 with windows
+   for contexts), so no task ever holds all contexts of one anchor.
 4. The marked windows of a document are merged and its other bytes kept.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose
@@ -130,41 +133,98 @@ _FOUND = "kind int, key bigint, doc bigint, start bigint, stop bigint"
 SPAN, LONE, TWIN = 0, 1, 2        # a repeated context; one to look at; a repeated one beside such
 
 
-def classes(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """From (doc, t): rows (kind, key, doc, start, stop)."""
-    spark = docs.sparkSession
-    n_buckets = 2 * parts(spark)
+def dealt(where: np.ndarray, n_buckets: int, kind: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """One row per bucket: keys, contents, docs, starts, ends and marks of that bucket as bytes."""
+    order = np.argsort(where, kind="stable")
+    bounds = np.searchsorted(where[order], np.arange(n_buckets + 1))
+    live = np.flatnonzero(np.diff(bounds))
+    key, content, doc, start, end, marked = columns
+    cols = [key, content, doc, start.astype("<i8"), end.astype("<i8"), marked.astype("u1")]
+    cols = [c[order] for c in cols]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(live, pa.int32()), pa.array(np.full(len(live), kind), pa.int32())]
+        + [pa.array([c[bounds[b]:bounds[b + 1]].tobytes() for b in live], pa.binary()) for c in cols],
+        names=["bucket", "kind", "keys", "contents", "docs", "starts", "ends", "marked"])
+
+
+def dealt_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+    d, a, b = merged(doc, start, end)
+    zero = np.zeros(len(d), np.uint64)
+    return dealt(d.view(np.uint64) % np.uint64(n_buckets), n_buckets, SPAN, [zero, zero, d, a, b, zero])
+
+
+def collapse(held: list[tuple], n_buckets: int, by_content: bool = False) -> Iterator[pa.RecordBatch]:
+    """(key, content, doc, start, end) arrays of a task, dealt by key (or by
+    content): those that meet their like within the task come out as spans, and
+    one of each goes on, marked."""
+    key, content, doc, start, end = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((content, key))
+    key, content, doc, start, end = key[order], content[order], doc[order], start[order], end[order]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])))
+    first = np.flatnonzero(new)
+    twice = np.diff(np.append(first, len(key))) > 1
+    inside = np.repeat(twice, np.diff(np.append(first, len(key))))
+    if inside.any():                       # repeated within the task: spans, merged per document
+        yield dealt_spans(doc[inside], start[inside], end[inside], n_buckets)
+    where = mix(content[first] if by_content else key[first]) % np.uint64(n_buckets)
+    yield dealt(where, n_buckets, LONE, [key[first], content[first], doc[first], start[first], end[first], twice])
+
 
-    def rows(where, kind, key, content, doc, start, end, marked):
-        order = np.argsort(where, kind="stable")
-        bounds = np.searchsorted(where[order], np.arange(n_buckets + 1))
-        live = np.flatnonzero(np.diff(bounds))
-        cols = [key, content, doc, start.astype("<i8"), end.astype("<i8"), marked.astype("u1")]
-        cols = [c[order] for c in cols]
+def settle(batches: Iterator[pa.RecordBatch], spans_only: bool = False) -> Iterator[pa.RecordBatch]:
+    now, held = None, []
+
+    def out(kind, key, doc, start, end):
         return pa.RecordBatch.from_arrays(
-            [pa.array(live, pa.int32()), pa.array(np.full(len(live), kind), pa.int32())]
-            + [pa.array([c[bounds[b]:bounds[b + 1]].tobytes() for b in live], pa.binary()) for c in cols],
-            names=["bucket", "kind", "keys", "contents", "docs", "starts", "ends", "marked"])
+            [pa.array(np.full(len(doc), kind), pa.int32()), pa.array(key.view(np.int64), pa.int64()),
+             pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
+            names=["kind", "key", "doc", "start", "stop"])
+
+    def flush():
+        key, content, doc, start, end, marked = (
+            np.frombuffer(b"".join(x), dtype=t)
+            for x, t in zip(zip(*held, strict=True), ("<u8", "<u8", "<i8", "<i8", "<i8", "u1"), strict=True))
+        order = np.lexsort((content, key))
+        key, content, doc, start, end, marked = (x[order] for x in (key, content, doc, start, end, marked))
+        new_key = np.concatenate(([True], key[1:] != key[:-1]))
+        new = new_key | np.concatenate(([True], content[1:] != content[:-1]))
+        cls, grp = np.cumsum(new) - 1, np.cumsum(new_key) - 1
+        many = (np.bincount(cls) > 1) | (np.bincount(cls, weights=marked) > 0)        # classes that occur twice
+        wide = np.bincount(grp[np.flatnonzero(new)]) > 1                               # anchors of several classes
+        repeated = many[cls]
+        todo = repeated & (marked == 0)
+        if todo.any():
+            d, a, b = merged(doc[todo], start[todo], end[todo])
+            yield out(SPAN, np.zeros(len(d), np.uint64), d, a, b)
+        lone = ~repeated & wide[grp]
+        if lone.any() and not spans_only:
+            yield out(LONE, key[lone], doc[lone], start[lone], end[lone])
+            asked = np.bincount(grp[lone], minlength=len(wide)) > 0
+            twin = new & repeated & asked[grp]
+            yield out(TWIN, key[twin], doc[twin], start[twin], end[twin])
+
+    for b in batches:
+        columns = [b.column(k) for k in range(8)]
+        for i, (bucket, kind) in enumerate(zip(columns[0].to_pylist(), columns[1].to_pylist(), strict=True)):
+            blobs = [c[i].as_buffer() for c in columns[2:]]
+            if kind == SPAN:
+                yield out(SPAN, *(np.frombuffer(blobs[k], t) for k, t in ((0, "<u8"), (2, "<i8"), (3, "<i8"), (4, "<i8"))))
+                continue
+            if bucket != now and held:
+                yield from flush()
+                held = []
+            now = bucket
+            held.append(blobs)
+    if held:
+        yield from flush()
+
+
+def classes(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """From (doc, t): rows (kind, key, doc, start, stop)."""
+    n_buckets = 2 * parts(docs.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         size = 0
-
-        def flush():
-            key, content, doc, start, end = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((content, key))
-            key, content, doc, start, end = key[order], content[order], doc[order], start[order], end[order]
-            new = np.concatenate(([True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])))
-            first = np.flatnonzero(new)
-            twice = np.diff(np.append(first, len(key))) > 1
-            inside = np.repeat(twice, np.diff(np.append(first, len(key))))
-            if inside.any():                       # repeated within the task: spans, merged per document
-                d, a, b = merged(doc[inside], start[inside], end[inside])
-                zero = np.zeros(len(d), np.uint64)
-                yield rows(d.view(np.uint64) % np.uint64(n_buckets), SPAN, zero, zero, d, a, b, zero)
-            yield rows(mix(key[first]) % np.uint64(n_buckets), LONE, key[first], content[first], doc[first],
-                       start[first], end[first], twice)
-
         for b in batches:
             for data, ends, ids, places in pieces(b.column(0).to_pylist(), bytes_list(b.column(1)), length):
                 c = Contexts(data, ends, length, gram)
@@ -172,57 +232,10 @@ def classes(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     held.append((c.key, c.content, ids[c.start], places[c.start], places[c.end - 1] + 1))
                     size += len(c.start)
                 if size > 400_000:
-                    yield from flush()
+                    yield from collapse(held, n_buckets)
                     held, size = [], 0
         if held:
-            yield from flush()
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def out(kind, key, doc, start, end):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(doc), kind), pa.int32()), pa.array(key.view(np.int64), pa.int64()),
-                 pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
-                names=["kind", "key", "doc", "start", "stop"])
-
-        def flush():
-            key, content, doc, start, end, marked = (
-                np.frombuffer(b"".join(x), dtype=t)
-                for x, t in zip(zip(*held, strict=True), ("<u8", "<u8", "<i8", "<i8", "<i8", "u1"), strict=True))
-            order = np.lexsort((content, key))
-            key, content, doc, start, end, marked = (x[order] for x in (key, content, doc, start, end, marked))
-            new_key = np.concatenate(([True], key[1:] != key[:-1]))
-            new = new_key | np.concatenate(([True], content[1:] != content[:-1]))
-            cls, grp = np.cumsum(new) - 1, np.cumsum(new_key) - 1
-            many = (np.bincount(cls) > 1) | (np.bincount(cls, weights=marked) > 0)        # classes that occur twice
-            wide = np.bincount(grp[np.flatnonzero(new)]) > 1                               # anchors of several classes
-            repeated = many[cls]
-            todo = repeated & (marked == 0)
-            if todo.any():
-                d, a, b = merged(doc[todo], start[todo], end[todo])
-                yield out(SPAN, np.zeros(len(d), np.uint64), d, a, b)
-            lone = ~repeated & wide[grp]
-            if lone.any():
-                yield out(LONE, key[lone], doc[lone], start[lone], end[lone])
-                asked = np.bincount(grp[lone], minlength=len(wide)) > 0
-                twin = new & repeated & asked[grp]
-                yield out(TWIN, key[twin], doc[twin], start[twin], end[twin])
-
-        for b in batches:
-            columns = [b.column(k) for k in range(8)]
-            for i, (bucket, kind) in enumerate(zip(columns[0].to_pylist(), columns[1].to_pylist(), strict=True)):
-                blobs = [c[i].as_buffer() for c in columns[2:]]
-                if kind == SPAN:
-                    yield out(SPAN, *(np.frombuffer(blobs[k], t) for k, t in ((0, "<u8"), (2, "<i8"), (3, "<i8"), (4, "<i8"))))
-                    continue
-                if bucket != now and held:
-                    yield from flush()
-                    held = []
-                now = bucket
-                held.append(blobs)
-        if held:
-            yield from flush()
+            yield from collapse(held, n_buckets)
 
     return (docs.mapInArrow(deal, _DEALT).repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "kind")
             .mapInArrow(settle, _FOUND))
@@ -344,15 +357,72 @@ def index_marks(contexts: list[bytes], length: int) -> list[list[tuple[int, int]
     return out
 
 
+def windows_of(rows: list[tuple], length: int) -> tuple[np.ndarray, ...]:
+    """(key, content, doc, start, end) of every window of the contexts (key, kind, doc, start, text, hot)."""
+    texts = [r[4] for r in rows]
+    sizes = np.array([len(t) for t in texts])
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    sums = prefix_sums(data)
+    _, down = POWERS.upto(len(data) + 1)
+    count = np.maximum(sizes - length + 1, 0)
+    inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at = np.repeat(np.cumsum(sizes) - sizes, count) + inside
+    start = np.repeat(np.array([r[3] for r in rows], dtype=np.int64), count) + inside
+    return (np.repeat(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64), count),
+            mix((sums[at + length] - sums[at]) * down[at]),
+            np.repeat(np.array([r[2] for r in rows], dtype=np.int64), count), start, start + length)
+
+
+def mark(batches: Iterator[pa.RecordBatch], length: int, batch_bytes: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Spans and windows, dealt, of sorted (key, kind, doc, start, text, hot) rows."""
+    held, size, last = [], 0, None
+    crowd, crowd_size = [], 0                               # contexts of hot anchors
+
+    def flush():
+        doc, start, stop = [], [], []
+        for (_, kind, d, s, _, _), spans in zip(held, index_marks([h[4] for h in held], length), strict=True):
+            if kind == LONE:
+                for a, b in spans:
+                    doc.append(d)
+                    start.append(s + a)
+                    stop.append(s + b)
+        yield dealt_spans(*(np.array(x, dtype=np.int64) for x in (doc, start, stop)), n_buckets)
+
+    for b in batches:
+        for row in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+            if row[5]:
+                crowd.append(row)
+                crowd_size += len(row[4])
+                if crowd_size >= batch_bytes:
+                    yield from collapse([windows_of(crowd, length)], n_buckets, by_content=True)
+                    crowd, crowd_size = [], 0
+                continue
+            if size >= batch_bytes and row[0] != last:      # only between anchors
+                yield from flush()
+                held, size = [], 0
+            last = row[0]
+            held.append(row)
+            size += len(row[4])
+    if held:
+        yield from flush()
+    if crowd:
+        yield from collapse([windows_of(crowd, length)], n_buckets, by_content=True)
+
+
 def indexed_spans(docs: DataFrame, found: DataFrame, length: int, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """(doc, start, stop) of the repeated windows in contexts that occur once."""
     spark = docs.sparkSession
-    asked = (found.where(F.col("kind") != SPAN).groupBy("doc")
-             .agg(F.collect_list(F.struct("key", "kind", "start", "stop")).alias("asked")))   # bounded by the text's length
+    n_buckets = 2 * parts(spark)
+    found = found.where(F.col("kind") != SPAN)
+    hot = found.groupBy("key").agg(F.sum(F.col("stop") - F.col("start")).alias("size")).where(
+        F.col("size") > batch_bytes).select("key", F.lit(True).alias("hot"))
+    # Broadcast: one key at most for every ``batch_bytes`` of contexts.
+    asked = (found.join(F.broadcast(hot), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).groupBy("doc")
+             .agg(F.collect_list(F.struct("key", "kind", "start", "stop", "hot")).alias("asked")))   # bounded by the text's length
 
     def cut(batches):
         for b in batches:
-            key, kind, doc, start, text = [], [], [], [], []
+            key, kind, doc, start, text, hot = [], [], [], [], [], []
             for d, t, rows in zip(b.column(0).to_pylist(), bytes_list(b.column(1)), b.column(2).to_pylist(), strict=True):
                 for r in rows:
                     if t is not None and r["stop"] <= len(t):
@@ -361,51 +431,31 @@ def indexed_spans(docs: DataFrame, found: DataFrame, length: int, batch_bytes: i
                         doc.append(d)
                         start.append(r["start"])
                         text.append(t[r["start"]:r["stop"]])
+                        hot.append(r["hot"])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key, pa.int64()), pa.array(kind, pa.int32()), pa.array(doc, pa.int64()),
-                 pa.array(start, pa.int64()), pa.array(text, pa.binary())], names=["key", "kind", "doc", "start", "text"])
-
-    def mark(batches):
-        held, size, last = [], 0, None
-
-        def flush():
-            doc, start, stop = [], [], []
-            for (_, kind, d, s, _), spans in zip(held, index_marks([h[4] for h in held], length), strict=True):
-                if kind == LONE:
-                    for a, b in spans:
-                        doc.append(d)
-                        start.append(s + a)
-                        stop.append(s + b)
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()),
-                                               pa.array(stop, pa.int64())], names=["doc", "start", "stop"])
-
-        for b in batches:
-            for row in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                if size >= batch_bytes and row[0] != last:      # only between anchors
-                    yield flush()
-                    held, size = [], 0
-                last = row[0]
-                held.append(row)
-                size += len(row[4])
-        if held:
-            yield flush()
+                 pa.array(start, pa.int64()), pa.array(text, pa.binary()), pa.array(hot, pa.bool_())],
+                names=["key", "kind", "doc", "start", "text", "hot"])
 
     contexts = docs.join(asked.hint("merge"), docs.doc.eqNullSafe(asked.doc)).select(docs.doc, "t", "asked").mapInArrow(
-        cut, "key bigint, kind int, doc bigint, start bigint, text binary")
-    return (contexts.repartition(parts(spark), "key").sortWithinPartitions("key", "doc", "start")
-            .mapInArrow(mark, "doc bigint, start bigint, stop bigint"))
+        cut, "key bigint, kind int, doc bigint, start bigint, text binary, hot boolean")
+    spread = F.when(F.col("hot"), F.xxhash64("doc", "start")).otherwise(F.lit(0))       # only hot anchors are parted
+    return (contexts.withColumn("spread", spread).repartition(parts(spark), "key", "spread")
+            .select("key", "kind", "doc", "start", "text", "hot").sortWithinPartitions("key", "doc", "start")
+            .mapInArrow(lambda batches: mark(batches, length, batch_bytes, n_buckets), _DEALT).repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "kind")
+            .mapInArrow(lambda batches: settle(batches, spans_only=True), _FOUND).select("doc", "start", "stop"))
 
 
 # -- 4: what is kept -----------------------------------------------------------------------------------
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                   gram: int = GRAM, keep_text: bool = False) -> DataFrame:
+                   gram: int = GRAM, keep_text: bool = False, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept, spans]) of every row."""
     spark = docs.sparkSession
     workers_ready(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc"), F.col(f"`{text_col}`").alias("t"))
     found = stored(classes(rows, length, gram), "repeat-classes")
-    marks = stored(indexed_spans(rows, found, length), "repeat-marks")
+    marks = stored(indexed_spans(rows, found, length, batch_bytes), "repeat-marks")
     spans = (found.where(F.col("kind") == SPAN).select("doc", "start", "stop").unionByName(marks)
              .groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))    # bounded by the text's length
 

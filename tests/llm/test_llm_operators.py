@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -341,6 +342,29 @@ def test_repeats_match_brute_force(spark):
     assert repeats.remove_repeats(docs.where("false")).count() == 0
 
 
+def test_contexts_of_one_hot_anchor_are_parted(spark, monkeypatch):
+    r = random.Random(31)
+    noise = lambda n: "".join(r.choice("pqrstuv ") for _ in range(n))      # noqa: E731
+    footer, near = noise(330), [noise(60) for _ in range(4)]
+    texts = [(k, noise(200) + near[k % 4] + footer + near[k * 7 % 3] + noise(200)) for k in range(60)]
+    texts += [(100 + k, noise(30) + texts[k][1][150:720]) for k in range(3)]
+    data = [t.encode() for _, t in texts]
+    hits = brute_removed(data, 400)
+    assert sum(h.any() for h in hits) > 40 and not all(h.all() for h in hits)
+    for x in repeats.remove_repeats(docs_of(spark, texts), keep_text=True, batch_bytes=2000).collect():
+        k = [i for i, _ in texts].index(x.doc_id)
+        assert bytes(x.kept) == np.frombuffer(data[k], np.uint8)[~hits[k]].tobytes(), x.doc_id
+    # No call of the index takes more than a batch and one anchor under the bound.
+    sizes = []
+    plain = repeats.index_marks
+    monkeypatch.setattr(repeats, "index_marks", lambda c, n: sizes.append(sum(map(len, c))) or plain(c, n))
+    rows = [(5, repeats.LONE, k, 0, data[k][150:700], True) for k in range(60)]
+    rows += [(6, repeats.LONE, 90, 0, data[0][150:700], False), (6, repeats.LONE, 91, 0, data[1][150:700], False)]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], names=["key", "kind", "doc", "start", "text", "hot"])
+    dealt = list(repeats.mark(iter([batch]), 400, 2000, 4))
+    assert sizes == [1100] and len(dealt) > 10
+
+
 def test_run_length_index_matches_brute_force():
     r = random.Random(1)
     for _ in range(40):
