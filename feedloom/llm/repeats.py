@@ -32,7 +32,7 @@ input; matches never cross documents.
 Defined results: a null text is empty; texts shorter than ``length`` lose
 nothing; repeated rows of one id are documents of their own when they carry
 different texts, and equal ones repeat each other (all get the same result);
-a null id is kept; other columns are ignored.
+rows without an id likewise (the null stays); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -437,7 +437,7 @@ def indexed_spans(docs: DataFrame, found: DataFrame, length: int, batch_bytes: i
                  pa.array(start, pa.int64()), pa.array(text, pa.binary()), pa.array(hot, pa.bool_())],
                 names=["key", "kind", "doc", "start", "text", "hot"])
 
-    contexts = docs.join(asked.hint("merge"), docs.doc.eqNullSafe(asked.doc)).select(docs.doc, "t", "asked").mapInArrow(
+    contexts = docs.join(asked.hint("merge"), "doc").select("doc", "t", "asked").mapInArrow(
         cut, "key bigint, kind int, doc bigint, start bigint, text binary, hot boolean")
     spread = F.when(F.col("hot"), F.xxhash64("doc", "start")).otherwise(F.lit(0))       # only hot anchors are parted
     return (contexts.withColumn("spread", spread).repartition(parts(spark), "key", "spread")
@@ -453,9 +453,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept, spans]) of every row."""
     spark = docs.sparkSession
     workers_ready(spark)
-    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc"), F.col(f"`{text_col}`").alias("t"))
-    found = stored(classes(rows, length, gram), "repeat-classes")
-    marks = stored(indexed_spans(rows, found, length, batch_bytes), "repeat-marks")
+    number = F.col(f"`{id_col}`").cast("bigint")
+    # A row's key comes from its id and text: the same at every reading, and never null.
+    rows = docs.select(number.alias("id"), F.xxhash64(number.isNull(), number, F.col(f"`{text_col}`")).alias("doc"),
+                       F.col(f"`{text_col}`").alias("t"))
+    found = stored(classes(rows.select("doc", "t"), length, gram), "repeat-classes")
+    marks = stored(indexed_spans(rows.select("doc", "t"), found, length, batch_bytes), "repeat-marks")
     spans = (found.where(F.col("kind") == SPAN).select("doc", "start", "stop").unionByName(marks)
              .groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))    # bounded by the text's length
 
@@ -485,7 +488,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                  pa.array(kept_spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))],
                 names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
 
-    out = (rows.join(spans.hint("merge"), rows.doc.eqNullSafe(spans.doc), "left").select(rows.doc, "t", "spans")
+    out = (rows.join(spans.hint("merge"), "doc", "left").select("id", "t", "spans")
            .mapInArrow(finish, f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, "
                                "kept_sha256 string, kept binary, spans array<struct<start:bigint,stop:bigint>>"))
     return out if keep_text else out.drop("kept", "spans")

@@ -365,6 +365,22 @@ def test_contexts_of_one_hot_anchor_are_parted(spark, monkeypatch):
     assert sizes == [1100] and len(dealt) > 10
 
 
+def test_repeats_null_and_equal_ids(spark):
+    r = random.Random(41)
+    noise = lambda n: "".join(r.choice("pqrstuv ") for _ in range(n))      # noqa: E731
+    passage = noise(500)
+    texts = [(None, noise(900)), (None, passage + noise(300)), (1, noise(600) + passage), (1, noise(1300)),
+             (2, passage[:450] + noise(500)), (2, noise(950)), (None, "tiny"), (1, None)]
+    twin = noise(700)
+    texts += [(3, twin), (3, twin), (None, twin)]
+    data = [(t or "").encode() for _, t in texts]
+    hits = brute_removed(data, 400)
+    want = [(i, len(d), int(h.sum()), np.frombuffer(d, np.uint8)[~h].tobytes()) for (i, _), d, h in zip(texts, data, hits)]
+    got = [(x.doc_id, x.n_bytes, x.n_removed, bytes(x.kept))
+           for x in repeats.remove_repeats(docs_of(spark, texts), keep_text=True).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_run_length_index_matches_brute_force():
     r = random.Random(1)
     for _ in range(40):
