@@ -5,15 +5,17 @@ is the text of one block (paragraph, heading, list item, cell, ...) with the
 number of tags inside and around it. Elements that never hold article text
 (scripts, styles, navigation, forms, asides, ...) and elements whose class, id
 or role names such a part (adverts, notices, menus, comments, ...) give lines
-that are marked as boilerplate.
+that are marked as boilerplate. On pages without an ``article`` or ``main`` a
+name marks nothing that holds most of the text: there it speaks of a wrapper.
 
 Each line's ratio of text length to tags is smoothed with a Gaussian over its
 neighbours. A threshold between two clusters of the smoothed ratios (one
 dimensional two-means) parts content lines from the rest. The content region
-is the innermost container that holds the bulk of the content lines' text
-(``article`` and ``main`` are never left for a part of them). All lines of the
-region that are not marked are the main text: so short paragraphs beside long
-ones stay, and blocks outside go however long they are.
+is the innermost ``article`` or ``main`` that holds the bulk of the content
+lines' text, else the smallest container that holds all content lines. All
+lines of the region that are not marked are the main text: so short paragraphs
+beside long ones stay, and blocks outside an article go however long they are.
+Beside a region that is no article, unmarked ``h1`` titles stay too.
 
 Text: character references decoded, white space inside a block is one blank,
 blocks trimmed and joined in page order by one line feed. Nothing is capped.
@@ -38,6 +40,7 @@ from feedloom.llm.common import workers_ready
 
 SIGMA = 1.0
 BULK = 0.6
+MOST, MOST_REPLIES = 0.5, 0.9                 # of the text; readers' replies may well outgrow a text
 
 # Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,6 +62,9 @@ NAMES = frozenset((
     "navigational breadcrumb breadcrumbs header masthead footer contentinfo complementary comment comments respond "
     "replies reply disqus share sharing social related recommended newsletter subscribe subscription signup login "
     "search toolbar pagination pager skip widget widgets disclaimer copyright").split())
+REPLIES = frozenset("comment comments respond replies reply disqus".split())
+# A name after one of these tells what else there is, not what the element is.
+HAVING = frozenset("has with without no".split())
 KEEPERS = frozenset(("article", "main", "body", "html"))
 # An open element of the first kind is closed by a start tag of the second.
 CLOSES = {
@@ -72,16 +78,22 @@ CLOSES |= {f"h{k}": CLOSES["h1"] for k in range(2, 7)}
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def names_boilerplate(attrs: list[tuple[str, str | None]], in_article: bool = False) -> bool:
-    """Whether class, id or role name boilerplate; an article has headers of its own."""
+def is_hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(key == "hidden" or key == "aria-hidden" and value == "true" for key, value in attrs)
+
+
+def boilerplate_names(attrs: list[tuple[str, str | None]], in_article: bool = False) -> set[str]:
+    """The names of boilerplate in class, id or role; an article has headers of its own."""
+    found: set[str] = set()
     for key, value in attrs:
-        if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
         if value and key in ("class", "id", "role"):
-            found = {w.lower() for w in _NAME.findall(value)} & NAMES
-            if found - {"header"} if in_article else found:
-                return True
-    return False
+            for name in value.split():
+                words = [w.lower() for w in _NAME.findall(name)]
+                found.update(w for k, w in enumerate(words) if w in NAMES and not (k and words[k - 1] in HAVING))
+    return found - {"header"} if in_article else found
+
+
+HARD = -1
 
 
 class Lines(HTMLParser):
@@ -91,11 +103,15 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         # Containers by number: parent and element name.
         self.parent, self.kind = [-1], ["root"]
-        # Open elements: name, container number, hidden, boilerplate.
-        self.open: list[tuple[str, int, bool, bool]] = [("root", 0, False, False)]
+        # Open elements: name, container number, hidden, boilerplate (HARD, the
+        # number of the innermost name mark, or 0).
+        self.open: list[tuple[str, int, bool, int]] = [("root", 0, False, 0)]
+        # Name marks by number: the mark around, and whether it names replies.
+        self.around, self.replies = [0], [False]
         self.text: list[str] = []
         self.tags = 0
-        self.lines: list[tuple[str, int, int, bool]] = []      # text, tags, container, boilerplate
+        self.lines: list[tuple[str, int, int, int]] = []       # text, tags, container, boilerplate
+        self.titles: set[int] = set()                         # numbers of the h1 lines
         self.articles, self.seen = 0, False                   # open now; any so far
 
     def end_line(self) -> None:
@@ -104,6 +120,8 @@ class Lines(HTMLParser):
             self.text = []
             if text:
                 _, box, _, boiler = self.open[-1]
+                if any(tag == "h1" for tag, _, _, _ in self.open):
+                    self.titles.add(len(self.lines))
                 self.lines.append((text, self.tags, box, boiler))
         self.tags = 0
 
@@ -134,15 +152,19 @@ class Lines(HTMLParser):
         if not hidden:
             hidden = tag in HIDDEN
             if tag in ("article", "main"):
-                named = names_boilerplate(attrs)
+                named = is_hidden(attrs) or boilerplate_names(attrs)
                 if named and self.seen:                     # a reader's comment, a related article
-                    boiler = True
+                    boiler = HARD
                 elif boiler and not self.seen and not any(t in BOILERPLATE for t, _, _, _ in self.open):
-                    boiler = False                          # only a wrapper's name spoke against it
+                    boiler = 0                              # only a wrapper's name spoke against it
                 self.seen = True
-            elif not boiler and tag not in KEEPERS:
-                boiler = (tag in BOILERPLATE or tag == "header" and not self.articles
-                          or names_boilerplate(attrs, bool(self.articles)))
+            elif boiler != HARD and tag not in KEEPERS:
+                if tag in BOILERPLATE or tag == "header" and not self.articles or is_hidden(attrs):
+                    boiler = HARD
+                elif names := boilerplate_names(attrs, bool(self.articles)):
+                    self.around.append(boiler)
+                    self.replies.append(bool(names & REPLIES))
+                    boiler = len(self.around) - 1
         if tag in CONTAINERS:
             self.parent.append(box)
             self.kind.append("main" if ("role", "main") in attrs or ("itemprop", "articleBody") in attrs else tag)
@@ -213,38 +235,79 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def rated(page: Lines, marked: list[bool]) -> np.ndarray:
+    """Which lines the smoothed ratios rate as content; marked lines never are."""
+    ratios = smoothed(np.array([0.0 if b else len(t) / max(1, tags)
+                                for (t, tags, _, _), b in zip(page.lines, marked, strict=True)]))
+    free = ~np.array(marked)
+    content = free & (ratios >= threshold(ratios))
+    low, high = ratios[free & ~content], ratios[content]
+    # Two means always part; lines of much the same ratio are one cluster.
+    return free if len(low) and len(high) and 2 * low.mean() >= high.mean() else content
+
+
+def marked_lines(page: Lines, in_article: np.ndarray) -> list[bool]:
+    """Which lines are boilerplate, by element or by a name that counts."""
+    boilers = [b for _, _, _, b in page.lines]
+    hard = [b == HARD for b in boilers]
+    live = [False] + [True] * (len(page.around) - 1)
+    if len(live) > 1 and not all(hard) and not any(
+            b == 0 and in_article[box] for _, _, box, b in page.lines):
+        held = [0] * len(live)
+        for text, _, _, b in page.lines:
+            if b != HARD:
+                held[b] += len(text)
+        free, whole = held[0], sum(held)
+        for k in range(len(live) - 1, 0, -1):               # marks come after those around them
+            if page.around[k]:
+                held[page.around[k]] += held[k]
+            live[k] = held[k] <= (MOST_REPLIES if page.replies[k] else MOST) * whole
+        if not free and all(live[1:]):                      # all text is named: the largest part counts
+            live[max(range(1, len(live)), key=lambda k: (not page.replies[k], held[k]))] = False
+    for k in range(1, len(live)):
+        live[k] |= page.around[k] > 0 and live[page.around[k]]
+    return [h or live[b] for h, b in zip(hard, boilers, strict=True)]
+
+
 def content_lines(page: Lines) -> list[str]:
-    lines = page.lines
-    if all(b for _, _, _, b in lines):
+    lines, n = page.lines, len(page.parent)
+    in_article = np.array([kind in ("article", "main") for kind in page.kind])
+    for box in range(1, n):                                 # children come after their parents
+        in_article[box] |= in_article[page.parent[box]]
+    marked = marked_lines(page, in_article)
+    if all(marked):
         return []
-    ratios = smoothed(np.array([0.0 if b else len(t) / max(1, tags) for t, tags, _, b in lines]))
-    cut = threshold(ratios)
-    weight = np.zeros(len(page.parent))
-    for (text, _, box, boiler), r in zip(lines, ratios, strict=True):
-        if not boiler and r >= cut:
+    content = rated(page, marked)
+    if not content.any():
+        content = ~np.array(marked)
+    weight, count = np.zeros(n), np.zeros(n, dtype=np.int64)
+    for (text, _, box, _), good in zip(lines, content, strict=True):
+        if good:
             weight[box] += len(text)
-    if not weight.any():
-        for text, _, box, boiler in lines:
-            if not boiler:
-                weight[box] += len(text)
-    for box in range(len(page.parent) - 1, 0, -1):          # children come after their parents
+            count[box] += 1
+    for box in range(n - 1, 0, -1):
         weight[page.parent[box]] += weight[box]
-    children: dict[int, list[int]] = {}
-    for box in range(1, len(page.parent)):
-        children.setdefault(page.parent[box], []).append(box)
-    region = 0
-    while page.kind[region] not in ("article", "main") or any(
-            page.kind[c] in ("article", "main") and weight[c] >= BULK * weight[region]
-            for c in children.get(region, ())):
-        best = max(children.get(region, ()), key=lambda c: weight[c], default=None)
-        if best is None or weight[best] < BULK * weight[region]:
-            break
-        region = best
-    inside = np.zeros(len(page.parent), dtype=bool)
-    inside[region] = True
-    for box in range(region + 1, len(page.parent)):
-        inside[box] = inside[page.parent[box]]
-    return [t for t, _, box, b in lines if inside[box] and not b]
+        count[page.parent[box]] += count[box]
+    # The smallest container of all content lines; then articles in it that hold the bulk.
+    region = max(box for box in range(n) if count[box] == count[0])
+    articles = [box for box in range(n) if page.kind[box] in ("article", "main")]
+    inside = np.zeros(n, dtype=bool)
+
+    def enter(region):
+        inside[:] = False
+        inside[region] = True
+        for box in range(region + 1, n):
+            inside[box] = inside[page.parent[box]]
+
+    for box in [0, *articles]:                              # from the outside in
+        if box == 0 or inside[box] and weight[box] >= BULK * weight[within]:
+            within = box
+            enter(box)
+    if within:
+        return [t for (t, _, box, _), b in zip(lines, marked, strict=True) if inside[box] and not b]
+    enter(region)
+    return [t for k, ((t, _, box, _), b) in enumerate(zip(lines, marked, strict=True))
+            if (inside[box] or k in page.titles) and not b]
 
 
 def main_text(html: str | None) -> str:

@@ -220,6 +220,20 @@ PAGES = [
 ]
 
 
+def test_main_text_keeps_content_lines_outside_the_bulk():
+    long, other = "long text " * 40, "other words " * 18
+    cases = [
+        ("<body><h1>A whole title</h1><div>" + "text " * 60 + "</div></body>", "A whole title\n" + "text " * 60),
+        (f"<body><div><p>{long}</p></div><div><p>{other}</p></div></body>", f"{long}\n{other}"),
+        (f"<body><div><p>{other}</p><blockquote><p>{long}</p></blockquote><p>{other}</p></div></body>", f"{other}\n{long}\n{other}"),
+        (f"<body><p>{other}</p><table><tr><td>{long}</td></tr></table></body>", f"{other}\n{long}"),
+        *[(f"<body><div class='menu'><a>m</a></div><div class='{c}'><p>{long}</p><div class='sidebar'>s</div></div></body>", long)
+          for c in ("content has-sidebar", "with-comments", "search-results")],
+        (f"<body class='x'><div id='search'><div class='with-comments'><p>{long}</p></div></div></body>", long)]
+    for html, want in cases:
+        assert html_text.main_text(html) == "\n".join(" ".join(x.split()) for x in want.split("\n")), html[:60]
+
+
 def test_main_text(spark):
     for html, text in PAGES:
         assert html_text.main_text(html) == text, html
