@@ -454,9 +454,16 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The documents without their near copies: of each component the row with
-    the smallest id stays, all columns kept."""
-    found = jaccard_components(docs, id_col=id_col, text_col=text_col, **kw)
-    stay = (found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-            .select(F.col(id_col).alias("_stay")).distinct())
-    return docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("_stay")), "left_semi")
+    """The documents without their near copies: of each component exactly one
+    row stays, that of the smallest id (rows without an id come last), all
+    columns kept. Every row is a document of its own, also where ids repeat."""
+    row = "_row"
+    while row in docs.columns:
+        row = "_" + row
+    keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "keyed-rows")
+    found = jaccard_components(keyed.select(row, F.col(f"`{text_col}`").alias("t")), id_col=row, text_col="t", **kw)
+    number = F.col(f"`{id_col}`")
+    stay = (found.select(row, "component_id").join(keyed.select(row, number.alias("id")), row).groupBy("component_id")
+            .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", row)).alias("first"))
+            .select(F.col(f"first.{row}").alias(row)))
+    return keyed.join(stay, row, "left_semi").drop(row)

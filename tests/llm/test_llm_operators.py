@@ -316,6 +316,21 @@ def test_ngram_join_matches_all_pairs(spark, rare, block):
     assert ngram_join.jaccard_components(docs.where("false")).count() == 0
 
 
+def test_first_of_each_keeps_one_row_of_each_group(spark):
+    base, other = prose(501, 200), prose(502, 200)
+    near = base + " one more word"
+    texts = [(5, base), (5, base), (9, near), (5, other), (7, other), (None, near), (None, prose(503, 50)),
+             (None, prose(503, 50)), (8, prose(503, 50) + " x"), (None, prose(504, 60)), (None, prose(504, 60) + " y"),
+             (None, None), (20, "")]
+    docs = docs_of(spark, texts)
+    kept = ngram_join.first_of_each(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((x.doc_id, x.text) for x in kept.collect()), key=str)
+    last = [t for i, t in got if i is None and t and t.startswith(prose(504, 60))]
+    assert len(last) == 1 and got == sorted([(5, base), (5, other), (8, prose(503, 50) + " x"), (None, last[0]), (None, None),
+                                             (20, "")], key=str)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (9, 9), (2, 1), *[(k, k + 1) for k in range(100, 160)]], "a bigint, b bigint")
     got = {r.node: r.root for r in components(edges).collect()}
