@@ -5,14 +5,15 @@
    smallest id hashes; every domain gets an equal share of it). It gives every
    document posteriors over the domains. A text's evidence counts as at most
    ``evidence`` words, so posteriors of long texts stay soft.
-2. *Rates.* With n tokens and posteriors p of each document, rates r >= least
-   are sought such that the expected totals T = sum r n p / sum n equal the
-   targets t. Projected gradient on the least-squares distance in the norm of
-   H^-1, H = sum n p p' / sum n: the gradient of a document is p' H^-1 (T - t)
-   and its Lipschitz constant is one, so full steps are safe and, while no
-   rate is at its bound, the first one is exact. A pass over the table is one
-   partial aggregate of a few sums; the rates are an expression of the
-   posteriors and the steps so far, so nothing else is kept between passes.
+2. *Rates.* With n tokens and posteriors p of each document, the rates r >=
+   least nearest to one (in the sum of n (r - 1)^2) are sought whose expected
+   totals T = sum r n p / sum n equal the targets t. They are r = max(least,
+   1 - p x) for one number x of each domain, the minimum of a smooth convex
+   function, found by Newton steps over the rows that are not at their bound.
+   A pass over the table is one partial aggregate of a few sums, for a few
+   lengths of the step at once; the rates are an expression of the posteriors,
+   so nothing else is kept between passes. Targets out of reach are missed by
+   as little as can be; the miss is returned and warned of.
 3. *Copies.* A document of rate r occurs floor(r + u) times, u a hash of its
    id in [0, 1): r times in expectation.
 
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -42,8 +44,10 @@ from feedloom.llm.common import stored
 BUCKETS = 8192
 MAX_ROWS = 6000
 EVIDENCE = 20.0
-PASSES = 20
+PASSES = 100
 CLOSE = 1e-4
+RIDGE = 1e-9
+LENGTHS = (1.0, 0.25, 1 / 16, 1 / 64, 1 / 256)
 # The domains of the labelled table and their target shares of the tokens.
 DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.80, "low": 0.15, "toxic": 0.05}
@@ -123,33 +127,59 @@ def rate_of(steps: list[list[float]], k: int, least: float) -> Column:
 
 
 def solve(table: DataFrame, targets: list[float], *, total: float | None = None, least: float = 0.0,
-          passes: int = PASSES, close: float = CLOSE) -> list[list[float]]:
-    """The steps of projected gradient over the rows (_n, _p0 ..). ``total``:
-    the token total aimed at, as a multiple of the present one; None stands
-    for the smallest at which no domain's target lies under what it holds."""
+          passes: int = PASSES, close: float = CLOSE) -> tuple[list[list[float]], float]:
+    """The steps of ``rate_of`` for the rows (_n, _p0 ..), and the largest miss
+    of a target that is left. ``total``: the token total aimed at, as a multiple
+    of the present one; None stands for the smallest at which no domain's
+    target lies under what it holds."""
     k = len(targets)
     p = [F.col(f"_p{j}") / 1e6 for j in range(k)]
     n = F.col("_n").cast("double")
-    sums = table.agg(F.sum(n).alias("n"), *[F.sum(n * p[i] * p[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i + 1)],
-                     *[F.sum(n * p[j]).alias(f"t{j}") for j in range(k)]).first()
-    size = sums.n or 0.0
+    size = float(table.agg(F.sum(n).alias("n")).first().n or 0.0)
     if not size:
-        return []
-    h = np.array([[sums[f"h{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)]) / size
-    inverse = np.linalg.inv(h + 1e-9 * np.eye(k))
-    held = np.array([sums[f"t{j}"] for j in range(k)]) / size
+        return [], 0.0
+
+    def sums(xs: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """For each x the convex function without its linear part, T and the
+        second derivatives, in one pass."""
+        cols = []
+        for m, x in enumerate(xs):
+            rate = F.lit(1.0) - sum((p[j] * F.lit(float(x[j])) for j in range(1, k)), p[0] * F.lit(float(x[0])))
+            free = rate >= least
+            cols.append(F.sum(n * F.when(free, rate * rate / 2).otherwise(rate * least - least * least / 2)).alias(f"f{m}"))
+            cols += [F.sum(n * F.greatest(F.lit(float(least)), rate) * p[j]).alias(f"t{m}_{j}") for j in range(k)]
+            cols += [F.sum(F.when(free, n * p[i] * p[j]).otherwise(0.0)).alias(f"h{m}_{i}_{j}")
+                     for i in range(k) for j in range(i + 1)]
+        row = table.agg(*cols).first()
+        return [(row[f"f{m}"] / size, np.array([row[f"t{m}_{j}"] for j in range(k)]) / size,
+                 np.array([[row[f"h{m}_{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)]) / size)
+                for m in range(len(xs))]
+
+    x = np.zeros(k)
+    value, held, second = sums([x])[0]
     t = np.array(targets, dtype=float) / sum(targets)
     t = t * (total if total is not None else float(np.max(held / np.maximum(t, 1e-12))))
-    steps: list[list[float]] = []
+    shrink = 1.0
     for _ in range(passes):
-        if np.abs(held - t).max() <= close:
+        slope = t - held + RIDGE * x
+        if np.abs(held - t).max() <= close or np.abs(slope).max() <= close / 100:
             break
-        step = inverse @ (held - t)
-        steps.append([float(f"{x:.12g}") for x in step])
-        rate = rate_of(steps, k, least)
-        now = table.agg(*[F.sum(rate * n * p[j]).alias(f"t{j}") for j in range(k)]).first()
-        held = np.array([now[f"t{j}"] for j in range(k)]) / size
-    return steps
+        step = np.linalg.solve(second + RIDGE * np.eye(k), -slope)
+        tried = [np.array([float(f"{v:.12g}") for v in x + shrink * a * step]) for a in LENGTHS]
+        found = [(f + t @ y + RIDGE / 2 * (y @ y), h, s) for y, (f, h, s) in zip(tried, sums(tried), strict=True)]
+        now = value + t @ x + RIDGE / 2 * (x @ x)
+        best = next((m for m, a in enumerate(LENGTHS) if found[m][0] <= now + 1e-4 * shrink * a * (slope @ step)), None)
+        if best is None:                                    # shorter steps next time
+            shrink *= LENGTHS[-1] / 4
+            if shrink < 1e-12:
+                break
+            continue
+        x, shrink = tried[best], 1.0
+        value, held, second = found[best][0] - t @ x - RIDGE / 2 * (x @ x), found[best][1], found[best][2]
+    miss = float(np.abs(held - t).max())
+    if miss > close:
+        warnings.warn(f"mixing targets missed by up to {miss:.6f} of the tokens", RuntimeWarning, stacklevel=3)
+    return ([x.tolist()] if x.any() else []), miss
 
 
 def copies_of(rate: Column, key: Column) -> Column:
@@ -160,16 +190,20 @@ def copies_of(rate: Column, key: Column) -> Column:
 
 def mixed(docs: DataFrame, labels: DataFrame, *, targets: dict = TARGETS, id_col: str = "doc_id", text_col: str = "text",
           total: float | None = 1.0, least: float = 0.0, domain: Column | None = None) -> DataFrame:
-    """One row per document: id, ``n_tokens``, ``p_<domain>`` .., ``rate``, ``copies``."""
+    """One row per document: id, ``n_tokens``, ``p_<domain>`` .., ``rate``, ``copies``, and
+    ``miss``, the largest miss of a target by the expected totals (at most
+    ``CLOSE`` where the targets can be met)."""
     domains = tuple(targets)
     model = fit(docs, labels, domains, domain=domain, id_col=id_col, text_col=text_col)
     narrow = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_t"))
     k = len(domains)
     rows = stored(posteriors(narrow, model, text_col="_t").select("_id", "_n", *[f"_p{j}" for j in range(k)]), "posteriors")
-    rate = rate_of(solve(rows, [targets[d] for d in domains], total=total, least=least), k, least)
+    steps, miss = solve(rows, [targets[d] for d in domains], total=total, least=least)
+    rate = rate_of(steps, k, least)
     return rows.select(F.col("_id").alias(id_col), F.col("_n").alias("n_tokens"),
                        *[(F.col(f"_p{j}") / 1e6).alias(f"p_{d}") for j, d in enumerate(domains)],
-                       rate.alias("rate"), copies_of(rate, F.col("_id")).alias("copies"))
+                       rate.alias("rate"), copies_of(rate, F.col("_id")).alias("copies"),
+                       F.lit(miss).alias("miss"))
 
 
 def resample(docs: DataFrame, labels: DataFrame, *, targets: dict = TARGETS, id_col: str = "doc_id",
@@ -182,7 +216,7 @@ def resample(docs: DataFrame, labels: DataFrame, *, targets: dict = TARGETS, id_
     model = fit(docs, labels, domains, domain=domain, id_col=id_col, text_col=text_col)
     narrow = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_t"))
     rows = stored(posteriors(narrow, model, text_col="_t").select("_n", *[f"_p{j}" for j in range(k)]), "posteriors")
-    steps = solve(rows, [targets[d] for d in domains], total=total, least=least)
+    steps, _ = solve(rows, [targets[d] for d in domains], total=total, least=least)
     # The rate is an expression of the row's own posteriors: no join back.
     times = copies_of(rate_of(steps, k, least), F.col(f"`{id_col}`"))
     # The row number keeps the optimizer from moving the filter, and with it a

@@ -58,6 +58,27 @@ def test_mixing_meets_targets_and_matches_direct_solution(spark):
     assert np.allclose(rate, [r.rate for r in out], atol=1e-6)
 
 
+@pytest.mark.parametrize("targets", [(0.84, 0.14, 0.02), (0.05, 0.05, 0.90), (0.80, 0.15, 0.05)])
+def test_rates_far_from_the_tables_meet_their_targets(spark, targets):
+    r = np.random.default_rng(3)
+    p = r.dirichlet((0.8, 0.5, 0.3), 20_000)
+    n = r.integers(1, 500, len(p))
+    p = np.rint(p * 1e6).astype(int)
+    rows = spark.createDataFrame([(int(a), *map(int, b)) for a, b in zip(n, p)], "_n bigint, _p0 int, _p1 int, _p2 int").coalesce(2).cache()
+    out = mixing.solve(rows, list(targets), total=1.0, least=0.0)
+    steps = out[0] if isinstance(out, tuple) else out
+    rate = mixing.rate_of(steps, 3, 0.0)
+    held = rows.agg(*[F.sum(rate * F.col("_n") * F.col(f"_p{j}") / 1e6) for j in range(3)]).first()
+    assert np.abs(np.array(held) / n.sum() - targets).max() <= mixing.CLOSE
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    rows = spark.createDataFrame([(10, 500_000, 500_000), (30, 400_000, 600_000)], "_n bigint, _p0 int, _p1 int")
+    with pytest.warns(RuntimeWarning):
+        _, miss = mixing.solve(rows, [0.9, 0.1], total=1.0)
+    assert miss > 0.1
+
+
 def test_resampling_repeats_and_keeps_columns(spark):
     docs = docs_of(spark, [(i, prose(i, 20)) for i in range(12)] + [(50 + i, "!!! ### " * 9) for i in range(4)])
     labels = spark.createDataFrame([(i, 1, 0) for i in range(12)] + [(50 + i, 0, 0) for i in range(4)],
