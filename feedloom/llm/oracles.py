@@ -93,3 +93,24 @@ SELECT w.doc_id, len(w.ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_i
        sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+ORACLES["op13_ball_tree"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (
+  SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS ws FROM benchmark),
+a AS (SELECT count(*) AS n_docs, coalesce(sum(len(ws)), 0)::BIGINT AS n_terms FROM d WHERE len(ws) > 0),
+asked AS (SELECT q, item_id, unnest(ws) AS t FROM b),
+f AS (SELECT r, doc_id, n, t, count(*) AS tf
+      FROM (SELECT r, doc_id, len(ws)::BIGINT AS n, unnest(ws) AS t FROM d)
+      WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, a GROUP BY t, n_docs),
+v AS (SELECT r, doc_id, t, w.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_docs) // n_terms)))) AS x
+      FROM f JOIN w USING (t), a),
+s AS (SELECT q, item_id, r, doc_id, sum(x)::BIGINT AS score FROM asked JOIN v USING (t) GROUP BY ALL HAVING sum(x) > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id ASC NULLS LAST)::INTEGER AS rank FROM s)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10
+"""

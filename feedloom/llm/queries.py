@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import (decontaminate, html_text, mixing, ngram_join, permutation_index, repeats, token_files,
+from feedloom.llm import (ball_tree, decontaminate, html_text, mixing, ngram_join, permutation_index, repeats, token_files,
                           toxicity, url_reputation, warc)
 from feedloom.llm.common import shared_path, stored, table
 from feedloom.llm.oracles import ORACLES  # noqa: F401
@@ -72,6 +72,10 @@ def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op13_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_soft_mixing, op2_permutation_index, op3_warc_transactions, op4_counterfactual_toxicity, op5_token_files,
-    op6_text_to_tag_ratio, op7_host_reputation, op8_ngram_join, op9_run_length_index, op10_wu_manber)}
+    op6_text_to_tag_ratio, op7_host_reputation, op8_ngram_join, op9_run_length_index, op10_wu_manber, op13_ball_tree)}
