@@ -6,17 +6,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import (ball_tree, decontaminate, html_text, mixing, ngram_join, permutation_index, repeats, token_files,
-                          toxicity, url_reputation, warc)
+from feedloom.llm import (align, ball_tree, decontaminate, html_text, mixing, ngram_join, permutation_index, repeats,
+                          token_files, toxicity, url_reputation, warc)
 from feedloom.llm.common import shared_path, stored, table
 from feedloom.llm.oracles import ORACLES  # noqa: F401
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
-def tokenizer_file() -> str:
+def tokenizer_file(name: str = TOKENIZER) -> str:
     import public_tokenizers
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,10 +73,15 @@ def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"), tokenizer_file(), tokenizer_file(PIECES))
+
+
 def op13_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_soft_mixing, op2_permutation_index, op3_warc_transactions, op4_counterfactual_toxicity, op5_token_files,
-    op6_text_to_tag_ratio, op7_host_reputation, op8_ngram_join, op9_run_length_index, op10_wu_manber, op13_ball_tree)}
+    op6_text_to_tag_ratio, op7_host_reputation, op8_ngram_join, op9_run_length_index, op10_wu_manber, op11_cross_tokenizer,
+    op13_ball_tree)}
