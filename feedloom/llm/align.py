@@ -12,7 +12,7 @@ linked; a group ends where tokens of both end.
    hash deals it to a shard of about ``SHARD_KEYS``), with the key of every slot
    for verification.
 3. Each task adds its pairs up in one dense vector indexed by the hash; vectors
-   are summed as a tree, ``FAN`` at a time, in chunks of ``CHUNK`` slots.
+   are summed as a tree of bounded fan-in, chunk by chunk.
 4. Second pass: align the documents again and look the counts up.
 
 Shards are worked on in groups of at most ``GROUP_KEYS`` slots: what a task gets
@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import gives_back, stored, workers_ready
 from feedloom.llm.perfect_hash import Slots, mix
 from feedloom.llm.token_files import PLAIN, TAIL, ByteLetters
+from feedloom.llm.tree_sum import DDL, chunks, tree_sum
 
 BLANK = "▁"
 UNITS = 300_000
@@ -54,8 +55,6 @@ UNIT_BYTES = 64 * 1024 * 1024
 PAIRS_A_ROW = 262_144
 SHARD_KEYS = 262_144
 GROUP_KEYS = 4_194_304
-CHUNK = 65_536
-FAN = 16
 SHARD_SEED = 1000                                               # a seed that no level of the hash uses
 
 #: Bytes that the byte-level alphabet shows as the character of the same number; the others follow from 256 on.
@@ -369,7 +368,7 @@ class PairTable:
         return np.concatenate([self.slots[s].keys for s in sorted(self.slots)])
 
 
-def dense_counts(parts: DataFrame, table: PairTable, chunk: int = CHUNK, fan: int = FAN) -> np.ndarray:
+def dense_counts(parts: DataFrame, table: PairTable) -> np.ndarray:
     """Links of every slot: one dense vector a task, summed as a tree."""
     def vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -379,39 +378,9 @@ def dense_counts(parts: DataFrame, table: PairTable, chunk: int = CHUNK, fan: in
                 slot = table.find(np.frombuffer(keys, np.int64))
                 held = slot >= 0
                 total[slot[held]] += np.frombuffer(links, np.int64)[held]     # a row holds a pair once
-        for i in range(0, table.size, chunk):
-            piece = total[i:i + chunk]
-            if piece.any():
-                yield row(node, i // chunk, piece)
+        yield from chunks(node, total)
 
-    def row(node: int, part: int, piece: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([node], pa.int32()), pa.array([part], pa.int32()),
-                                           pa.array([piece.tobytes()], pa.binary())], names=["node", "part", "vector"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total = None, None
-        for b in batches:
-            for node, part, piece in zip(*(c.to_pylist() for c in b.columns)):
-                if at is not None and at != (node, part):
-                    yield row(*at, total)
-                    at = None
-                if at is None:
-                    at, total = (node, part), np.frombuffer(piece, np.int64).copy()
-                else:
-                    total += np.frombuffer(piece, np.int64)
-        if at is not None:
-            yield row(*at, total)
-
-    ddl = "node int, part int, vector binary"
-    sums, nodes = parts.mapInArrow(vector, ddl), parts.rdd.getNumPartitions()
-    while nodes > 1:
-        nodes = math.ceil(nodes / fan)
-        sums = (sums.withColumn("node", F.floor(F.col("node") / fan).cast("int")).repartition("node", "part")
-                .sortWithinPartitions("node", "part").mapInArrow(add, ddl))
-    out = np.zeros(table.size, np.int64)
-    for r in sums.toLocalIterator():                            # at most GROUP_KEYS numbers in all
-        out[r.part * chunk:(r.part + 1) * chunk] += np.frombuffer(bytes(r.vector), np.int64)
-    return out
+    return tree_sum(parts.mapInArrow(vector, DDL), parts.rdd.getNumPartitions(), table.size, np.int64)
 
 
 def _grouped(hashes: DataFrame, group_keys: int) -> list[list[int]]:

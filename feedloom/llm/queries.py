@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import (align, ball_tree, decontaminate, html_text, mixing, ngram_join, permutation_index, repeats,
-                          token_files, toxicity, url_reputation, warc)
+from feedloom.llm import (align, ball_tree, decontaminate, html_text, log_bilinear, mixing, ngram_join,
+                          permutation_index, repeats, token_files, toxicity, url_reputation, warc)
 from feedloom.llm.common import shared_path, stored, table
 from feedloom.llm.oracles import ORACLES  # noqa: F401
 
@@ -77,6 +77,10 @@ def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment(table(spark, sf_dir, "documents"), tokenizer_file(), tokenizer_file(PIECES))
 
 
+def op12_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_bilinear.scores(table(spark, sf_dir, "documents"))
+
+
 def op13_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -84,4 +88,4 @@ def op13_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_soft_mixing, op2_permutation_index, op3_warc_transactions, op4_counterfactual_toxicity, op5_token_files,
     op6_text_to_tag_ratio, op7_host_reputation, op8_ngram_join, op9_run_length_index, op10_wu_manber, op11_cross_tokenizer,
-    op13_ball_tree)}
+    op12_log_bilinear, op13_ball_tree)}
