@@ -13,16 +13,19 @@ weights; the score is the inner product.
    length; totals and document frequencies are partial aggregates over it.
 3. ``SHARD_DOCS`` documents at a time (fewer, if long) become a ball tree: a
    node splits its documents at the middle of the line between two far apart
-   ones. A node holds a centroid in single precision and the greatest distance
-   of its documents from that stored centroid, rounded upwards, so every error
-   of the centroid is inside the radius. One index row is one shard; building
-   moves no data between tasks.
+   ones. A node holds a centroid in single precision, the greatest distance of
+   its documents from that stored centroid (the ball's radius), and how far
+   they reach above it along each coordinate, all rounded upwards, so every
+   error of the centroid is inside the radii. One index row is one shard;
+   building moves no data between tasks.
 4. Seeds: every shard descends to the best leaf of each query. The k-th best
    seed over all shards is a score that the answer reaches for certain.
 5. Search: each shard opens nodes in the order of the bound
-   ``<query, centroid> + |query| * radius`` (rounded upwards) until the bound is
-   below the k-th best score known. Leaves are scored in exact integers, so the
-   answer is that of scoring every document.
+   ``<query, centroid> + min(|query| * radius, <query, reach>)`` (rounded upwards)
+   until the bound is below the k-th best score known. The ball alone is wide in
+   many dimensions; a query looks at few of them, and along those the reach is
+   short. Leaves are scored in exact integers, so the answer is that of scoring
+   every document.
 
 Vectors are scaled by the square root of the term's weight on both sides, which
 leaves products as they are and keeps common terms from widening the balls.
@@ -51,7 +54,7 @@ K = 10
 BLOCK_TERMS = 100_000
 SHARD_DOCS = 4096
 SHARD_ENTRIES = 4_000_000
-LEAF = 48
+LEAF = 32
 
 #: A-Z lower-cased, what is no part of a term (below 0x80 all but letters and digits) blank.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -89,23 +92,26 @@ class Rows:
         return np.add.reduceat(self.values * dense[self.ids], self.start[:-1])
 
 
-def _widest(rows: Rows, squares: np.ndarray, dims: int) -> tuple[np.ndarray, float, np.ndarray]:
-    """(centroid in single precision, radius around it, squared distances)."""
+def _ball(rows: Rows, squares: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """(centroid and reach above it in single precision, radius, squared distances)."""
     centre = (np.bincount(rows.ids, rows.values, dims) / len(rows)).astype(np.float32)
     wide = centre.astype(np.float64)
     size = float(wide @ wide)
     away = np.maximum(squares - 2 * rows.dot(wide) + size, 0)
     # The slack covers the rounding of the three sums above.
-    return centre, math.sqrt(float((away + 1e-11 * (squares + size)).max())) * (1 + 1e-9), away
+    top = np.zeros(dims)
+    np.maximum.at(top, rows.ids, rows.values)
+    reach = np.nextafter((top - wide).astype(np.float32), np.float32(np.inf))
+    return centre, reach, math.sqrt(float((away + 1e-11 * (squares + size)).max())) * (1 + 1e-9), away
 
 
 def build(rows: Rows, dims: int, leaf: int = LEAF) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """(order of the rows, nodes) of a ball tree. Nodes: ``lo`` and ``hi`` in
     that order, ``left`` and ``right`` (-1: a leaf), ``radius``, and the
-    centroids by coordinate (``c_term``, ``c_node``, ``c_value``)."""
+    centroids by coordinate (``c_term``, ``c_node``, ``c_value``, ``c_reach``)."""
     squares = np.add.reduceat(rows.values * rows.values, rows.start[:-1])
     order = np.arange(len(rows))
-    lo, hi, left, right, radius, terms, owners, values = [], [], [], [], [], [], [], []
+    lo, hi, left, right, radius, terms, owners, values, reaches = [], [], [], [], [], [], [], [], []
     todo = [(0, len(rows), -1, 0)]
     while todo:
         a, b, parent, side = todo.pop()
@@ -114,10 +120,10 @@ def build(rows: Rows, dims: int, leaf: int = LEAF) -> tuple[np.ndarray, dict[str
             (left, right)[side][parent] = node
         here = order[a:b]
         own = rows.take(here)
-        centre, r, away = _widest(own, squares[here], dims)
+        centre, reach, r, away = _ball(own, squares[here], dims)
         at = np.flatnonzero(centre)
         lo.append(a), hi.append(b), left.append(-1), right.append(-1), radius.append(r)
-        terms.append(at), owners.append(np.full(len(at), node)), values.append(centre[at])
+        terms.append(at), owners.append(np.full(len(at), node)), values.append(centre[at]), reaches.append(reach[at])
         if b - a <= leaf or r <= 1e-4 * math.sqrt(float(squares[here].max())):        # few rows, or all alike
             continue
         line = _direction(own, int(away.argmax()), squares[here], dims)
@@ -130,7 +136,7 @@ def build(rows: Rows, dims: int, leaf: int = LEAF) -> tuple[np.ndarray, dict[str
         "lo": np.array(lo, np.int32), "hi": np.array(hi, np.int32), "left": np.array(left, np.int32),
         "right": np.array(right, np.int32), "radius": np.array(radius, np.float64),
         "c_term": term[by_term].astype(np.int32), "c_node": np.concatenate(owners)[by_term].astype(np.int32),
-        "c_value": np.concatenate(values)[by_term]}
+        "c_value": np.concatenate(values)[by_term], "c_reach": np.concatenate(reaches)[by_term]}
 
 
 def _direction(rows: Rows, far: int, squares: np.ndarray, dims: int) -> np.ndarray:
@@ -149,7 +155,7 @@ def _direction(rows: Rows, far: int, squares: np.ndarray, dims: int) -> np.ndarr
 #: Arrays of a shard, each a binary column of the index.
 ARRAYS = {"doc": np.int64, "no_id": np.bool_, "start": np.int64, "term": np.int32, "value": np.int32,
           "lo": np.int32, "hi": np.int32, "left": np.int32, "right": np.int32, "radius": np.float64,
-          "c_term": np.int32, "c_node": np.int32, "c_value": np.float32}
+          "c_term": np.int32, "c_node": np.int32, "c_value": np.float32, "c_reach": np.float32}
 INDEX_DDL = ", ".join(f"`{name}` binary" for name in ARRAYS)
 
 
@@ -167,9 +173,10 @@ class Shard:
         size = b - a
         ends = np.cumsum(size)
         at = np.repeat(a - ends + size, size) + np.arange(size.sum())
-        root = np.sqrt(weights.astype(np.float64))
-        dot = np.bincount(self.c_node[at], self.c_value[at] * np.repeat(root, size), len(self.radius))
-        return (dot + math.sqrt(float(weights.sum())) * self.radius) * (1 + 1e-9) + 1
+        node, root = self.c_node[at], np.repeat(np.sqrt(weights.astype(np.float64)), size)
+        dot = np.bincount(node, self.c_value[at] * root, len(self.radius))
+        along = np.bincount(node, self.c_reach[at] * root, len(self.radius))
+        return (dot + np.minimum(math.sqrt(float(weights.sum())) * self.radius, along)) * (1 + 1e-9) + 1
 
     def scores(self, lo: int, hi: int) -> np.ndarray:
         a, b = self.start[lo], self.start[hi]
