@@ -9,6 +9,7 @@ import json
 from pyspark.sql import functions as F
 
 from feedloom.functions import jsonfn as J
+from feedloom.functions.dates import utc_wall_clock
 from feedloom.functions import strings as S
 from feedloom.operators import status as R
 from feedloom.operators.enrich import extract, transcribe
@@ -226,16 +227,21 @@ def feed_xml_rows(spark, sf):
 
 @register("feed_item_rows", f"""
 WITH {DOC_FIELDS_SQL.strip()}
-SELECT regexp_replace(feed_url, '[^A-Za-z0-9]', '_', 'g') || '.xml' AS feed, id, title, audio_url,
-       text AS description, CAST(NULL AS VARCHAR) AS error
+SELECT regexp_replace(feed_url, '[^A-Za-z0-9]', '_', 'g') || '.xml' AS feed, position, id, title, audio_url,
+       strftime(ts, '%Y-%m-%d %H:%M:%S') AS published_at, text AS description, author, duration, explicit, categories,
+       CAST(enclosures AS INTEGER) AS enclosures, CAST(NULL AS VARCHAR) AS error
 FROM doc_fields""")
 def feed_item_rows(spark, sf):
     """S2 for very large feed files, cut by item: the good items of feeds with
-    a broken channel are there too."""
+    a broken channel are there too. Ranges are small here, so that items cross
+    them."""
     path = _write_feed_files(spark, sf)
-    items = read_feed_items(spark, path)
+    items = read_feed_items(spark, path, split_bytes=64 * 1024)
     feed = F.url_decode(F.regexp_extract("feed_url", r"name=([^/]+)/[^/]+$", 1))
-    return items.select(feed.alias("feed"), "id", "title", "audio_url", "description", "error")
+    return items.select(feed.alias("feed"), "position", "id", "title", "audio_url",
+                        F.date_format(utc_wall_clock("published_at"), "yyyy-MM-dd HH:mm:ss").alias("published_at"),
+                        "description", "author", "duration", "explicit",
+                        F.array_join("categories", "|").alias("categories"), "enclosures", "error")
 
 
 @register("stream_episodes", f"""

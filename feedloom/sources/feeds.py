@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from feedloom.functions.dates import parse_pub_date
 from feedloom.functions.strings import empty_to_null, trim_ws
 from feedloom.schemas import ATOM_SCHEMA, JSON_FEED_SCHEMA, RSS_CHANNEL_SCHEMA, RSS_ITEM_DDL, RSS_SCHEMA
+from feedloom.sources.splits import SPLIT_BYTES, item_texts
 
 XML_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 INVALID_FEED = "invalid feed XML"
 NO_CHANNEL = "feed has no channel"
 INVALID_ITEM = "invalid feed item"
-ITEM_END = "</item>"
 
 
 class FeedTables(NamedTuple):
@@ -83,6 +83,25 @@ def podcasts(parsed: DataFrame, dialect: str = "rss") -> DataFrame:
                     F.array().cast("array<string>").alias("categories"))
 
 
+def _rss_item_columns(it: Column) -> list[Column]:
+    """P3-P9 of one RSS item; absent values are empty."""
+    pub = _s(it["pubDate"])
+    return [
+        _s(it["guid"]["_VALUE"]).alias("id"),
+        _s(it["title"]).alias("title"),
+        _s(F.get(it["enclosure"], 0)["_url"]).alias("audio_url"),
+        pub.alias("pub_date"),
+        parse_pub_date(pub).alias("published_at"),
+        trim_ws(_s(it["description"])).alias("description"),
+        _first_nonempty(it["itunes:author"], it["dc:creator"]).alias("author"),
+        _s(it["itunes:duration"]).alias("duration"),
+        (_s(it["itunes:explicit"]) == "yes").alias("explicit"),
+        F.coalesce(it["category"], F.array().cast("array<string>")).alias("categories"),
+        F.lit("").alias("transcript"),
+        F.coalesce(F.size(it["enclosure"]), F.lit(0)).alias("enclosures"),
+    ]
+
+
 def episodes(parsed: DataFrame, dialect: str = "rss", podcast_title: bool = False) -> DataFrame:
     """One row per item, in feed order (``position`` from 0). Absent values
     are '' like the reference's zero values; ``enclosures`` counts the
@@ -93,22 +112,7 @@ def episodes(parsed: DataFrame, dialect: str = "rss", podcast_title: bool = Fals
     if dialect == "rss":
         items = parsed.where(_ok(dialect)).select(
             "feed_url", "podcast_title", F.posexplode(F.col("doc.channel.item")).alias("position", "it"))
-        it = F.col("it")
-        pub = _s(it["pubDate"])
-        cols = [
-            _s(it["guid"]["_VALUE"]).alias("id"),
-            _s(it["title"]).alias("title"),
-            _s(F.get(it["enclosure"], 0)["_url"]).alias("audio_url"),
-            pub.alias("pub_date"),
-            parse_pub_date(pub).alias("published_at"),
-            trim_ws(_s(it["description"])).alias("description"),
-            _first_nonempty(it["itunes:author"], it["dc:creator"]).alias("author"),
-            _s(it["itunes:duration"]).alias("duration"),
-            (_s(it["itunes:explicit"]) == "yes").alias("explicit"),
-            F.coalesce(it["category"], F.array().cast("array<string>")).alias("categories"),
-            F.lit("").alias("transcript"),
-            F.coalesce(F.size(it["enclosure"]), F.lit(0)).alias("enclosures"),
-        ]
+        cols = _rss_item_columns(F.col("it"))
     elif dialect == "atom":
         items = parsed.where(_ok(dialect)).select(
             "feed_url", "podcast_title", F.posexplode(F.col("doc.entry")).alias("position", "it"))
@@ -181,27 +185,21 @@ def read_feed_files(spark: SparkSession, path: str, dialect: str = "rss",
     return read_feeds(raw, dialect=dialect)
 
 
-def read_feed_items(spark: SparkSession, path: str) -> DataFrame:
-    """S2 for very large single feeds: one row per item, in no order.
-
-    The text reader cuts files at ``</item>``, so one file is read by many
-    tasks, and an error stays where it is: a malformed channel costs no item,
-    and a malformed (or unfinished) item comes back as a row with ``error``
-    set, its fields empty. A literal ``</item>`` inside CDATA cuts too and
-    yields an error row."""
-    pieces = (spark.read.format("text").option("recursiveFileLookup", "true").option("lineSep", ITEM_END).load(path)
-              .select(F.col("_metadata.file_path").alias("feed_url"),
-                      F.regexp_extract("value", r"(?s)<item(?:\s[^>]*)?>.*", 0).alias("xml"))
-              .where("xml <> ''"))
-    it = F.from_xml(F.concat("xml", F.lit(ITEM_END)), RSS_ITEM_DDL + ", _corrupt_record string", XML_OPTS)
-    items = pieces.select("feed_url", it.alias("it"))
-    bad = F.col("it").isNull() | F.col("it._corrupt_record").isNotNull()
-
-    def field(x: Column) -> Column:
-        return F.when(bad, F.lit("")).otherwise(_s(x))
-
-    return items.select("feed_url", field(F.col("it.guid._VALUE")).alias("id"), field(F.col("it.title")).alias("title"),
-                        field(F.get(F.col("it.enclosure"), 0)["_url"]).alias("audio_url"),
-                        field(F.col("it.pubDate")).alias("pub_date"),
-                        trim_ws(field(F.col("it.description"))).alias("description"),
-                        F.when(bad, F.lit(INVALID_ITEM)).alias("error"))
+def read_feed_items(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES,
+                    glob: str | None = None) -> DataFrame:
+    """S2 for very large single feeds: one row per item with its position and
+    all fields of an episode.
+
+    Files are read in byte ranges by many tasks (``sources.splits``); an item
+    tag inside CDATA or a comment is text, ``<item/>`` is an item without
+    fields. An error stays where it is: a malformed channel costs no item, and
+    a malformed or unfinished item is a row with ``error`` set and its fields
+    empty."""
+    texts = item_texts(spark, path, split_bytes, glob)
+    item = F.from_xml("xml", RSS_ITEM_DDL + ", _corrupt_record string", XML_OPTS)
+    parsed = texts.select("feed_url", "position", "finished", item.alias("it"))
+    # An item without any field is parsed to null, and so is no error by itself.
+    bad = ~F.col("finished") | F.col("it._corrupt_record").isNotNull()
+    return (parsed.withColumn("error", F.when(bad, F.lit(INVALID_ITEM)))
+            .withColumn("it", F.when(~bad, F.col("it")))
+            .select("feed_url", "position", *_rss_item_columns(F.col("it")), "error"))

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 
 from feedloom.operators.validate import download_plan, limit_per_feed, validate_episodes, with_reject_reason
 from feedloom.sources.feeds import read_feed_files, read_feeds
@@ -156,15 +157,58 @@ def test_feed_items_keep_good_items_and_report_bad_ones(spark, tmp_path):
                     ("g4", "z", None)]
 
 
-def test_one_large_feed_file_splits_and_loses_no_item(spark, tmp_path):
+def awkward_feed(n, seed=3):
+    """A well-formed feed full of item tags that are none."""
+    import random
+    r, parts = random.Random(seed), []
+    for i in range(n):
+        k = r.randrange(9)
+        body = ["plain", "<![CDATA[<item>no</item>]]>", "<![CDATA[]]]]><![CDATA[>x]]>", "<!-- <item> -->b", "<?x <item>?>c",
+                "ünïcode " * 30, "<![CDATA[" + "word " * 60 + "]]>", "a &lt;item&gt;", "<![CDATA[<!-- <?]]>"][k]
+        tag = r.choice(["<item>", '<item a="&gt;>" b=\'/>\'>', "<item\n>", "<item >"])
+        end = r.choice(["</item>", "</item >", "</item\n>"])
+        if r.random() < .1:
+            parts.append(r.choice(["<item/>", "<item />", '<item x=">"/>', "<item></item>", "<!-- <item> </item> -->"]))
+        parts.append(f"{tag}<guid>g{i}</guid><title>t{i}</title><description>{body}</description>"
+                     f"<itunes:duration>{i}:00</itunes:duration><dc:creator>c{k}</dc:creator>{end}")
+    return (f'<?xml version="1.0"?><!-- <item> --><rss version="2.0" {NS}><channel><title>big</title>'
+            + "<itemized>no</itemized>".join(parts) + "</channel></rss>")
+
+
+@pytest.mark.parametrize("split_bytes", [97, 1000, 1 << 20])
+def test_ranges_of_a_feed_file_give_the_items_of_the_whole_file(spark, tmp_path, split_bytes):
     from feedloom.sources.feeds import read_feed_items
-    body = "".join(f"<item><guid>g{i}</guid><description>{'word ' * 40}</description></item>" for i in range(5000))
-    (tmp_path / "big.xml").write_text(f"<rss><channel>{body}</channel></rss>")
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")
-    try:
-        items = read_feed_items(spark, str(tmp_path))
-        assert items.rdd.getNumPartitions() > 4
-        assert items.where("error is null").select("id").distinct().count() == 5000
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    n = 60 if split_bytes < 100 else 400 if split_bytes < 2000 else 9000
+    (tmp_path / "big.xml").write_text(awkward_feed(n))
+    (tmp_path / "small.xml").write_text(awkward_feed(7, seed=9))
+    (tmp_path / "none.xml").write_text(EMPTY)
+    (tmp_path / "zero.xml").write_text("")
+    whole = read_feed_files(spark, str(tmp_path)).episodes
+    items = read_feed_items(spark, str(tmp_path), split_bytes=split_bytes)
+    assert items.where("error is not null").count() == 0
+    cols = [c for c in whole.columns if c != "categories"]
+    want = sorted(map(tuple, whole.select(*cols).collect()), key=str)
+    assert len(want) > n and sorted(map(tuple, items.select(*cols).collect()), key=str) == want
+
+
+def test_no_item_is_lost_beside_odd_ones(spark, tmp_path):
+    from feedloom.sources.feeds import INVALID_ITEM, read_feed_items
+    (tmp_path / "a.xml").write_text("<rss><channel><item><guid>1</guid></item><item/><item><guid>3</guid></item ><item><guid>4</guid>"
+                                    "<item><guid>5</guid></item><item><guid>6</guid></channel></rss>")
+    got = sorted((r.position, r.id, r.error) for r in read_feed_items(spark, str(tmp_path), split_bytes=20).collect())
+    assert got == [(0, "1", None), (1, "", None), (2, "3", None), (3, "", INVALID_ITEM), (4, "5", None), (5, "", INVALID_ITEM)]
+
+
+def test_state_of_a_range_is_that_of_the_whole_scan():
+    from feedloom.sources import splits
+    data = awkward_feed(80).encode()
+    whole = splits.scan(data, splits.TEXT)
+    for size in (11, 64, 333):
+        state, items = splits.TEXT, []
+        cuts = [0] + [i for i in range(size, len(data)) if i % size == 0]
+        starts = [0] + [data.find(b"<", c) for c in cuts[1:]]
+        starts = sorted({s for s in starts if s >= 0}) + [len(data)]
+        for a, b in zip(starts, starts[1:]):
+            state, found = splits.scan(data[a:b], state)
+            items += [a + i for i in found]
+        assert (state, items) == whole
