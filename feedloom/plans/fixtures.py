@@ -25,6 +25,10 @@ BROKEN_SOURCES = ("src3", "src7")
 ITUNES_NS = "http://www.itunes.com/dtds/podcast-1.0.dtd"
 DC_NS = "http://purl.org/dc/elements/1.1/"
 ATOM_NS = "http://www.w3.org/2005/Atom"
+RDF_NS = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+RSS1_NS = "http://purl.org/rss/1.0/"
+ENC_NS = "http://purl.oclc.org/net/rss_2.0/enc#"
+MIXED = ("rss", "atom", "json", "rdf")
 
 
 def _str(x) -> Column:
@@ -111,6 +115,20 @@ def _atom_entry(c=F.col) -> Column:
     return F.concat(F.lit("<entry>"), F.concat_ws("", *parts), F.lit("</entry>"))
 
 
+def _rdf_item(c=F.col) -> Column:
+    """The guid, where there is one, is what the item is about."""
+    parts = [
+        F.when(c("title") != "", _el("title", c("title"))),
+        F.concat(F.lit("<link>https://example.com/ep/"), _str("doc_id"), F.lit("</link>")),
+        _el("description", xml_escape(c("text"))),
+        _el("dc:date", c("iso")), _el("dc:creator", c("creator")), _el("dc:subject", c("lang")),
+        F.when(c("has_enclosure"), F.concat(F.lit('<enc:enclosure rdf:resource="'), c("audio_url"),
+                                            F.lit('" enc:type="audio/mpeg"/>'))),
+    ]
+    head = F.when(c("guid").isNull(), F.lit("<item>")).otherwise(F.concat(F.lit('<item rdf:about="'), c("guid"), F.lit('">')))
+    return F.concat(head, F.concat_ws("", *parts), F.lit("</item>"))
+
+
 def _json_item(c=F.col) -> Column:
     att = F.when(c("has_enclosure"), F.array(F.struct(
         c("audio_url").alias("url"), F.lit("audio/mpeg").alias("mime_type"),
@@ -125,7 +143,7 @@ def feeds_from_documents(docs: DataFrame, dialect: str = "rss") -> DataFrame:
     order, whole document texts as descriptions. Feeds flagged ``broken``
     carry a raw ampersand (XML) or a text prefix (JSON)."""
     f = doc_item_fields(docs)
-    item = {"rss": _rss_item, "atom": _atom_entry, "json": _json_item}[dialect]()
+    item = {"rss": _rss_item, "atom": _atom_entry, "json": _json_item, "rdf": _rdf_item}[dialect]()
     grouped = (f.select("source", "block", "feed_url", "broken", "doc_id", item.alias("item"))
                .groupBy("source", "block", "feed_url", "broken")
                .agg(F.array_sort(F.collect_list(F.struct("doc_id", "item"))).alias("items")))
@@ -152,6 +170,13 @@ def feeds_from_documents(docs: DataFrame, dialect: str = "rss") -> DataFrame:
             _el("title", ttl), _el("description", F.concat(F.lit("Documents from "), src)),
             _el("category", src), _el("category", F.lit("documents")), owner)
         xml = F.concat(head, items, F.lit("</channel></rss>"))
+    elif dialect == "rdf":
+        head = F.concat(
+            F.lit(f'<?xml version="1.0"?><!-- <rss> --><rdf:RDF xmlns="{RSS1_NS}" xmlns:rdf="{RDF_NS}" xmlns:dc="{DC_NS}" '
+                  f'xmlns:enc="{ENC_NS}"><channel>'),
+            _el("title", ttl), _el("description", F.concat(F.lit("Documents from "), src)),
+            _el("dc:creator", F.concat(F.lit("Curator "), blk)), F.lit("</channel>"))
+        xml = F.concat(head, items, F.lit("</rdf:RDF>"))
     else:
         head = F.concat(
             F.lit(f'<?xml version="1.0" encoding="UTF-8"?><feed xmlns="{ATOM_NS}" xmlns:itunes="{ITUNES_NS}">'),
@@ -159,3 +184,13 @@ def feeds_from_documents(docs: DataFrame, dialect: str = "rss") -> DataFrame:
             F.concat(F.lit("<author><name>Host of "), src, F.lit("</name></author>")))
         xml = F.concat(head, items, F.lit("</feed>"))
     return grouped.select("feed_url", xml.alias("xml"))
+
+
+def mixed_feeds(docs: DataFrame) -> DataFrame:
+    """Feeds of all dialects in one table: the block decides."""
+    out = None
+    for k, dialect in enumerate(MIXED):
+        mine = F.floor(F.col("doc_id") / FEED_BLOCK) % len(MIXED) == k
+        feeds = feeds_from_documents(docs.where(mine), dialect)
+        out = feeds if out is None else out.unionByName(feeds)
+    return out

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from feedloom.functions.dates import normalize_pub_date, utc_wall_clock
 from feedloom.functions.strings import effective_id, transcription_hint
 from feedloom.operators.validate import download_plan, limit_per_feed, with_reject_reason
-from feedloom.plans.fixtures import feeds_from_documents
+from feedloom.plans.fixtures import feeds_from_documents, mixed_feeds
 from feedloom.plans.registry import register
 from feedloom.session import table
 from feedloom.sources.feeds import episodes, parse_feeds, read_feeds
+from feedloom.sources.mixed import feed_rows, parse_mixed
 
 # Oracle side of ``doc_item_fields``: the same rules in DuckDB SQL.
 DOC_FIELDS_SQL = """
@@ -128,6 +129,25 @@ def feed_dialects(spark, sf):
     return out
 
 
+@register("feed_mixed", f"""
+WITH {DOC_FIELDS_SQL.strip()},
+m AS (SELECT *, ['rss', 'atom', 'json', 'rdf'][block % 4 + 1] AS dialect FROM doc_fields),
+p AS (SELECT DISTINCT feed_url, source, block, broken, dialect FROM m)
+SELECT feed_url, CASE WHEN broken AND dialect = 'json' THEN NULL ELSE dialect END AS dialect,
+  CASE WHEN broken THEN 'error' ELSE 'podcast' END AS kind, CAST(NULL AS BIGINT) AS position, '' AS id,
+  CASE WHEN broken THEN '' ELSE 'Feed ' || source || ' #' || CAST(block AS VARCHAR) END AS title, '' AS audio_url,
+  CASE WHEN broken THEN '' ELSE 'Documents from ' || source END AS description,
+  CASE WHEN broken THEN CASE WHEN dialect = 'json' THEN 'unknown feed type' ELSE 'invalid feed XML' END END AS error
+FROM p
+UNION ALL
+SELECT feed_url, dialect, 'episode' AS kind, position, id, title, audio_url, text AS description, CAST(NULL AS VARCHAR) AS error
+FROM m WHERE NOT broken""")
+def feed_mixed(spark, sf):
+    """S3: one table with feeds of every dialect, each parsed once; podcasts,
+    episodes and errors come out of the same pass."""
+    return feed_rows(parse_mixed(mixed_feeds(_docs(spark, sf))))
+
+
 @register("feed_catalog", f"""
 WITH {DOC_FIELDS_SQL.strip()}
 SELECT feed_url, 'Feed ' || any_value(source) || ' #' || CAST(any_value(block) AS VARCHAR) AS title,

@@ -35,6 +35,19 @@ RSS_ITEM_DDL = ("title string, description string, pubDate string, "
                 "`itunes:duration` string, `itunes:explicit` string, `itunes:author` string, "
                 "`dc:creator` array<string>")
 
+# RSS 1.0 (RDF): the items stand beside the channel.
+RDF_SCHEMA = """
+channel struct<title string, description string, `itunes:author` string, `dc:creator` array<string>,
+               `dc:subject` array<string>>,
+item array<struct<
+  title string, link string, description string, `_rdf:about` string, guid struct<_VALUE string, _isPermaLink string>,
+  pubDate string, `dc:date` array<string>, `dc:creator` array<string>, `dc:subject` array<string>,
+  enclosure array<struct<_url string, _type string, _length string>>,
+  `enc:enclosure` array<struct<`_rdf:resource` string, `_enc:type` string, `_enc:length` string>>,
+  `itunes:duration` string, `itunes:explicit` string, `itunes:author` string>>,
+_corrupt_record string
+"""
+
 # Atom 1.0: enclosures are <link rel="enclosure" href=...>.
 ATOM_SCHEMA = """
 title string, subtitle string,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from feedloom.functions.dates import parse_pub_date
 from feedloom.functions.strings import empty_to_null, trim_ws
 from feedloom.schemas import ATOM_SCHEMA, JSON_FEED_SCHEMA, RSS_CHANNEL_SCHEMA, RSS_ITEM_DDL, RSS_SCHEMA
+from feedloom.sources.mixed import mixed_episodes, mixed_errors, mixed_podcasts, parse_mixed
 from feedloom.sources.splits import SPLIT_BYTES, item_texts
 
 XML_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
@@ -165,7 +166,11 @@ def feed_errors(parsed: DataFrame, dialect: str = "rss") -> DataFrame:
 
 def read_feeds(feeds: DataFrame, xml_col: str = "xml", url_col: str = "feed_url",
                dialect: str = "rss") -> FeedTables:
-    """Parse a table of feeds into podcasts, episodes and errors."""
+    """Parse a table of feeds into podcasts, episodes and errors.
+    ``dialect="auto"`` finds the dialect of each row by its root element."""
+    if dialect == "auto":
+        parsed = parse_mixed(feeds, xml_col, url_col)
+        return FeedTables(mixed_podcasts(parsed), mixed_episodes(parsed), mixed_errors(parsed))
     channel = parse_feeds(feeds, xml_col, url_col, dialect, items=False)
     parsed = parse_feeds(feeds, xml_col, url_col, dialect)
     return FeedTables(podcasts(channel, dialect), episodes(parsed, dialect),

@@ -212,3 +212,40 @@ def test_state_of_a_range_is_that_of_the_whole_scan():
             state, found = splits.scan(data[a:b], state)
             items += [a + i for i in found]
         assert (state, items) == whole
+
+
+RDF = ('<?xml version="1.0"?><!-- <rss> --><rdf:RDF xmlns="http://purl.org/rss/1.0/" xmlns:dc="d" xmlns:enc="e" '
+       'xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><channel rdf:about="x"><title>R</title>'
+       '<description> about </description><dc:creator>C</dc:creator></channel>'
+       '<item rdf:about="urn:1"><title>One</title><description>d1</description><dc:date>2006-01-02T15:04:05Z</dc:date>'
+       '<dc:creator>W</dc:creator><enc:enclosure rdf:resource="https://a/1.mp3"/></item>'
+       '<item><title>Two</title><guid>g2</guid><enclosure url="https://a/2.mp3"/></item></rdf:RDF>')
+ATOM = ('\ufeff<?xml version="1.0"?>\n<!DOCTYPE feed>\n<a:feed xmlns:a="x"><title>T</title><entry><id>a1</id><title>A</title></entry></a:feed>')
+
+
+def test_dialect_is_found_row_by_row(spark):
+    ft = read_feeds(feeds(spark, ("rss", MINIMAL), ("rdf", RDF), ("atom", ATOM.replace("a:feed", "feed")),
+                          ("json", ' \n {"title": "J", "items": [{"id": "j1", "title": "JT"}]}'), ("cut", MINIMAL[:-20]),
+                          ("badjson", '{"title": '), ("html", "<html><body>no</body></html>"), ("text", "not a feed"),
+                          ("empty", ""), ("null", None), ("nochannel", '<rss version="2.0"></rss>'),
+                          ("late", "<!-- <feed> <rss> -->" + MINIMAL.split("?>", 1)[1])), dialect="auto")
+    pods = {r.feed_url: (r.dialect, r.title, r.description) for r in ft.podcasts.collect()}
+    assert pods == {"rss": ("rss", "Show", "About"), "rdf": ("rdf", "R", "about"), "atom": ("atom", "T", ""),
+                    "json": ("json", "J", ""), "late": ("rss", "Show", "About")}
+    eps = sorted((r.feed_url, r.position, r.id, r.title, r.audio_url, r.author) for r in ft.episodes.collect())
+    assert eps == [("atom", 0, "a1", "A", "", ""), ("json", 0, "j1", "JT", "", ""), ("late", 0, "g1", "Ep 1", "https://a/1.mp3", ""),
+                   ("rdf", 0, "urn:1", "One", "https://a/1.mp3", "W"), ("rdf", 1, "g2", "Two", "https://a/2.mp3", ""),
+                   ("rss", 0, "g1", "Ep 1", "https://a/1.mp3", "")]
+    errors = {r.feed_url: (r.dialect, r.error) for r in ft.errors.collect()}
+    assert errors == {"cut": ("rss", "invalid feed XML"), "badjson": ("json", "invalid feed JSON"), "html": (None, "unknown feed type"),
+                      "text": (None, "unknown feed type"), "empty": (None, "unknown feed type"), "null": (None, "unknown feed type"),
+                      "nochannel": ("rss", "feed has no channel")}
+    assert {r.feed_url: r.bytes for r in ft.errors.collect()}["text"] == 10
+
+
+def test_mixed_rows_agree_with_the_dialect_readers(spark):
+    rows = [("a", MINIMAL), ("b", FOUR), ("c", AUTHORS), ("d", EMPTY), ("e", DC_ONLY)]
+    auto, plain = read_feeds(feeds(spark, *rows), dialect="auto"), read_feeds(feeds(spark, *rows))
+    for x, y in ((auto.podcasts, plain.podcasts), (auto.episodes, plain.episodes)):
+        cols = y.columns
+        assert sorted(map(str, x.select(*cols).collect())) == sorted(map(str, y.collect()))
