@@ -87,6 +87,14 @@ def memo_lookup(df: DataFrame, artifacts: DataFrame | None, key: str = "key",
     return hits, misses
 
 
+def memo_join(df: DataFrame, artifacts: DataFrame | None, key: str = "key", value: str = "value") -> DataFrame:
+    """``df`` with ``value`` (NULL for a miss): hits and misses in one pass
+    over ``df``. The store holds a key once, so no row is repeated."""
+    if artifacts is None:
+        return df.withColumn(value, F.lit(None).cast("string"))
+    return df.join(artifacts.select(F.col("key").alias(key), F.col("value").alias(value)), key, "left")
+
+
 def needs_transcription(episodes: DataFrame, artifacts: DataFrame | None,
                         key: str = "transcript_key") -> DataFrame:
     """Rows with an empty transcript and no cached transcript."""

@@ -37,18 +37,68 @@ def model(req: str) -> str:
     return json.dumps({"message": {"role": "assistant", "content": content}, "done": True})
 
 
-def test_enrich_isolates_row_errors_in_batches(spark):
-    df = spark.createDataFrame([(str(i),) for i in range(20)], "request string")
+def counted(folder):
+    """A row function that leaves a file for every call."""
+    import os
+    import uuid
 
-    def batch(s: pd.Series) -> pd.Series:
+    def call(request):
+        open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+        if "bad" in request or request == "13":
+            raise ValueError("bad request")
+        return request + "!" if not request.startswith("{") else json.dumps({"transcript": "words of " + json.loads(request)["audio_url"]})
+    return call
+
+
+def test_one_bad_row_of_a_hundred_costs_a_hundred_calls(spark, tmp_path):
+    df = spark.createDataFrame([(str(i),) for i in range(100)], "request string").repartition(3)
+    out = {r.request: (r.reply, r.error) for r in enrich(df, counted(str(tmp_path)), row_fn=True).collect()}
+    assert out["1"] == ("1!", None) and out["13"] == (None, "ValueError: bad request")
+    assert len(list(tmp_path.iterdir())) == 100
+
+
+def test_batch_protocol_values_errors_and_failing_batches(spark, tmp_path):
+    df = spark.createDataFrame([(str(i),) for i in range(20)], "request string").coalesce(1)
+
+    def some(s):
+        (tmp_path / "called").mkdir(exist_ok=False)              # a second call would raise
+        return [KeyError(x) if x == "13" else None if x == "4" else float("nan") if x == "5" else x + "!" for x in s]
+    out = {r.request: (r.reply, r.error) for r in enrich(df, some).collect()}
+    assert out["1"] == ("1!", None) and out["13"] == (None, "KeyError: '13'")
+    assert out["4"] == out["5"] == (None, None)
+
+    def never(s):
+        raise RuntimeError("down")
+    assert {r.error for r in enrich(df, never, retry=False).collect()} == {"RuntimeError: down"}
+
+    def fragile(s):
         if (s == "13").any():
             raise ValueError("bad batch")
         return s + "!"
-
-    out = {r.request: (r.reply, r.error) for r in enrich(df, lambda s: s.map(lambda x: batch(pd.Series([x])).iloc[0]),
-                                                          max_parallel=3).collect()}
-    assert out["1"] == ("1!", None)
-    assert out["13"][0] is None and "bad batch" in out["13"][1]
+    got = {r.request: (r.reply, r.error) for r in enrich(df, fragile).collect()}
+    assert got["12"] == ("12!", None) and got["13"] == (None, "ValueError: bad batch")
+    assert {r.error for r in enrich(df, lambda s: s[:0]).collect()} == {"ValueError: stage returned a different number of rows"}
+
+
+def test_one_call_for_every_audio_url(spark, tmp_path):
+    rows = [("f", i, f"g{i}", f"t{i}", "https://a/same.mp3", "d", "", "x") for i in range(6)]
+    rows += [("f", 9, "n1", "t", "", "d", "", "x"), ("f", 10, "n2", "t", "", "d", "", "x"), ("f", 11, "n3", "other", "", "d", "", "x"),
+             ("f", 12, "b", "t", "https://a/bad.mp3", "d", "", "x"), ("f", 13, "b2", "u", "https://a/bad.mp3", "d", "", "x")]
+    eps = spark.createDataFrame(rows, EP).repartition(4)
+    out, new = transcribe(eps, counted(str(tmp_path)), row_fn=True)
+    for _ in range(3):                                             # every action reads the saved replies
+        got = {r.position: (r.transcript, r.transcript_status) for r in out.collect()}
+        keys = [r.key for r in new.collect()]
+    assert len(list(tmp_path.iterdir())) == 1 + 2 + 1              # one URL, two requests without one, one bad URL
+    assert all(got[i] == ("words of https://a/same.mp3", "ok") for i in range(6))
+    assert got[9] == got[10] and got[12] == got[13] == ("", "error")
+    assert len(keys) == len(set(keys)) == 1 and out.count() == len(rows)
+
+
+def test_a_stage_that_is_not_there_is_an_error_of_its_rows(spark):
+    out, new = transcribe(episodes(spark), None)
+    got = {r.position: (r.transcript_status, r.transcript_error) for r in out.collect()}
+    assert got[3] == ("given", None) and got[0] == ("error", "transcribe: stage not configured") and new.count() == 0
 
 
 def test_transcribe_uses_given_cached_and_computed(spark):
