@@ -1,9 +1,12 @@
 """Benchmark statistics (S6, B1-B9) as aggregates over a samples table
 ``(run, variant, ns_per_op)``.
 
-Percentiles and the KS statistic need ordered samples; both use the
-distributed rank / running sum of ``ordered`` so a variant holding a third
-of all samples is still spread over many tasks.
+Percentiles and the KS statistic need ordered samples. Samples are counted by
+value first (a partial aggregate), so a value that a third of all samples
+share is one row; the distinct values are then ordered by the distributed
+running sum of ``ordered``, so a variant of many values is spread over many
+tasks. Everything else is read off the same counted rows: the samples
+themselves are evaluated once.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions.strings import trim_ws
-from feedloom.operators.ordered import row_rank, running_sum
+from feedloom.operators.ordered import running_sum
 from feedloom.session import cut_lineage
 
 # Fixed values that must equal the reference's for identical results.
@@ -67,43 +70,58 @@ def read_benchmark_log(spark: SparkSession, path: str, run: str | None = None) -
 
 # --- B1 / B2 summary --------------------------------------------------------------------------
 
+def counted_values(samples: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """(groups, value, c), saved: how often each value occurs."""
+    return cut_lineage(samples.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("c")))
+
+
+def _percentiles(counted: DataFrame, sizes: DataFrame, groups: Sequence[str], value: str, ps: Sequence[float]) -> DataFrame:
+    """A counted row holds the ranks ``cum_c - c`` to ``cum_c - 1``; it adds its
+    value to a percentile by the weight of the two ranks around the position
+    that it holds. ``sizes`` (one row a group) has ``n``."""
+    ranked = running_sum(counted, [F.col(value).asc()], ["c"], groups).join(sizes.select(*groups, "n"), list(groups))
+
+    def holds(rank: Column) -> Column:
+        return ((rank >= F.col("cum_c") - F.col("c")) & (rank < F.col("cum_c"))).cast("double")
+
+    out = []
+    for p in ps:
+        at = F.lit(p) * (F.col("n") - 1)
+        high = at - F.floor(at)                            # weight of the rank above; 0 where there is none between
+        weight = holds(F.floor(at)) * (F.lit(1.0) - high) + holds(F.ceil(at)) * high
+        out.append(F.sum(F.when(weight > 0, F.col(value) * weight)).alias(f"p{int(round(p * 100))}"))
+    return ranked.groupBy(*groups).agg(*out)
+
+
 def exact_percentiles(samples: DataFrame, groups: Sequence[str], value: str,
                       ps: Sequence[float] = PERCENTILES) -> DataFrame:
     """Linear interpolation at ``p*(n-1)`` (the reference's rule, same as
-    Spark ``percentile`` and DuckDB ``quantile_cont``), computed from exact
-    distributed ranks: only the two ranks around each position are joined
-    back, through a table of ``#groups * 2 * len(ps)`` rows."""
-    groups = list(groups)
-    counts = samples.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    wanted = []
-    for i, p in enumerate(ps):
-        k = F.lit(p) * (F.col("_n") - 1)
-        wanted.append(counts.select(*groups, F.lit(i).alias("_p"), F.floor(k).cast("bigint").alias("rank"),
-                                    (F.lit(1.0) - (k - F.floor(k))).alias("_w")))
-        wanted.append(counts.select(*groups, F.lit(i).alias("_p"), F.ceil(k).cast("bigint").alias("rank"),
-                                    (k - F.floor(k)).alias("_w")))
-    want = wanted[0]
-    for w in wanted[1:]:
-        want = want.unionByName(w)
-    ranked = row_rank(samples.select(*groups, value), [F.col(value).asc()], groups)
-    picked = ranked.join(want, [*groups, "rank"], "inner")
-    # floor == ceil gives weights 1 and 0 on the same rank: the value itself.
-    per_p = picked.groupBy(*groups, "_p").agg(F.sum(F.col(value) * F.col("_w")).alias("_v"))
-    return per_p.groupBy(*groups).pivot("_p", list(range(len(ps)))).agg(F.first("_v")) \
-        .select(*groups, *[F.col(str(i)).alias(f"p{int(round(p * 100))}") for i, p in enumerate(ps)])
+    Spark ``percentile`` and DuckDB ``quantile_cont``) from exact ranks."""
+    counted = counted_values(samples, groups, value)
+    return _percentiles(counted, counted.groupBy(*groups).agg(F.sum("c").alias("n")), list(groups), value, ps)
+
+
+def _moments(counted: DataFrame, groups: Sequence[str], value: str, weight: str = "c") -> DataFrame:
+    """(groups, n, min, max, mean, var): the variance (NULL for n < 2) is that
+    of the distances from the mean, in a second pass over the counted rows."""
+    counted = counted.where(F.col(weight) > 0)
+    first = counted.groupBy(*groups).agg(
+        F.sum(weight).cast("bigint").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"),
+        (F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("mean"))
+    away = F.sum(F.col(weight) * F.pow(F.col(value) - F.col("mean"), F.lit(2.0)))
+    second = (counted.join(first.select(*groups, "n", "mean"), list(groups)).groupBy(*groups)
+              .agg(F.try_divide(away, F.first("n") - 1).alias("var")))
+    return first.join(second, list(groups))
 
 
 def summary(samples: DataFrame, groups: Sequence[str] = ("run", "variant"),
             value: str = "ns_per_op") -> DataFrame:
     """B1: n, min, max, mean, sample std (0 when n = 1), p50, p95, p99."""
     groups = list(groups)
-    # Read by three jobs (moments, counts, ranks): materialise the two
-    # needed columns once instead of recomputing the upstream each time.
-    samples = cut_lineage(samples.select(*groups, value))
-    basic = samples.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"),
-        F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"))
-    return basic.join(exact_percentiles(samples, groups, value), groups, "inner")
+    counted = counted_values(samples, groups, value)
+    basic = _moments(counted, groups, value).select(*groups, "n", "min", "max", "mean",
+                                                    F.sqrt(F.coalesce("var", F.lit(0.0))).alias("std"))
+    return basic.join(_percentiles(counted, basic, groups, value, PERCENTILES), groups, "inner")
 
 
 # --- B3..B8 comparison ------------------------------------------------------------------------
@@ -132,42 +150,58 @@ def ks_pvalue(d: Column, n1: Column, n2: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(2.0) * terms))
 
 
+def _both_counted(samples: DataFrame, in_a: Column, in_b: Column, groups: Sequence[str], value: str) -> DataFrame:
+    """(groups, value, ca, cb), saved: how often each value occurs in either run."""
+    return cut_lineage(samples.where(F.col(value).isNotNull() & (in_a | in_b)).groupBy(*groups, value)
+                       .agg(F.count(F.when(in_a, 1)).alias("ca"), F.count(F.when(in_b, 1)).alias("cb")))
+
+
+def _ks(counted: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    cum = running_sum(counted, [F.col(value).asc()], ["ca", "cb"], groups)
+    n = counted.groupBy(*groups).agg(F.sum("ca").alias("n1"), F.sum("cb").alias("n2"))
+    return (cum.join(n, list(groups), "inner")
+            .groupBy(*groups).agg(F.max(F.abs(F.try_divide("cum_ca", "n1") - F.try_divide("cum_cb", "n2"))).alias("ks_d"),
+                                  F.first("n1").alias("n1"), F.first("n2").alias("n2")))
+
+
+def _tagged(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return a.select(*cols, F.lit(True).alias("_a")).unionByName(b.select(*cols, F.lit(False).alias("_a")))
+
+
 def ks_statistic(a: DataFrame, b: DataFrame, groups: Sequence[str] = ("variant",),
                  value: str = "ns_per_op") -> DataFrame:
     """Two-sample D per group: max |F_a(x) - F_b(x)| over the distinct
     values x (textbook form, symmetric, ties handled)."""
     groups = list(groups)
-    both = (a.select(*groups, value, F.lit(1).alias("_a"), F.lit(0).alias("_b"))
-            .unionByName(b.select(*groups, value, F.lit(0).alias("_a"), F.lit(1).alias("_b"))))
-    per_value = both.groupBy(*groups, value).agg(F.sum("_a").cast("bigint").alias("ca"),
-                                                 F.sum("_b").cast("bigint").alias("cb"))
-    cum = running_sum(per_value, [F.col(value).asc()], ["ca", "cb"], groups)
-    n = per_value.groupBy(*groups).agg(F.sum("ca").alias("n1"), F.sum("cb").alias("n2"))
-    return (cum.join(n, groups, "inner")
-            .groupBy(*groups).agg(F.max(F.abs(F.col("cum_ca") / F.col("n1") - F.col("cum_cb") / F.col("n2"))).alias("ks_d"),
-                                  F.first("n1").alias("n1"), F.first("n2").alias("n2")))
+    counted = _both_counted(_tagged(a, b, [*groups, value]), F.col("_a"), ~F.col("_a"), groups, value)
+    return _ks(counted, groups, value)
 
 
 def compare(base: DataFrame, exp: DataFrame, value: str = "ns_per_op") -> DataFrame:
+    """B9 of two tables of samples."""
+    return _compared(_both_counted(_tagged(base, exp, ["variant", value]), F.col("_a"), ~F.col("_a"), ["variant"], value), value)
+
+
+def compare_runs(samples: DataFrame, base: str, exp: str, value: str = "ns_per_op") -> DataFrame:
+    """B9 of two runs of one table, evaluated once."""
+    return _compared(_both_counted(samples, F.col("run") == base, F.col("run") == exp, ["variant"], value), value)
+
+
+def _compared(counted: DataFrame, value: str) -> DataFrame:
     """Per variant present in both runs: means, delta %, Cohen's d
     (base - exp over the unweighted pooled sd; 0 when either n < 2 or the
     pooled sd is 0), magnitude, KS D, p-value and confidence band."""
-    base = cut_lineage(base.select("variant", value))
-    exp = cut_lineage(exp.select("variant", value))
-
-    def stats(df, tag):
-        return df.groupBy("variant").agg(F.count(F.lit(1)).alias(f"n_{tag}"), F.avg(value).alias(f"mean_{tag}"),
-                                         F.var_samp(value).alias(f"var_{tag}"))
-    s = stats(base, "base").join(stats(exp, "exp"), "variant", "inner")
+    def stats(weight, tag):
+        return _moments(counted, ["variant"], value, weight).select(
+            "variant", F.col("n").alias(f"n_{tag}"), F.col("mean").alias(f"mean_{tag}"), F.col("var").alias(f"var_{tag}"))
+    s = stats("ca", "base").join(stats("cb", "exp"), "variant", "inner")
     pooled = F.sqrt((F.col("var_base") + F.col("var_exp")) / 2)
     d = (F.when((F.col("n_base") < 2) | (F.col("n_exp") < 2), F.lit(0.0))
          .when(pooled == 0, F.lit(0.0))
          .otherwise((F.col("mean_base") - F.col("mean_exp")) / pooled))
-    ks = ks_statistic(base.join(s.select("variant"), "variant", "left_semi"),
-                      exp.join(s.select("variant"), "variant", "left_semi"), ["variant"], value)
     out = (s.withColumn("delta_pct", F.try_divide(F.col("mean_exp") - F.col("mean_base"), F.col("mean_base")) * 100)
            .withColumn("cohens_d", d)
-           .join(ks.select("variant", "ks_d"), "variant", "inner"))
+           .join(_ks(counted, ["variant"], value).select("variant", "ks_d"), "variant", "inner"))
     p = ks_pvalue(F.col("ks_d"), F.col("n_base").cast("double"), F.col("n_exp").cast("double"))
     return (out.withColumn("magnitude", effect_magnitude(F.col("cohens_d")))
             .withColumn("p_value", p)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.operators import benchstats as B
 from feedloom.plans.registry import register
-from feedloom.session import cut_lineage, table
+from feedloom.session import table
 
 
 def bench_lines(spark, sf):
@@ -89,9 +89,26 @@ SELECT variant, CAST(n_base AS BIGINT) AS n_base, CAST(n_exp AS BIGINT) AS n_exp
        ELSE 'not significant' END AS confidence
 FROM p""")
 def bench_compare(spark, sf):
-    s = cut_lineage(bench_samples_df(spark, sf))
-    c = B.compare(s.where(F.col("run") == "base"), s.where(F.col("run") == "exp"))
+    c = B.compare_runs(bench_samples_df(spark, sf), "base", "exp")
     return c.select("variant", F.col("n_base").cast("bigint"), F.col("n_exp").cast("bigint"),
                     *[F.round(x, 6).alias(x) for x in ("mean_base", "mean_exp", "delta_pct", "cohens_d")],
                     "magnitude", F.round("ks_d", 6).alias("ks_d"), F.round("p_value", 6).alias("p_value"),
                     "confidence")
+
+
+@register("bench_rejected", r"""
+WITH l AS (
+  SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 2 = 0 THEN 'base' ELSE 'exp' END AS run,
+    'BenchmarkPrice/' || l_returnflag || chr(9) || '7' || chr(9)
+    || CASE l_linenumber WHEN 2 THEN '1.2.3' WHEN 3 THEN '.' WHEN 4 THEN 'fast' ELSE printf('%.2f', l_extendedprice) END || ' ns/op' AS line
+  FROM lineitem)
+SELECT l_orderkey, run, line FROM l WHERE l_linenumber IN (2, 3)""")
+def bench_rejected(spark, sf):
+    """Lines in a sample's form whose number cannot be read come back;
+    lines of another form are no samples at all."""
+    li = table(spark, sf, "lineitem")
+    number = (F.when(F.col("l_linenumber") == 2, F.lit("1.2.3")).when(F.col("l_linenumber") == 3, F.lit("."))
+              .when(F.col("l_linenumber") == 4, F.lit("fast")).otherwise(F.format_string("%.2f", F.col("l_extendedprice"))))
+    line = F.concat(F.lit("BenchmarkPrice/"), F.col("l_returnflag"), F.lit("\t7\t"), number, F.lit(" ns/op"))
+    run = F.when(F.col("l_orderkey") % 2 == 0, F.lit("base")).otherwise(F.lit("exp"))
+    return B.rejected_lines(li.select("l_orderkey", run.alias("run"), line.alias("line")))
