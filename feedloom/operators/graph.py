@@ -14,10 +14,12 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.operators.latest import pick
 from feedloom.operators.ordered import row_rank
 from feedloom.session import cut_lineage, scratch_path, shuffle_partitions
 
 EMPTY_PROPS = "cast(map() as map<string,string>)"
+# Fixed values that must equal the reference's for identical results.
 ENTITY_TYPES = ("Organization", "Person", "Product", "Concept", "Location", "Event", "Unknown")
 
 
@@ -44,18 +46,16 @@ def _props(c: Column) -> Column:
 def upsert_nodes(nodes: DataFrame | None, new: DataFrame, order: str | Column | None = None) -> DataFrame:
     """Insert or replace by id: label and *all* properties are replaced;
     NULL properties become an empty map. Within ``new`` the last row in
-    ``order`` wins. ``max_by`` is a partial aggregate, so a hot id is
-    combined map-side."""
-    seq = F.lit(0).cast("bigint") if order is None else (F.col(order) if isinstance(order, str) else order)
-    fresh = new.select("id", "label", _props(F.col("properties")).alias("properties"),
-                       F.lit(1).alias("_b"), seq.alias("_s"))
-    both = fresh
-    if nodes is not None:
-        old = nodes.select("id", "label", _props(F.col("properties")).alias("properties"),
-                           F.lit(0).alias("_b"), F.lit(None).cast(fresh.schema["_s"].dataType).alias("_s"))
-        both = old.unionByName(fresh)
-    v = F.max_by(F.struct("label", "properties"), F.struct("_b", "_s"))
-    return both.groupBy("id").agg(v.alias("_v")).select("id", "_v.label", "_v.properties")
+    ``order`` wins, and the last row of all where no order is given. Ids and
+    order decide (``latest``); labels and properties move once."""
+    seq = [] if order is None else [F.col(order) if isinstance(order, str) else order]
+    rows = new.select("id", "label", _props(F.col("properties")).alias("properties"),
+                      *[c.alias(f"_s{i}") for i, c in enumerate(seq)])
+    fresh = pick(rows, "id", [F.col(f"_s{i}") for i in range(len(seq))]).kept.select("id", "label", "properties")
+    if nodes is None:
+        return fresh
+    old = nodes.select("id", "label", _props(F.col("properties")).alias("properties"))
+    return old.join(fresh.select("id"), "id", "left_anti").unionByName(fresh)
 
 
 def append_edges(edges: DataFrame | None, new: DataFrame, order: list[Column] | None = None) -> DataFrame:

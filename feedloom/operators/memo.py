@@ -15,11 +15,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.strings import artifact_key, blank
+from feedloom.operators.latest import pick
 from feedloom.operators.ordered import running_sum
+from feedloom.session import cut_lineage
 
 # Fixed values that must equal the reference's for identical results.
 DEFAULT_MAX_BYTES = 256 * 1024 * 1024
 MAX_KEY_BYTES = 200
+# Spans of time an eviction looks at in one pass, and rows it puts in order at the edge.
+BUCKETS = 4096
+FEW_ROWS = 200_000
+NEVER = -(2 ** 61)
+TOO_LARGE = "larger than the store"
 KEY_REASONS = ("empty", "longer than 200 bytes", "starts with a dot", "invalid character")
 
 
@@ -105,15 +112,31 @@ def needs_transcription(episodes: DataFrame, artifacts: DataFrame | None,
 # --- M3 upsert, M4 refresh, M5 evict, M6 refusal -------------------------------------------
 
 def memo_put(artifacts: DataFrame | None, new: DataFrame) -> DataFrame:
-    """Upsert by key, latest ``last_used`` wins (new rows win ties).
-    New rows whose key a store refuses (``key_reason``) are left out.
-    ``max_by`` is a partial aggregate: a hot key is combined map-side."""
-    cols = ["kind", "value", "size_bytes", "last_used"]
-    new = new.where(key_reason("key").isNull()).select("key", *cols).withColumn("_src", F.lit(1))
-    both = new if artifacts is None else artifacts.select("key", *cols).withColumn("_src", F.lit(0)).unionByName(new)
-    order = F.struct(F.col("last_used"), F.col("_src"))
-    return (both.groupBy("key").agg(F.max_by(F.struct(*cols), order).alias("_v"))
-            .select("key", *[F.col("_v")[c].alias(c) for c in cols]))
+    """Upsert by key, latest ``last_used`` wins (new rows win ties). New rows
+    whose key a store refuses (``key_reason``) are left out; ``refused_rows``
+    gives them back.
+
+    Keys and times decide (``latest``); a stored value moves only where its
+    key is put again, and then as the loser or the winner of one join."""
+    cols = ["key", "kind", "value", "size_bytes", "last_used"]
+    fresh = pick(new.where(key_reason("key").isNull()).select(*cols), "key", [F.col("last_used")]).kept
+    if artifacts is None:
+        return fresh
+    old = artifacts.select(*cols)
+    seen = F.coalesce(F.col("last_used"), F.lit("0001-01-01").cast("timestamp"))
+    times = old.select("key", seen.alias("_old")).join(fresh.select("key", seen.alias("_new")), "key")
+    beaten = times.where("_old <= _new").select("key")
+    late = times.where("_old > _new").select("key")
+    return old.join(beaten, "key", "left_anti").unionByName(fresh.join(late, "key", "left_anti"))
+
+
+def refused_rows(new: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """The rows that a put does not take, with the ``reason``: a key that is no
+    usable name, or a value larger than the whole budget."""
+    reason = key_reason("key")
+    if max_bytes is not None:
+        reason = F.coalesce(reason, F.when(F.col("size_bytes") > max_bytes, F.lit(TOO_LARGE)))
+    return new.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
 def memo_refresh(artifacts: DataFrame, access_log: DataFrame) -> DataFrame:
@@ -125,27 +148,54 @@ def memo_refresh(artifacts: DataFrame, access_log: DataFrame) -> DataFrame:
             .drop("_read"))
 
 
-def memo_evict(artifacts: DataFrame, max_bytes: int, num_partitions: int | None = None) -> DataFrame:
+def memo_evict(artifacts: DataFrame, max_bytes: int, num_partitions: int | None = None, buckets: int = BUCKETS,
+               few: int = FEW_ROWS) -> DataFrame:
     """Keep what an oldest-first eviction down to ``max_bytes`` keeps.
 
     Evicting oldest-first until the total fits keeps exactly the rows whose
     newest-first running byte total is within the budget (zero-size rows
     included). Ties on ``last_used`` evict the smaller key first.
 
-    The ordered pass runs on (key, size, time) only; values move once, in
-    the semi join that keeps them."""
-    meta = artifacts.select("key", "size_bytes", "last_used")
-    with_cum = running_sum(meta, [F.col("last_used").desc(), F.col("key").desc()],
-                           ["size_bytes"], num_partitions=num_partitions)
-    keep = with_cum.where(F.col("cum_size_bytes") <= max_bytes).select("key")
-    return artifacts.join(keep, "key", "left_semi")
+    Bytes are added up in at most ``buckets`` spans of time; the prefix sum
+    over that small table finds the span in which the budget runs out, which
+    is split again until it holds ``few`` rows or one instant. Everything
+    newer stays and everything older goes by a comparison of times; only
+    inside that last span are rows put in order."""
+    meta = cut_lineage(artifacts.select("key", F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"), _instant().alias("_t")))
+    all_ = meta.agg(F.min("_t").alias("lo"), F.max("_t").alias("hi"), F.sum("size_bytes").alias("bytes")).first()
+    if all_.bytes is None or all_.bytes <= max_bytes:
+        return artifacts
+    lo, hi, spent = all_.lo, all_.hi, 0
+    while True:
+        width = max(1, -(-(hi - lo + 1) // buckets))
+        inside = meta.where(F.col("_t").between(lo, hi))
+        spans = (inside.groupBy(F.floor((F.lit(hi) - F.col("_t")) / F.lit(width).cast("decimal(38,0)")).cast("bigint").alias("b"))
+                 .agg(F.sum("size_bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"))).collect()    # at most ``buckets`` rows
+        for span in sorted(spans, key=lambda r: r.b):
+            if spent + span.bytes > max_bytes:
+                break
+            spent += span.bytes
+        hi, lo = hi - span.b * width, max(lo, hi - (span.b + 1) * width + 1)
+        if width == 1 or span.rows <= few:
+            break
+    edge = running_sum(meta.where(F.col("_t").between(lo, hi)), [F.col("_t").desc(), F.col("key").desc()], ["size_bytes"],
+                       num_partitions=num_partitions)
+    keep = edge.where(F.col("cum_size_bytes") <= max_bytes - spent).select("key")
+    newer = artifacts.where(_instant() > hi)
+    return newer.unionByName(artifacts.where(_instant().between(lo, hi)).join(keep, "key", "left_semi"))
+
+
+def _instant() -> Column:
+    """``last_used`` in microseconds; never used counts as oldest."""
+    return F.coalesce(F.unix_micros(F.col("last_used").cast("timestamp")), F.lit(NEVER))
 
 
 def memo_put_bounded(artifacts: DataFrame | None, new: DataFrame, max_bytes: int,
                      num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(store after put + eviction, refused). A value larger than the whole
-    budget is refused; eviction still runs for the rest."""
-    refused = new.where(F.col("size_bytes") > max_bytes)
+    """(store after put + eviction, refused rows with their ``reason``). A
+    value larger than the whole budget and an unusable key are refused;
+    eviction still runs for the rest."""
+    refused = refused_rows(new, max_bytes)
     stored = memo_put(artifacts, new.where(F.col("size_bytes") <= max_bytes))
     return memo_evict(stored, max_bytes, num_partitions), refused
 

@@ -151,6 +151,24 @@ def memo_refused(spark, sf):
                       .otherwise(F.lit("evicted")).alias("outcome"))
 
 
+@register("memo_refused_keys", f"""
+WITH a AS (
+  SELECT CASE WHEN doc_id % 9 = 4 THEN '.doc-' || CAST(doc_id AS VARCHAR) WHEN doc_id % 9 = 5 THEN ''
+              WHEN doc_id % 9 = 6 THEN 'doc/' || CAST(doc_id AS VARCHAR) ELSE 'doc-' || CAST(doc_id AS VARCHAR) END AS key,
+         doc_id, CAST(strlen(text) AS BIGINT) AS size_bytes FROM documents)
+SELECT doc_id, key, size_bytes, CASE doc_id % 9 WHEN 4 THEN 'starts with a dot' WHEN 5 THEN 'empty' WHEN 6 THEN 'invalid character'
+         ELSE 'larger than the store' END AS reason
+FROM a WHERE doc_id % 9 IN (4, 5, 6) OR size_bytes > {REFUSE_BUDGET}""")
+def memo_refused_keys(spark, sf):
+    """What a put does not take comes back with its reason."""
+    art = _doc_artifacts(spark, sf)
+    i = F.col("doc_id") % 9
+    key = (F.when(i == 4, F.concat(F.lit("."), F.col("key"))).when(i == 5, F.lit(""))
+           .when(i == 6, F.replace("key", F.lit("-"), F.lit("/"))).otherwise(F.col("key")))
+    _, refused = M.memo_put_bounded(None, art.withColumn("key", key), REFUSE_BUDGET)
+    return refused.select("doc_id", "key", "size_bytes", "reason")
+
+
 @register("memo_keys", """
 WITH s AS (SELECT page_id, url, CASE WHEN url = '' THEN 'unknown'
                   ELSE regexp_replace(url, '[^A-Za-z0-9]', '_', 'g') END AS sl FROM pages),

@@ -169,6 +169,47 @@ def metadata_backfill(spark, sf):
                     F.coalesce("entry_exists", F.lit(False)).alias("entry_exists")))
 
 
+COLLIDE_SQL = """
+e AS (SELECT doc_id, source, lang,
+        CASE doc_id % 10 WHEN 0 THEN 'ep ' || CAST(doc_id // 30 AS VARCHAR) WHEN 5 THEN 'ep/' || CAST(doc_id // 30 AS VARCHAR)
+             ELSE 'ep-' || CAST(doc_id AS VARCHAR) END AS id FROM documents),
+n AS (SELECT *, regexp_replace(id, '[^A-Za-z0-9]', '_', 'g') || '_entry.json' AS name FROM e),
+k AS (SELECT name, min(id) AS kept_id FROM n GROUP BY name)"""
+
+
+def _colliding(spark, sf):
+    d = table(spark, sf, "documents")
+    number = F.floor(F.col("doc_id") / 30).cast("string")
+    eid = (F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("ep "), number))
+           .when(F.col("doc_id") % 10 == 5, F.concat(F.lit("ep/"), number))
+           .otherwise(F.concat(F.lit("ep-"), F.col("doc_id").cast("string"))))
+    return d.select(eid.alias("id"), F.lit("").alias("audio_url"), F.to_json(F.struct("source", "lang")).alias("entry"))
+
+
+@register("slug_collisions", f"""
+WITH {COLLIDE_SQL.strip()}
+SELECT n.name, n.id AS episode_id, k.kept_id, CAST(count(*) AS BIGINT) AS rows
+FROM n JOIN k USING (name) WHERE n.id <> k.kept_id GROUP BY ALL""")
+def slug_collisions(spark, sf):
+    """Ids that lose their output name to another id, as the write
+    itself reports them."""
+    path = scratch_path(spark, "collide")
+    K.write_structured(_colliding(spark, sf), path, "entry")
+    return K.read_collisions(spark, path).drop("batch")
+
+
+@register("structured_written", f"""
+WITH {COLLIDE_SQL.strip()}
+SELECT DISTINCT name, kept_id AS episode_id FROM k""")
+def structured_written(spark, sf):
+    """K2: each name once, whatever collides, and a second run adds none."""
+    path = scratch_path(spark, "collide")
+    rows = _colliding(spark, sf)
+    K.write_structured(rows, path, "entry")
+    K.write_structured(rows, path, "entry")
+    return K.read_batches(spark, path).select("name", "episode_id")
+
+
 # --- file round trips -----------------------------------------------------------------------
 
 RAW_SQL = """

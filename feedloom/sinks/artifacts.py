@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions.strings import effective_id, meta_name, raw_name, raw_text, structured_name
+from feedloom.operators.latest import Picked, pick
 from feedloom.session import cut_lineage
 
 
@@ -109,15 +110,29 @@ def metadata_rows(entries: DataFrame) -> DataFrame:
                           F.coalesce("pub_date", F.lit("")).alias("pub_date"))
 
 
+def once_each(rows: DataFrame) -> Picked:
+    """Each name once: of rows whose ids share a name the one with the
+    smallest id stays (of rows without ids, the smallest row); the others
+    are ``lost``."""
+    by = ["episode_id"] if "episode_id" in rows.columns else [c for c in rows.columns if c != "name"]
+    return pick(rows, "name", [F.col(c) for c in by], smallest=True)
+
+
 def new_rows(rows: DataFrame, existing_names: DataFrame | None) -> DataFrame:
-    """Skip rule: only names not written before, and each name once: of rows
-    whose ids share a name the smallest stays (``name_collisions`` lists them)."""
-    rest = [c for c in rows.columns if c != "name"]
-    rows = (rows.groupBy("name").agg(F.min(F.struct(*rest)).alias("_v"))
-            .select(*[F.col("name") if c == "name" else F.col("_v")[c].alias(c) for c in rows.columns]))
-    if existing_names is None:
-        return rows
-    return rows.join(existing_names.select("name"), "name", "left_anti")
+    """Skip rule: only names not written before, and each name once
+    (``collisions`` lists what that leaves out)."""
+    kept = once_each(rows).kept
+    return kept if existing_names is None else kept.join(existing_names.select("name"), "name", "left_anti")
+
+
+def collisions(picked: Picked) -> DataFrame:
+    """(name, episode_id, kept_id, rows): the ids that lost their name to
+    another id, and how many rows they had. Repeated rows of the id that
+    stays are no collision."""
+    lost = picked.lost.groupBy("name", "episode_id").agg(F.count(F.lit(1)).alias("rows"))
+    kept = picked.kept.select("name", F.col("episode_id").alias("kept_id"))
+    return (lost.join(kept, "name").where(~F.col("episode_id").eqNullSafe(F.col("kept_id")))
+            .select("name", "episode_id", "kept_id", "rows"))
 
 
 def name_collisions(rows: DataFrame) -> DataFrame:
@@ -126,21 +141,33 @@ def name_collisions(rows: DataFrame) -> DataFrame:
     return (rows.groupBy("name").agg(F.count_distinct(F.struct(*rest)).alias("rows")).where("rows > 1"))
 
 
+def _append_once(rows: DataFrame, path: str, skip: bool) -> int:
+    """Append each name once; what loses its name goes to ``<path>_collisions``
+    as part of the same write, so that no row is left out unreported."""
+    picked = once_each(rows)
+    old = read_batches(rows.sparkSession, path) if skip else None
+    kept = picked.kept if old is None else picked.kept.join(old.select("name"), "name", "left_anti")
+    lost = cut_lineage(collisions(picked))
+    if not lost.isEmpty():
+        append_batch(lost, f"{path.rstrip('/')}_collisions")
+    return append_batch(kept, path)
+
+
+def read_collisions(spark: SparkSession, path: str) -> DataFrame | None:
+    """(name, episode_id, kept_id, rows, batch) of all writes to ``path``."""
+    return read_batches(spark, f"{path.rstrip('/')}_collisions")
+
+
 def write_structured(entries: DataFrame, path: str, scheme_id: str, mode: str = "skip") -> int | None:
     """Write entries absent for (slug, scheme); ``mode='overwrite'`` replaces."""
-    rows = structured_rows(entries, scheme_id)
-    if mode == "skip":
-        old = read_batches(entries.sparkSession, path)
-        rows = new_rows(rows, old)
-    elif mode != "overwrite":
+    if mode not in ("skip", "overwrite"):
         raise ValueError(mode)
-    return append_batch(rows, path)
+    return _append_once(structured_rows(entries, scheme_id), path, mode == "skip")
 
 
 def write_metadata(entries: DataFrame, path: str) -> int:
     """Back-fill sidecars independently of the structured entries."""
-    old = read_batches(entries.sparkSession, path)
-    return append_batch(new_rows(metadata_rows(entries), old), path)
+    return _append_once(metadata_rows(entries), path, True)
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame | None:

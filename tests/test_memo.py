@@ -90,3 +90,46 @@ def test_store_settings(monkeypatch):
     monkeypatch.delenv("FEEDLOOM_CACHE_DIR")
     assert not M.StoreSettings().enabled
     assert os.environ.get("FEEDLOOM_CACHE_DIR") is None
+
+
+def test_eviction_by_spans_equals_the_ordered_sum(spark):
+    import random
+    r = random.Random(4)
+    rows = [(f"k{i:04d}", "x" * r.choice([0, 1, 7, 40]), r.choice([3, 3, 3, 5, 900, r.randrange(1000)])) for i in range(700)]
+    a = art(spark, rows).repartition(3).cache()
+    for budget in (0, 5, 900, 4000, 7000, 10 ** 6):
+        kept, total = set(), 0
+        for k, v, h in sorted(rows, key=lambda x: (x[2], x[0]), reverse=True):
+            total += len(v)
+            if total > budget:
+                break
+            kept.add(k)
+        for buckets, few in ((4096, 200_000), (3, 0), (7, 20)):
+            got = M.memo_evict(a, budget, buckets=buckets, few=few)
+            assert {x.key for x in got.collect()} == kept, (budget, buckets, few)
+    plan = M.memo_evict(a, 4000)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+
+
+def test_put_moves_no_value_to_sort_it_and_returns_refused_rows(spark):
+    store = M.memo_put(None, art(spark, [("k1", "v1", 5), ("k2", "v2", 0), ("k1", "older", 1), ("k1", "v1", 5)]))
+    assert sorted((x.key, x.value) for x in store.collect()) == [("k1", "v1"), ("k2", "v2")]
+    new = art(spark, [("k1", "late no more", 2), ("k2", "tie", 0), ("a/b", "bad", 0), ("k3", "y" * 90, 0)])
+    put = M.memo_put(store, new.where("key <> 'k3'"))
+    assert sorted((x.key, x.value) for x in put.collect()) == [("k1", "v1"), ("k2", "tie")]
+    assert "SortAggregate" not in put._jdf.queryExecution().executedPlan().toString()
+    _, refused = M.memo_put_bounded(store, new, 50)
+    assert sorted((x.key, x.reason) for x in refused.collect()) == [("a/b", "invalid character"), ("k3", M.TOO_LARGE)]
+
+
+def test_pick_breaks_every_tie(spark):
+    from feedloom.operators.latest import pick
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z"), ("b", None, "n"), (None, 1, "p"), (None, 3, "q"),
+                                  ("c", 1, "abcdefgh1"), ("c", 1, "abcdefgh0")], "k string, n int, t string").coalesce(1)
+    p = pick(rows, "k", [F.col("n"), F.col("t")])
+    assert sorted(map(str, p.kept.select("k", "t").collect())) == sorted(map(str, [r for r in spark.createDataFrame(
+        [("a", "z"), ("b", "n"), (None, "q"), ("c", "abcdefgh1")], "k string, t string").collect()]))
+    assert p.kept.count() + p.lost.count() == rows.count()
+    low = {r.k: r.t for r in pick(rows, "k", [F.struct("n", "t")], smallest=True).kept.collect()}
+    assert low == {"a": "x", "b": "n", None: "p", "c": "abcdefgh0"}
+    assert {r.k: r.t for r in pick(rows, "k").kept.collect()}["a"] == "z"

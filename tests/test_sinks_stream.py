@@ -118,3 +118,13 @@ def test_names_collide_once_and_suffix_follows_the_glob(spark, tmp_dir):
     with open(f"{tmp_dir}/ep_1_my_scheme.json", "w") as fh:
         fh.write("{}")
     assert [r.slug for r in K.read_artifacts(spark, tmp_dir, "*_my_scheme.json").collect()] == ["ep_1"]
+
+
+def test_a_write_reports_the_ids_that_lose_their_name(spark, tmp_dir):
+    rows = spark.createDataFrame([("ep 1", "", "T", "d", "{1}"), ("ep/1", "", "T", "d", "{2}"), ("ep/1", "", "T", "d", "{3}"),
+                                  ("ep 1", "", "T", "d", "{1}"), ("other", "", "T", "d", "{4}")], ENTRY)
+    K.write_structured(rows, f"{tmp_dir}/s", "entry")
+    assert {r.name: r.episode_id for r in K.read_latest(spark, f"{tmp_dir}/s").collect()} == {"ep_1_entry.json": "ep 1", "other_entry.json": "other"}
+    assert [tuple(r) for r in K.read_collisions(spark, f"{tmp_dir}/s").drop("batch").collect()] == [("ep_1_entry.json", "ep/1", "ep 1", 2)]
+    K.write_metadata(rows.where("id = 'other'"), f"{tmp_dir}/m")
+    assert K.read_collisions(spark, f"{tmp_dir}/m") is None
