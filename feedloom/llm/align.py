@@ -19,12 +19,12 @@ Shards are worked on in groups of at most ``GROUP_KEYS`` slots: what a task gets
 of the hash is bounded, and the sums of a document add up over the groups (a
 further group reads the rows that the group before has written).
 
-Units. Neither vocabulary joins a letter or mark with a lone blank before it
-or a lone line feed around it; a text in which all white space is of that
-kind is aligned word by word, and a worker remembers the alignment of a
-bounded number of words. B is asked whether this holds: its pieces are
-searched for ones that would reach over. Any other text is aligned whole. The
-ids equal those of the whole text.
+Units. Neither vocabulary joins a letter or mark with a lone blank before it,
+a lone line feed around it, or marks behind a word with its last letter; a
+text in which all white space is of that kind is aligned word by word, and a
+worker remembers the alignment of a bounded number of words. B is asked
+whether this holds: its pieces are searched for ones that would reach over.
+Any other text is aligned whole. The ids equal those of the whole text.
 
 Defined results: texts null or empty, or whose tokens do not spell the blank
 and the text byte for byte, have no tokens (zeros, an empty digest) and count
@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import uuid
 from collections.abc import Iterator
 from itertools import chain
@@ -50,7 +51,10 @@ from feedloom.llm.token_files import PLAIN, TAIL, ByteLetters
 from feedloom.llm.tree_sum import DDL, chunks, tree_sum
 
 BLANK = "▁"
-UNITS = 300_000
+MARK = "\x01"
+#: Marks behind a letter, at the end of a word.
+_MARKS = re.compile(r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-" + PLAIN + r"])[" + re.escape(TAIL) + r"]+(?= |\Z)")
+UNITS = 600_000
 UNIT_BYTES = 64 * 1024 * 1024
 PAIRS_A_ROW = 262_144
 SHARD_KEYS = 262_144
@@ -84,45 +88,45 @@ class Vocabularies:
                         for i, p in enumerate(pieces)]
         plain = [p for i, p in enumerate(pieces) if not (b.is_byte(i) or b.is_control(i) or b.is_unknown(i))]
         #: Neighbouring characters inside a piece: between any others the model never merges.
-        self.near = {p[i:i + 2] for p in plain for i in range(len(p) - 1)}
-        self.by_word = not any("\n" in p or (p[1] == BLANK and p[0] != BLANK) for p in self.near)
+        near = {p[i:i + 2] for p in plain for i in range(len(p) - 1)}
+        self.by_word = not any("\n" in p or (p[1] == BLANK and p[0] != BLANK) or (p[0].isalpha() and p[1] in TAIL) for p in near)
         self.size_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        #: Every id with the mark behind it: inside a group, at its end.
+        self.written = [f"{i}{mark}" for i in range(len(self.bytes_a)) for mark in ",|"]
+        self.written += [f"{i}{mark}" for i in range(len(self.bytes_b)) for mark in ",;"]
 
     def units(self, text: str) -> list[str]:
-        """The words of a text: each stands for a blank and the word, or
-        begins with its line feed. A text that cannot be cut is one unit: a
+        """The parts of a text: a word stands for a blank and the word,
+        ``MARK`` for nothing before the marks behind it, and the words behind
+        a line feed begin with it. A text that cannot be cut is one unit: a
         blank and the text."""
-        if self.by_word:
+        if self.by_word and MARK not in text:
             lone = " ".join(text.split())
             if lone == text or lone == text.replace("\n", " "):
-                return text.replace("\n", " \n").split(" ")
+                return _MARKS.sub(" " + MARK + r"\g<0>", text.replace("\n", " \n")).split(" ")
         return [" " + text]
 
-    def parts(self, unit: str) -> tuple[str, str] | None:
-        """(word, marks behind it) of a unit that both vocabularies cut there."""
-        head = unit.rstrip(TAIL)
-        if 0 < len(head) < len(unit) and head.isalpha() and max(head) <= PLAIN and head[-1] + unit[len(head)] not in self.near:
-            return head, unit[len(head):]
-        return None
-
-    def ids_a(self, unit: str, tail: bool = False) -> list[int]:
-        if tail:
-            return [t.id for t in self.model.tokenize(unit)]
-        if unit.isalpha() and max(unit) <= PLAIN:
+    def ids_a(self, unit: str) -> list[int]:
+        if unit[0] == MARK:
+            return [t.id for t in self.model.tokenize(unit[1:])]
+        if unit.isalpha() and (unit.isascii() or max(unit) <= PLAIN):
             return [t.id for t in self.model.tokenize((" " + unit).translate(self.letters))]
         if unit[0] == "\n":
             rest = self.a.encode(unit[1:], add_special_tokens=False).ids if len(unit) > 1 else []
             return self.a.encode("\n", add_special_tokens=False).ids + rest
         return self.a.encode(unit if unit[0] == " " else " " + unit, add_special_tokens=False).ids
 
-    def ids_b(self, units: list[str], tail: bool = False) -> list[list[int]]:
+    def ids_b(self, units: list[str]) -> list[list[int]]:
         """The model puts a blank before each; it does not belong to units
-        that begin with a line feed, nor to marks."""
-        if tail:
-            return [ids[2:] for ids in self.b.encode(["\n" + u for u in units], num_threads=1)]
-        out = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        return [ids[1:] if u[0] == "\n" else ids for u, ids in zip(units, out)]
+        that begin with a line feed, nor, with a line feed, to marks."""
+        skip = [2 if u[0] == MARK else u[0] == "\n" for u in units]
+        asked = ["\n" + u[1:] if k == 2 else u[1:] if u[0] == " " else u for u, k in zip(units, skip)]
+        return [ids[k:] if k else ids for k, ids in zip(skip, self.b.encode(asked, num_threads=1))]
+
+    @staticmethod
+    def spelt(unit: str) -> bytes:
+        return (unit[1:] if unit[0] == MARK else unit if unit[0] in " \n" else " " + unit).encode()
 
 
 def aligned(a: list[list[int]], b: list[list[int]], v: Vocabularies) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -136,17 +140,35 @@ def aligned(a: list[list[int]], b: list[list[int]], v: Vocabularies) -> tuple[np
     cuts = np.union1d(end_a, end_b)
     pairs = flat_a[np.searchsorted(end_a, cuts)] * len(v.bytes_b) + flat_b[np.searchsorted(end_b, cuts)]
     common = np.intersect1d(end_a, end_b, assume_unique=True)
-    upto_a, upto_b = (np.searchsorted(e, common, "right").tolist() for e in (end_a, end_b))
-    show_a = list(map(str, flat_a.tolist()))
-    show_b = list(map(str, flat_b.tolist()))
-    groups, i, j = [], 0, 0
-    for x, y in zip(upto_a, upto_b):
-        groups.append((show_a[i] if x == i + 1 else ",".join(show_a[i:x])) + "|"
-                      + (show_b[j] if y == j + 1 else ",".join(show_b[j:y])))
-        i, j = x, y
-    last = np.searchsorted(common, ends, "right").tolist()
-    texts = [";".join(groups[x:y]) for x, y in zip([0, *last], last)]
-    return pairs, np.searchsorted(cuts, ends, "right"), texts
+    last = np.searchsorted(common, ends, "right")
+    return pairs, np.searchsorted(cuts, ends, "right"), shown(flat_a, flat_b, end_a, end_b, common, last, v)
+
+
+def shown(flat_a: np.ndarray, flat_b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray, common: np.ndarray,
+          last: np.ndarray, v: Vocabularies) -> list[str]:
+    """The groups of each unit as text: every id is written with the mark
+    behind it (a comma inside a group, a bar or a semicolon at its end), A's
+    ids of a group before B's."""
+    upto_a, upto_b = (np.searchsorted(e, common, "right") for e in (end_a, end_b))
+    code = np.empty(len(flat_a) + len(flat_b), np.int64)
+    group = np.searchsorted(common, end_a)                              # the group of each token of A
+    before = np.concatenate([[0], upto_b[:-1]])                         # tokens of B in the groups before
+    code[np.arange(len(flat_a)) + before[group]] = 2 * flat_a + (common[group] == end_a)
+    group = np.searchsorted(common, end_b)
+    code[np.arange(len(flat_b)) + upto_a[group]] = 2 * (len(v.bytes_a) + flat_b) + (common[group] == end_b)
+    written = list(map(v.written.__getitem__, code.tolist()))
+    stops = (upto_a + upto_b)[last - 1].tolist()
+    return ["".join(written[x:y])[:-1] for x, y in zip([0, *stops], stops)]
+
+
+def same(ids: list[list[int]], spell: list[bytes], size: np.ndarray, spelt: list[bytes]) -> np.ndarray:
+    """Which units' ids spell their bytes."""
+    counts = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat = np.fromiter(chain.from_iterable(ids), np.int64)
+    if counts.all() and b"".join(map(spell.__getitem__, flat.tolist())) == b"".join(spelt):
+        if (np.add.reduceat(size[flat], np.cumsum(counts) - counts) == np.fromiter(map(len, spelt), np.int64, len(spelt))).all():
+            return np.ones(len(spelt), bool)
+    return np.array([b"".join(map(spell.__getitem__, x)) == s for x, s in zip(ids, spelt)], bool)
 
 
 class Units:
@@ -161,10 +183,8 @@ class Units:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.tails: dict[str, int] = {}
         self.texts: list[bytes | None] = []
         self.sums = np.zeros((1024, self.COLUMNS), np.int64)
-        self.whole = np.zeros((1024, 2), np.int64)          # the units a unit is made of, or -1
         self.pairs: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
         self.owners: list[np.ndarray] = []
@@ -174,79 +194,43 @@ class Units:
     def full(self) -> bool:
         return len(self.texts) > UNITS or self.bytes > UNIT_BYTES
 
-    def _rows(self, texts: list, sums: np.ndarray, of: np.ndarray) -> int:
-        n, m = len(self.texts), len(texts)
-        while len(self.sums) < n + m:
+    def learn(self, names: list[str]) -> None:
+        """Align units that are new."""
+        v, first = self.v, len(self.texts)
+        a, b, spelt = list(map(v.ids_a, names)), v.ids_b(names), list(map(v.spelt, names))
+        good = same(a, v.bytes_a, v.size_a, spelt) & same(b, v.bytes_b, v.size_b, spelt)
+        while len(self.sums) < first + len(names):
             self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-            self.whole = np.concatenate([self.whole, np.zeros_like(self.whole)])
-        self.sums[n:n + m], self.whole[n:n + m] = sums, of
-        self.texts += texts
-        return n
-
-    def _align(self, names: list[str], tail: bool = False) -> None:
-        v = self.v
-        a, b = [v.ids_a(u, tail) for u in names], v.ids_b(names, tail)
-        spelt = [(u if tail or u[0] in " \n" else " " + u).encode() for u in names]
-        good = [b"".join([v.bytes_a[i] for i in x]) == s and b"".join([v.bytes_b[i] for i in y]) == s
-                for x, y, s in zip(a, b, spelt)]
-        first = len(self.texts)
-        (self.tails if tail else self.number).update(zip(names, range(first, first + len(names))))
-        sums = np.zeros((len(names), self.COLUMNS), np.int64)
+        sums = self.sums[first:first + len(names)]
         texts: list[bytes | None] = [None] * len(names)
         at = np.flatnonzero(good)
         if len(at):
             a, b = [a[i] for i in at], [b[i] for i in at]
-            pairs, ends, shown = aligned(a, b, v)
+            pairs, ends, groups = aligned(a, b, v)
             sizes = np.diff(ends, prepend=0)
-            sums[at, 0], sums[at, 1] = [len(x) for x in a], [len(x) for x in b]
-            sums[at, 2], sums[at, 3] = [t.count(";") + 1 for t in shown], sizes
+            sums[at, 0], sums[at, 1] = list(map(len, a)), list(map(len, b))
+            sums[at, 2], sums[at, 3] = [t.count(";") + 1 for t in groups], sizes
             if self.use:
                 sums[at, 4:] = np.add.reduceat(self.use(pairs), ends - sizes, axis=0)
-            for i, t in zip(at.tolist(), shown):
+            for i, t in zip(at.tolist(), groups):
                 texts[i] = t.encode()
             if self.keep_pairs:
                 self.pairs.append(pairs), self.sizes.append(sizes), self.owners.append(at + first)
-        self._rows(texts, sums, np.full((len(names), 2), -1))
+        self.texts += texts
+        self.number.update(zip(names, range(first, first + len(names))))
         self.bytes += sum(map(len, spelt))
 
-    def learn(self, names: set[str]) -> None:
-        """Align the units that are new."""
-        made, single, tails = [], [], set()
-        for u in names:
-            cut = self.v.parts(u)
-            if cut is None:
-                single.append(u)
-            else:
-                made.append((u, *cut))
-                tails.add(cut[1])
-        single += {head for _, head, _ in made if head not in self.number}.difference(single)
-        if single:
-            self._align(single)
-        tails.difference_update(self.tails)
-        if tails:
-            self._align(list(tails), tail=True)
-        if made:
-            of = np.array([(self.number[head], self.tails[tail]) for _, head, tail in made])
-            texts = [None if self.texts[x] is None or self.texts[y] is None else self.texts[x] + b";" + self.texts[y]
-                     for x, y in of.tolist()]
-            n = self._rows(texts, self.sums[of[:, 0]] + self.sums[of[:, 1]], of)
-            self.number.update(zip((u for u, _, _ in made), range(n, n + len(made))))
-
     def numbers(self, texts: list[str | None]) -> tuple[list[int], np.ndarray]:
         """(rows with a text, unit numbers of each)."""
         rows = [i for i, t in enumerate(texts) if t]
         cut = [self.v.units(texts[i]) for i in rows]
         new = set().union(*cut).difference(self.number)
         if new:
-            self.learn(new)
+            self.learn(list(new))
         return rows, [list(map(self.number.__getitem__, c)) for c in cut]
 
     def totals(self, uses: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(distinct pairs, links of each) when unit i was met ``uses[i]`` times."""
-        uses = uses.copy()
-        made = np.flatnonzero(self.whole[:len(uses), 0] >= 0)
-        for side in (0, 1):
-            np.add.at(uses, self.whole[made, side], uses[made])
         if not self.pairs:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         times = np.repeat(uses[np.concatenate(self.owners)], np.concatenate(self.sizes))
