@@ -28,6 +28,7 @@ rows give repeated results; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -113,6 +114,8 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, int]] = []       # text, tags, container, boilerplate
         self.titles: set[int] = set()                         # numbers of the h1 lines
         self.articles, self.seen = 0, False                   # open now; any so far
+        self.held: Counter[str] = Counter()                   # open elements by name
+        self.walls = 0                                        # open elements that are boilerplate by themselves
 
     def end_line(self) -> None:
         if self.text:
@@ -120,7 +123,7 @@ class Lines(HTMLParser):
             self.text = []
             if text:
                 _, box, _, boiler = self.open[-1]
-                if any(tag == "h1" for tag, _, _, _ in self.open):
+                if self.held["h1"]:
                     self.titles.add(len(self.lines))
                 self.lines.append((text, self.tags, box, boiler))
         self.tags = 0
@@ -155,7 +158,7 @@ class Lines(HTMLParser):
                 named = is_hidden(attrs) or boilerplate_names(attrs)
                 if named and self.seen:                     # a reader's comment, a related article
                     boiler = HARD
-                elif boiler and not self.seen and not any(t in BOILERPLATE for t, _, _, _ in self.open):
+                elif boiler and not self.seen and not self.walls:
                     boiler = 0                              # only a wrapper's name spoke against it
                 self.seen = True
             elif boiler != HARD and tag not in KEEPERS:
@@ -171,6 +174,8 @@ class Lines(HTMLParser):
             box = len(self.parent) - 1
         if tag in ("article", "main"):
             self.articles += 1
+        self.held[tag] += 1
+        self.walls += tag in BOILERPLATE
         self.open.append((tag, box, hidden, boiler))
 
     def handle_startendtag(self, tag, attrs):
@@ -184,6 +189,8 @@ class Lines(HTMLParser):
             self.end_line()
         if tag in ("article", "main"):
             self.articles -= 1
+        self.held[tag] -= 1
+        self.walls -= tag in BOILERPLATE
         self.open.pop()
 
     def handle_endtag(self, tag):
@@ -192,6 +199,8 @@ class Lines(HTMLParser):
                 self.handle_starttag(tag, [])
             return
         self.tags += 1
+        if not self.held[tag]:
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
                 while len(self.open) > k:
@@ -205,6 +214,11 @@ class Lines(HTMLParser):
         if not self.open[-1][2]:
             self.text.append(data)
 
+    def parse_marked_section(self, i, report=1):
+        """``<![...>`` is a comment up to the next ``>``, whatever stands in it."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
+
     def finish(self) -> None:
         self.close()
         while len(self.open) > 1:
@@ -291,23 +305,16 @@ def content_lines(page: Lines) -> list[str]:
     # The smallest container of all content lines; then articles in it that hold the bulk.
     region = max(box for box in range(n) if count[box] == count[0])
     articles = [box for box in range(n) if page.kind[box] in ("article", "main")]
-    inside = np.zeros(n, dtype=bool)
-
-    def enter(region):
-        inside[:] = False
-        inside[region] = True
-        for box in range(region + 1, n):
-            inside[box] = inside[page.parent[box]]
-
-    for box in [0, *articles]:                              # from the outside in
-        if box == 0 or inside[box] and weight[box] >= BULK * weight[within]:
+    size = np.ones(n, dtype=np.int64)                       # containers are numbered as they open, so
+    for box in range(n - 1, 0, -1):                         # what one holds follows it without a gap
+        size[page.parent[box]] += size[box]
+    within = 0
+    for box in articles:                                    # from the outside in
+        if box < within + size[within] and weight[box] >= BULK * weight[within]:
             within = box
-            enter(box)
-    if within:
-        return [t for (t, _, box, _), b in zip(lines, marked, strict=True) if inside[box] and not b]
-    enter(region)
+    upto = (within or region) + size[within or region]
     return [t for k, ((t, _, box, _), b) in enumerate(zip(lines, marked, strict=True))
-            if (inside[box] or k in page.titles) and not b]
+            if ((within or region) <= box < upto or not within and k in page.titles) and not b]
 
 
 def main_text(html: str | None) -> str:

@@ -1,5 +1,6 @@
 """Cross-tokenizer alignment, log-bilinear scores and ball-tree search against
-brute force on awkward rows."""
+brute force on awkward rows; page extraction on malformed, deep and nameless
+pages."""
 
 import hashlib
 import math
@@ -24,6 +25,54 @@ def docs_of(spark, texts, n=3):
     return spark.createDataFrame([(i, t, "x", "y", "z") for i, t in texts], DOCS).repartition(n)
 
 
+# -- 6 ---------------------------------------------------------------------------------------------
+
+LONG = "This paragraph tells at some length what has happened, to whom, and why that is worth a page of its own. "
+
+
+def test_malformed_pages_give_a_text_and_end_no_query(spark):
+    from feedloom.llm import html_text
+    pages = ["<p>a<![foo[x]]>b", "<![ x]>", "<!", "<![CDATA[ z ]]> y", "<p>one</p><![if IE]><p>two</p><![endif]>", "<", "</", "<!--", "<p",
+             "<p class=", "&#xD800;", "&#99999999;", "<p>&am", "<a href='x", "<!DOCTYPE", "<?php echo 1 ?>t", "<script>x", "</p></p>z", "\x00<p>n\x00"]
+    rows = spark.createDataFrame([(i, "u", p, "x") for i, p in enumerate(pages)], "page_id bigint, url string, html string, text string")
+    got = {r.page_id: r.text for r in html_text.extract(rows.unionByName(rows)).collect()}
+    assert len(got) == len(pages)
+    assert got[0].replace("\n", "") in ("a]>b", "ab") and got[4].split("\n")[0] == "one" and "two" in got[4]
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    from feedloom.llm import html_text
+
+    def page(n, tag):
+        return f"<{tag}>" * n + f"<p>{LONG}</p>" + "</x></section>" * n + f"</{tag}>" * n
+    for tag in ("article", "div", "form", "b"):
+        took = []
+        for n in (1000, 8000):
+            start = time.perf_counter()
+            assert html_text.main_text(page(n, tag)).strip() in (LONG.strip(), "")
+            took.append(time.perf_counter() - start)
+        assert took[1] < 30 * took[0] + 0.2, (tag, took)
+
+
+def nameless(menu, body, foot):
+    """A page without telling names and without an article."""
+    links = "".join(f"<li><a href='/{i}'>{w}</a></li>" for i, w in enumerate(menu))
+    return (f"<html><body><div class='a1'><ul>{links}</ul></div><div class='b2'>" + "".join(f"<p>{p}</p>" for p in body)
+            + f"</div><div class='c3'><p><a href='x'>{foot}</a> <a href='y'>{foot}</a> <a href='z'>{foot}</a></p></div></body></html>")
+
+
+def test_ratios_choose_the_lines_where_no_name_does(monkeypatch):
+    from feedloom.llm import html_text
+    body = [LONG * (1 + i % 3) for i in range(5)]
+    want = "\n".join(" ".join(p.split()) for p in body)
+    pages = [nameless([f"Item {k}" for k in range(m)], body, "More") for m in (4, 9, 20)]
+    assert [html_text.main_text(p) for p in pages] == [want] * 3
+    monkeypatch.setattr(html_text, "rated", lambda page, marked: ~np.array(marked))        # without them the menu is text
+    assert all("Item 1" in html_text.main_text(p) for p in pages)
+
+
 # -- 11 --------------------------------------------------------------------------------------------
 
 ODD = ["café", "l'eau", "don't", "naïve,", "x", "▁a", "日本語", "a b", "😀", "(ok)", "end.", "...", "<|endoftext|>", "<s>",
