@@ -63,7 +63,11 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    """The kept text follows the contract's columns (a code point cut by a
+    span's border shows as a replacement character)."""
+    kept = repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_text=True)
+    return kept.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
 
 
 def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
