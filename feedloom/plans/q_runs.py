@@ -21,7 +21,7 @@ from feedloom.plans.registry import register
 from feedloom.session import cut_lineage, scratch_path, table
 from feedloom.sinks import artifacts as K
 from feedloom.sources.feeds import read_feed_files, read_feed_items
-from feedloom.streaming.feeds import read_episode_table, stream_feeds
+from feedloom.streaming.feeds import read_episode_table, read_error_table, stream_feeds
 
 SCHEME_SQL = J.DEFAULT_SCHEME.replace("'", "''")
 
@@ -298,3 +298,21 @@ def stream_episodes(spark, sf):
     q2 = stream_feeds(spark, src, out)      # a second run over the same files: nothing new
     q2.awaitTermination()
     return read_episode_table(spark, out).select("audio_url", "id", "title")
+
+
+@register("stream_errors", f"""
+WITH {DOC_FIELDS_SQL.strip()},
+f AS (SELECT DISTINCT feed_url, broken, regexp_replace(feed_url, '[^A-Za-z0-9]', '_', 'g') || '.xml' AS name, block FROM doc_fields),
+c AS (SELECT feed_url, broken, name FROM f UNION ALL SELECT feed_url, broken, 'copy1-' || name FROM f WHERE block = 0)
+SELECT c.name AS feed, CAST(NULL AS BIGINT) AS position, 'invalid feed XML' AS reason FROM c WHERE broken
+UNION ALL
+SELECT c.name, e.position, e.strict_reason FROM c JOIN episodes e USING (feed_url) WHERE e.strict_reason IS NOT NULL""")
+def stream_errors(spark, sf):
+    """What the stream could not take in, once each, however often
+    its files are read."""
+    src = _write_feed_files(spark, sf, copies=2)
+    out = scratch_path(spark, "episodes")
+    for run in range(2):
+        stream_feeds(spark, src, out, checkpoint=f"{out}_checkpoint{run}").awaitTermination()
+    feed = F.url_decode(F.regexp_extract("feed_url", r"name=([^/]+)/[^/]+$", 1))
+    return read_error_table(spark, out).select(feed.alias("feed"), "position", "reason")

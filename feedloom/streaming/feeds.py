@@ -4,21 +4,22 @@ New feed files landing in a folder are parsed, validated and appended to an
 episode table. Re-ingestion is safe: episodes are identified by audio URL (without
 one, by feed and guid or position), and each micro-batch anti-joins against what the table already holds
 before it appends (an idempotent sink: a replayed batch writes nothing
-new). The table itself is the dedupe state, so there is no streaming state
-store growing with history.
+new). What the table holds is kept in buckets beside it (``identities``), so a
+batch reads the buckets of its own rows and not the history.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from feedloom.operators.validate import with_reject_reason
 from feedloom.session import cut_lineage
-from feedloom.sinks.artifacts import append_batch, read_batches
+from feedloom.sinks.artifacts import read_batches
 from feedloom.sources.feeds import episodes as feed_episodes
 from feedloom.sources.feeds import feed_errors, parse_feeds
+from feedloom.streaming.identities import IdentityIndex
 
 
 def with_identity(df: DataFrame) -> DataFrame:
@@ -51,20 +52,13 @@ def ingest_batch(batch: DataFrame, table_path: str, policy: str = "strict") -> i
     bad = (feed_errors(parsed, "rss").select("feed_url", F.lit(None).cast("bigint").alias("position"), F.col("error").alias("reason"))
            .unionByName(eps.where(F.col("reject_reason").isNotNull())
                         .select("feed_url", F.col("position").cast("bigint").alias("position"), F.col("reject_reason").alias("reason"))))
-    _append_new(bad.distinct(), f"{table_path}_errors", ["feed_url", "position", "reason"])
-    return _append_new(dedupe_by_identity(eps.where(F.col("reject_reason").isNull()).drop("reject_reason")),
-                       table_path, ["identity"])
-
-
-def _append_new(rows: DataFrame, path: str, keys: list[str]) -> int | None:
-    """Append the rows whose keys ``path`` does not hold; evaluated once."""
-    existing = read_batches(rows.sparkSession, path)
-    if existing is not None:
-        known = existing.select(*[F.col(k).alias(f"_{k}") for k in keys])
-        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-        rows = rows.join(known, same, "left_anti")
-    rows = cut_lineage(rows)
-    return None if rows.isEmpty() else append_batch(rows, path)
+    IdentityIndex(spark, f"{table_path}_errors", _error_identity()).append_new(bad.distinct())
+    good = dedupe_by_identity(eps.where(F.col("reject_reason").isNull()).drop("reject_reason"))
+    return IdentityIndex(spark, table_path, F.col("identity")).append_new(good)
+
+
+def _error_identity() -> Column:
+    return F.to_json(F.array("feed_url", F.col("position").cast("string"), "reason"))
 
 
 def stream_feeds(spark: SparkSession, source_dir: str, table_path: str, checkpoint: str | None = None,

@@ -128,3 +128,27 @@ def test_a_write_reports_the_ids_that_lose_their_name(spark, tmp_dir):
     assert [tuple(r) for r in K.read_collisions(spark, f"{tmp_dir}/s").drop("batch").collect()] == [("ep_1_entry.json", "ep/1", "ep 1", 2)]
     K.write_metadata(rows.where("id = 'other'"), f"{tmp_dir}/m")
     assert K.read_collisions(spark, f"{tmp_dir}/m") is None
+
+
+def test_known_identities_do_not_grow_with_the_batches(spark, tmp_dir):
+    from feedloom.streaming.identities import IdentityIndex
+    path = f"{tmp_dir}/t"
+
+    def index():
+        return IdentityIndex(spark, path, F.col("k"), buckets=3, files=2)
+
+    def rows(*ks):
+        return spark.createDataFrame([(k, "v") for k in ks], "k string, v string")
+    for n in range(6):
+        assert index().append_new(rows(f"a{n}", f"b{n}", "same", None)) == n
+    assert index().append_new(rows("a0", "b5", "same", None)) is None           # a replay of anything adds nothing
+    held = [os.listdir(f"{path}_identities/{d}") for d in os.listdir(f"{path}_identities") if d.startswith("bucket=")]
+    assert len(held) <= 3 and all(sum(f.endswith(".parquet") for f in fs) <= 3 for fs in held)
+    table = spark.read.parquet(*[d for _, d in K.committed_batches(spark, path)])
+    assert table.where("k = 'same'").count() == 1 and table.count() == 14
+    # A run that ended before its batch was complete, and one that ended before its identities were folded.
+    os.makedirs(f"{path}/batch=6")
+    with open(f"{path}_identities/_next", "w") as fh:
+        fh.write("")
+    assert index().append_new(rows("a1", "late")) == 6
+    assert index().append_new(rows("late")) is None
