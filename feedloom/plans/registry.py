@@ -28,4 +28,4 @@ def load_all() -> None:
         importlib.import_module(f"feedloom.plans.{mod}")
 
 
-MODULES = ["q_feeds", "q_functions", "q_memo", "q_graph", "q_entries", "q_bench", "q_runs"]
+MODULES = ["q_feeds", "q_functions", "q_memo", "q_graph", "q_entries", "q_bench", "q_runs", "q_flow"]
