@@ -316,10 +316,11 @@ def _blocks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fetch(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """(doc_id, ids) of a few documents: only their blocks are read."""
+    """(doc_id, ids) of a few documents: only their blocks are read. Null ids
+    sort first, so a block that begins with one has no lower bound."""
     cond = None
     for d in doc_ids:
-        c = (F.col("first_doc") <= d) & (F.col("last_doc") >= d)
+        c = (F.col("first_doc").isNull() | (F.col("first_doc") <= d)) & (F.col("last_doc") >= d)
         cond = c if cond is None else cond | c
     out = read_token_ids(spark, path, cond if cond is not None else F.lit(False))
     return out.where(F.col("doc_id").isin([int(d) for d in doc_ids])).select("doc_id", "ids")
