@@ -14,7 +14,9 @@ join with the digests that occur more than once.
 
 Reading. Files come as binary rows (``records_per_file`` bounds their size)
 and are parsed by ``Content-Length``, so payloads may hold anything, also text
-that looks like a record. Gzip members, one or many, are recognised.
+that looks like a record. Gzip members, one or many, are recognised. Every
+payload that is read is counted and hashed then and there; what the writer
+put into the headers is only compared with it (``intact``).
 
 Assembly. The records of one capture meet by the id that the request's and
 metadata's ``WARC-Concurrent-To`` and the response's own ``WARC-Record-ID``
@@ -31,6 +33,7 @@ archive, read back as no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -50,7 +53,7 @@ CAPTURED_AT = "1970-01-01T00:00:00Z"
 
 RECORD_DDL = ("record_type string, record_id string, concurrent_to string, refers_to string, target_uri string, "
               "date string, payload_digest string, headers map<string,string>, http_headers map<string,string>, "
-              "http_start string, payload binary")
+              "http_start string, payload binary, read_bytes bigint, read_digest string")
 
 
 def capture_id(key: Column, url: Column, digest: Column) -> Column:
@@ -168,9 +171,9 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["record_type", "record_id", "concurrent_to", "refers_to", "target_uri", "date", "payload_digest",
-                 "headers", "http_headers", "http_start", "payload"]
+                 "headers", "http_headers", "http_start", "payload", "read_bytes", "read_digest"]
         text, pairs = pa.string(), pa.map_(pa.string(), pa.string())
-        types = [text] * 7 + [pairs, pairs, text, pa.binary()]
+        types = [text] * 7 + [pairs, pairs, text, pa.binary(), pa.int64(), text]
 
         def batch(rows):
             return pa.RecordBatch.from_arrays(
@@ -183,12 +186,12 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                     start, http, body = None, {}, block
                     if h.get("content-type", "").startswith("application/http"):
                         start, http, body = _http(block)
-                    kind = h.get("warc-type")
+                    kind, n, digest = h.get("warc-type"), len(body), hashlib.sha1(body).hexdigest()
                     if not payloads and kind == "response":
                         body = None
                     rows.append((kind, h.get("warc-record-id"), h.get("warc-concurrent-to"), h.get("warc-refers-to"),
                                  h.get("warc-target-uri"), h.get("warc-date"), h.get("warc-payload-digest"),
-                                 list(h.items()), list(http.items()), start, body))
+                                 list(h.items()), list(http.items()), start, body, n, digest))
                     size += len(block)
                     if size > 8 << 20 or len(rows) >= 4000:
                         yield batch(rows)
@@ -208,7 +211,7 @@ def transactions(records: DataFrame) -> DataFrame:
     kind = F.col("record_type")
     answer = kind.isin("response", "revisit")
     whole = F.struct("record_type", "record_id", "target_uri", "date", "refers_to", "payload_digest", "headers",
-                     "http_start", "http_headers", "payload")
+                     "http_start", "http_headers", "payload", "read_bytes", "read_digest")
     joined = (records.where(kind.isin("request", "response", "revisit", "metadata"))
               .withColumn("capture_id", F.when(answer, F.col("record_id")).otherwise(
                   F.coalesce("concurrent_to", "record_id")))
@@ -230,22 +233,33 @@ def warc_fields(metadata: Column, name: str) -> Column:
 
 
 def captures(transaction_rows: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to,
-    capture_id, target_uri) of assembled captures; ``refers_to`` is the key of
-    the capture that a revisit's ``WARC-Refers-To`` names."""
-    rows = transaction_rows.select(
+    """(page_id, payload_bytes, payload_digest, record_type, refers,
+    capture_id, target_uri, intact) of assembled captures. Length and digest
+    of a response are those of the payload that was read; a revisit has no
+    payload of its own and says what its headers say (``resolve`` puts the
+    figures of the response it refers to there). ``intact``: the headers agree
+    with the payload."""
+    own = F.col("response.record_type") == "response"
+    said = F.lower(F.substring_index(F.col("response.payload_digest"), ":", -1))
+    length = F.coalesce(F.col("response.http_headers")["content-length"],
+                        warc_fields(F.col("metadata.payload"), "payload-bytes")).cast("bigint")
+    n, digest = F.col("response.read_bytes"), F.col("response.read_digest")
+    return transaction_rows.select(
         "capture_id", "target_uri", warc_fields(F.col("metadata.payload"), "key").cast("bigint").alias("page_id"),
-        F.coalesce(F.col("response.http_headers")["content-length"],
-                   warc_fields(F.col("metadata.payload"), "payload-bytes")).cast("bigint").alias("payload_bytes"),
-        F.lower(F.substring_index(F.col("response.payload_digest"), ":", -1)).alias("payload_digest"),
-        F.col("response.record_type").alias("record_type"), F.col("response.refers_to").alias("refers"))
-    return rows
+        F.when(own, n).otherwise(length).alias("payload_bytes"), F.when(own, digest).otherwise(said).alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"), F.col("response.refers_to").alias("refers"),
+        F.when(own, (n == F.coalesce(length, n)) & (digest == F.coalesce(said, digest))).alias("intact"))
 
 
 def resolve(capture_rows: DataFrame) -> DataFrame:
-    """Replaces the record id that a revisit refers to by that capture's key."""
+    """Replaces the record id that a revisit refers to by that capture's key,
+    and gives the revisit the length and digest read from its payload; a
+    revisit whose headers say otherwise is not ``intact``."""
     named = capture_rows.where("refers is not null").select(F.col("refers").alias("capture_id")).distinct()
     keys = (capture_rows.join(named, "capture_id", "left_semi")
-            .groupBy(F.col("capture_id").alias("refers")).agg(F.max("page_id").alias("refers_to")))
+            .groupBy(F.col("capture_id").alias("refers")).agg(
+                F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("_n"), F.max("payload_digest").alias("_d")))
+    same = (F.col("payload_bytes") == F.col("_n")) & (F.col("payload_digest") == F.col("_d"))
     return capture_rows.join(keys, "refers", "left").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "capture_id", "target_uri")
+        "page_id", F.coalesce("_n", "payload_bytes").alias("payload_bytes"), F.coalesce("_d", "payload_digest").alias("payload_digest"),
+        "record_type", "refers_to", "capture_id", "target_uri", F.coalesce("intact", same, F.lit(False)).alias("intact"))
