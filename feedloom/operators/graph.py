@@ -8,15 +8,14 @@ per *level* (not per node), and nothing is collected to the driver.
 
 from __future__ import annotations
 
-import uuid
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.operators.latest import pick
 from feedloom.operators.ordered import row_rank
-from feedloom.session import cut_lineage, scratch_path, shuffle_partitions
+from feedloom.session import cut_lineage
 
 EMPTY_PROPS = "cast(map() as map<string,string>)"
 # Fixed values that must equal the reference's for identical results.
@@ -77,13 +76,16 @@ def append_edges(edges: DataFrame | None, new: DataFrame, order: list[Column] |
 
 # --- Q2 / G3 / G4 / G5 reads ----------------------------------------------------------
 
+def _both_ways() -> Column:
+    """(a, b) of both directions of each edge, from one scan."""
+    return F.inline(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")),
+                            F.struct(F.col("dst").alias("a"), F.col("src").alias("b"))))
+
+
 def undirected(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Distinct (a, b) pairs for every edge in both directions. With
     ``nodes``, pairs whose far end is not a node (dangling) are dropped."""
-    # one scan of the edge table emits both directions
-    both = F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")),
-                   F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))
-    u = edges.select(F.inline(both)).distinct()
+    u = edges.select(_both_ways()).distinct()
     if nodes is not None:
         u = u.join(nodes.select(F.col("id").alias("b")), "b", "left_semi")
     return u
@@ -105,8 +107,8 @@ def neighbors(g: Graph, ids: DataFrame, include_self: bool = False,
     ``include_self=False`` is the relational backend's rule (a self-loop
     does not make a node its own neighbour)."""
     exists = node_exists(g.nodes, ids, id_col)
-    u = undirected(g.edges)
-    pairs = (exists.where("found").select(id_col).join(u, F.col(id_col) == F.col("a"))
+    # The asked ids first: only their edges are made distinct.
+    pairs = (exists.where("found").select(id_col).join(g.edges.select(_both_ways()), F.col(id_col) == F.col("a"))
              .select(id_col, F.col("b").alias("id")).distinct())
     if not include_self:
         pairs = pairs.where(F.col("id") != F.col(id_col))
@@ -167,119 +169,37 @@ def nodes_from_properties(base: DataFrame, props: DataFrame) -> DataFrame:
 
 # --- G7 breadth-first search -------------------------------------------------------------
 
-BUCKETED_MIN_EDGES = 50_000_000
-
-
-def bfs(g: Graph, start: str, max_depth: int | None = None, bucketed: bool | None = None) -> DataFrame:
+def bfs(g: Graph, start: str, max_depth: int | None = None) -> DataFrame:
     """(id, depth) of every node reachable from ``start`` over undirected
     edges, start included at depth 0. Unknown start -> NodeNotFound.
 
-    One join per level, never one per node. Every level is a reliable
-    checkpoint with an exact row count, and the count picks the join. A
-    frontier of at most ``BROADCAST_ROWS`` is broadcast while the edge view
-    streams past it; a larger one is hash-joined. In an undirected graph a
-    neighbour of a node at depth d sits at depth d-1, d or d+1, so the anti
-    join only needs the last two levels, not the whole visited set.
-
-    The edge view is the distinct undirected edge list. Above
-    ``BUCKETED_MIN_EDGES`` edges (or with ``bucketed=True``) it is written
-    once as a salted table bucketed by (node, salt) (``edge_view``). Each
-    large level then shuffles only the frontier, and a node with a huge
-    degree is spread over several salts. Smaller graphs use the
-    checkpointed list directly, which is cheaper for them."""
+    One join per level, never one per node, and one job per level: the level
+    is saved (a reliable checkpoint) and counted by the same job. The edge
+    view (each undirected pair once, far ends that are nodes) is saved once;
+    how a level meets it, by broadcast, by shuffle or with a hub's edges split
+    over tasks, is decided at run time from the measured sizes. In an
+    undirected graph a neighbour of a node at depth d sits at depth d-1, d or
+    d+1, so the anti join only needs the last two levels, not the whole
+    visited set."""
     spark = g.nodes.sparkSession
-    if g.nodes.where(F.col("id") == start).limit(1).count() == 0:
+    if g.nodes.where(F.col("id") == start).select("id").isEmpty():
         raise NodeNotFound(start)
     und = cut_lineage(undirected(g.edges, g.nodes))
-    n_edges = und.count()
-    if bucketed if bucketed is not None else n_edges > BUCKETED_MIN_EDGES:
-        und, hot, table_name = _bucketed_view(und, n_edges)
-        keys = ["a", "salt"]
-
-        def frontier(lv):
-            return salted_frontier(lv, hot)
-    else:
-        table_name, keys = None, ["a"]
-
-        def frontier(lv):
-            return lv.select(F.col("id").alias("a"))
-    level = cut_lineage(spark.createDataFrame([(start,)], "id string"))
-    levels = [level.withColumn("depth", F.lit(0))]
-    prev, n_level, n_prev = None, 1, 0
-    depth = 0
-    while max_depth is None or depth < max_depth:
-        front = frontier(level)
-        if n_level <= BROADCAST_ROWS:
-            # exact row count known: broadcast, stream the edge view (no shuffle, no sort)
-            reached = und.join(F.broadcast(front), keys)
-        else:
-            # hash-join on the frontier; a bucketed view is not shuffled again
-            reached = front.hint("shuffle_hash").join(und, keys)
-        nxt = reached.select(F.col("b").alias("id")).distinct()
-        nxt = nxt.join(_sized(level, n_level), "id", "left_anti")
-        if prev is not None:
-            nxt = nxt.join(_sized(prev, n_prev), "id", "left_anti")
-        nxt = cut_lineage(nxt)
-        n_next = nxt.count()
-        if n_next == 0:
+    levels = [spark.createDataFrame([(start,)], "id string")]
+    while max_depth is None or len(levels) <= max_depth:
+        seen = levels[-1] if len(levels) < 2 else levels[-1].unionByName(levels[-2])
+        reached = und.join(levels[-1].select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
+        count = Observation()
+        found = cut_lineage(reached.join(seen, "id", "left_anti").observe(count, F.count(F.lit(1)).alias("n")))
+        if not count.get["n"]:
             break
-        depth += 1
-        levels.append(nxt.withColumn("depth", F.lit(depth)))
-        prev, level, n_prev, n_level = level, nxt, n_level, n_next
-    if table_name:
-        spark.sql(f"DROP TABLE IF EXISTS {table_name}")     # levels are checkpointed already
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
+        levels.append(found)
+    out = levels[0].withColumn("depth", F.lit(0))
+    for depth, level in enumerate(levels[1:], 1):
+        out = out.unionByName(level.withColumn("depth", F.lit(depth)))
     return out
 
 
-BROADCAST_ROWS = 2_000_000   # node ids per broadcast side (tens of MB)
-
-
-def _sized(df: DataFrame, n: int) -> DataFrame:
-    """Broadcast a side whose exact row count is known to be small."""
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
-
-
-def edge_view(g: Graph, num_partitions: int | None = None) -> tuple[DataFrame, DataFrame, str]:
-    """(table, hot, name): the distinct undirected edges (a, salt, b), far
-    ends restricted to nodes, written once as a table bucketed by (a, salt)
-    in the shared scratch folder, so repeated joins on ``a`` reuse the
-    partitioning instead of shuffling the edges again.
-
-    A node holding more than 1/P of all edges is *hot*: its edges are split
-    over ``k = ceil(degree / (edges / P))`` salts by a hash of the far end.
-    Hot nodes each hold more than 1/P of the edges, so there are fewer than
-    P of them: the ``hot`` table (a, k) has a proven size bound and is
-    broadcast."""
-    und = cut_lineage(undirected(g.edges, g.nodes))
-    return _bucketed_view(und, und.count(), num_partitions)
-
-
-def _bucketed_view(und: DataFrame, total: int, num_partitions: int | None = None) -> tuple[DataFrame, DataFrame, str]:
-    spark = und.sparkSession
-    p = num_partitions or shuffle_partitions(spark)
-    per_task = max(total // p, 1)
-    hot = cut_lineage(und.groupBy("a").agg(F.count(F.lit(1)).alias("deg"))
-                      .where(F.col("deg") > per_task)
-                      .select("a", F.ceil(F.col("deg") / per_task).cast("int").alias("k")))
-    salt = F.coalesce(F.pmod(F.xxhash64("b"), F.col("k")), F.lit(0)).cast("int")
-    salted = und.join(F.broadcast(hot), "a", "left").select("a", salt.alias("salt"), "b")
-    name = f"feedloom_edges_{uuid.uuid4().hex[:12]}"
-    (salted.write.bucketBy(p, "a", "salt").sortBy("a", "salt")
-     .option("path", scratch_path(spark, name)).saveAsTable(name))
-    return spark.table(name), hot, name
-
-
-def salted_frontier(level: DataFrame, hot: DataFrame) -> DataFrame:
-    """(a, salt) for each frontier node: one salt for ordinary nodes, all k
-    salts for a hot node (at most P extra rows per hot node)."""
-    k = F.coalesce(F.col("k"), F.lit(1))
-    return (level.join(F.broadcast(hot), level["id"] == hot["a"], "left")
-            .select(level["id"].alias("a"), F.explode(F.sequence(F.lit(0), k - 1)).alias("salt")))
-
-
 # --- G9 / G10 -------------------------------------------------------------------------------
 
 def entities_to_graph(documents: DataFrame, graph_col: str = "graph", id_col: str = "id",

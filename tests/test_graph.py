@@ -75,10 +75,19 @@ def test_properties_long_form_round_trip(spark):
     assert {r.id: r.properties for r in back.collect()} == {"a": {"k": "1"}, "b": {"k": "2"}, "c": {}}
 
 
-@pytest.mark.parametrize("bucketed", [False, True])
-def test_bfs_matches_python_and_depth_one_is_neighbors(spark, bucketed):
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_bfs_matches_python_and_depth_one_is_neighbors(spark, broadcast):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        check_bfs(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def check_bfs(spark):
     g = G.synthetic_graph(spark, 300, seed=7, edges_per_node=2)
-    got = {r.id: r.depth for r in G.bfs(g, "node-0", bucketed=bucketed).collect()}
+    got = {r.id: r.depth for r in G.bfs(g, "node-0").collect()}
     adj = {}
     for r in g.edges.collect():
         adj.setdefault(r.src, set()).add(r.dst)
@@ -112,18 +121,16 @@ def test_entities_to_graph(spark):
     assert (e.src, e.dst, e.label, e.context, e.edge_id) == ("Ann", "Acme", "works_at", "since 2020", 0)
 
 
-def test_hot_node_is_salted_and_bfs_stays_exact(spark):
+def test_bfs_through_a_hub_is_exact_and_stops_at_a_depth(spark):
     leaves = [f"l{i}" for i in range(400)]
     nodes = [("hub", "H", None)] + [(x, "L", None) for x in leaves] + [("tail", "T", None)]
-    edges = [("hub", x, "r") for x in leaves] + [("l7", "tail", "r")]
+    edges = [("hub", x, "r") for x in leaves] + [("l7", "tail", "r"), ("tail", "ghost", "r"), ("tail", "tail", "r")]
     g = graph(spark, nodes, edges)
-    und, hot, name = G.edge_view(g, num_partitions=4)
-    hot_rows = {r.a: r.k for r in hot.collect()}
-    assert "hub" in hot_rows and hot_rows["hub"] > 1 and len(hot_rows) < 4
-    assert und.where("a = 'hub'").select("salt").distinct().count() == hot_rows["hub"]
-    depth = {r.id: r.depth for r in G.bfs(g, "tail", bucketed=True).collect()}
+    depth = {r.id: r.depth for r in G.bfs(g, "tail").collect()}
     assert depth["tail"] == 0 and depth["l7"] == 1 and depth["hub"] == 2 and depth["l8"] == 3
     assert len(depth) == 402
+    assert {r.id for r in G.bfs(g, "tail", max_depth=2).collect()} == {"tail", "l7", "hub"}
+    assert {r.id for r in G.bfs(g, "tail", max_depth=0).collect()} == {"tail"}
 
 
 def test_snapshot_json_lines(spark):
