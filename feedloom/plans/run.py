@@ -238,7 +238,7 @@ def register_table_stage(spark: SparkSession, name: str, handler: type, returns:
     FROM t, LATERAL name(t.column)``. ``handler.eval`` yields its rows."""
     from feedloom.session import ship_package
     ship_package(spark)
-    spark.udtf.register(name, F.udtf(handler, returnType=returns))
+    spark.udtf.register(name, F.udtf(handler, returnType=returns, useArrow=True))
 
 
 def register_entry_people(spark: SparkSession, name: str = "entry_people") -> None:
