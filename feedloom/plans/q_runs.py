@@ -225,15 +225,18 @@ SELECT regexp_replace(id, '[^A-Za-z0-9]', '_', 'g') || '_raw.txt' AS name,
        ELSE transcript END AS text
 FROM r""")
 def artifact_harvest(spark, sf):
-    """K1 export as one output per name, then S5 harvest by glob."""
+    """K1 export of raw texts and sidecars, many a file, then S5 harvest of the
+    raw ones by glob."""
     d = table(spark, sf, "documents").select(
         F.concat(F.lit("ep-"), F.col("doc_id").cast("string")).alias("id"),
         F.concat(F.upper("lang"), F.lit(" #"), F.col("doc_id").cast("string")).alias("title"),
         F.when(F.col("n_chars") % 4 == 0, F.lit("")).otherwise(F.col("text")).alias("transcript"),
         F.lit("").alias("audio_url"))
     path = scratch_path(spark, "harvest")
-    K.export_files(K.raw_table(d), path)
-    return K.read_artifacts(spark, path, S.artifact_glob("raw")).select("name", "slug", "text")
+    raw = K.raw_table(d)
+    side = raw.select(F.concat(S.slug("episode_id"), F.lit(S.META_SUFFIX)).alias("name"), F.lit("{}").alias("text"))
+    K.export_bundles(raw.select("name", "text").unionByName(side), path)
+    return K.read_bundles(spark, path, S.artifact_glob("raw"))
 
 
 def _write_feed_files(spark, sf, copies: int = 1) -> str:

@@ -8,6 +8,7 @@ new, never a partial write (K5). Single writer per table.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -201,6 +202,45 @@ def export_files(df: DataFrame, path: str, name_col: str = "name", text_col: str
      .write.mode("append").partitionBy(name_col).text(path))
 
 
+#: Suffix of the known kinds of artifact; a structured output's is its scheme's.
+KIND_PATTERN = r"(_raw\.txt|_meta\.json|\.mp3|_[^_]+\.json)$"
+
+
+def export_bundles(df: DataFrame, path: str, name_col: str = "name", text_col: str = "text") -> None:
+    """Many artifacts a file: (name, text) rows in one folder for each kind
+    (``kind=<suffix>``), committed by Spark. The number of files follows the
+    partitions, not the artifacts, and a harvest by kind reads one folder."""
+    kind = F.regexp_extract(F.col(name_col), KIND_PATTERN, 1)
+    (df.select(F.col(name_col).alias("name"), F.col(text_col).alias("text"), F.when(kind != "", kind).otherwise(F.lit("other")).alias("kind"))
+     .write.mode("append").partitionBy("kind").parquet(path))
+
+
+def _like(glob: str) -> str:
+    return glob.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%").replace("?", "_")
+
+
+def _plain_suffix(glob: str | None) -> str | None:
+    """What a glob asks a name to end with, if that is all it asks."""
+    return glob[1:] if glob and glob.startswith("*") and not set("*?") & set(glob[1:]) else None
+
+
+def _slug_of(name: Column, suffix: str | None) -> Column:
+    """The asked suffix is the artifact's; without one the known kinds decide."""
+    end = F.lit(suffix) if suffix else F.regexp_extract(name, KIND_PATTERN, 1)
+    return name.substr(F.lit(1), F.length(name) - F.length(end))
+
+
+def read_bundles(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(name, slug, text) of ``export_bundles`` folders; a glob for a known
+    kind reads that kind's folder alone."""
+    rows, suffix = spark.read.schema("name string, text string, kind string").parquet(path), _plain_suffix(glob)
+    if suffix and re.fullmatch(KIND_PATTERN.rstrip("$"), suffix):
+        rows = rows.where(F.col("kind") == suffix)
+    if glob:
+        rows = rows.where(F.col("name").like(_like(glob)))
+    return rows.select("name", _slug_of(F.col("name"), suffix).alias("slug"), "text")
+
+
 def read_artifacts(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(name, slug, path, text) from files; ``glob`` like ``*_raw.txt``.
 
@@ -216,12 +256,8 @@ def read_artifacts(spark: SparkSession, path: str, glob: str | None = None) -> D
                   F.col("text").substr(F.lit(1), F.length("text") - 1)).otherwise(F.col("text"))
     out = raw.select(name.alias("name"), "path", text.alias("text"))
     if glob:
-        like = glob.replace("%", "\\%").replace("_", "\\_").replace("*", "%").replace("?", "_")
-        out = out.where(F.col("name").like(like))
-    asked = glob[1:] if glob and glob.startswith("*") and not set("*?") & set(glob[1:]) else None
-    # The asked suffix is the artifact's; without one the known kinds decide.
-    suffix = F.lit(asked) if asked else F.regexp_extract("name", r"(_raw\.txt|_meta\.json|\.mp3|_[^_]+\.json)$", 1)
-    slug = F.col("name").substr(F.lit(1), F.length("name") - F.length(suffix))
+        out = out.where(F.col("name").like(_like(glob)))
+    slug = _slug_of(F.col("name"), _plain_suffix(glob))
     return out.select("name", slug.alias("slug"), "path", "text")
 
 

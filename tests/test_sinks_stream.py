@@ -152,3 +152,17 @@ def test_known_identities_do_not_grow_with_the_batches(spark, tmp_dir):
         fh.write("")
     assert index().append_new(rows("a1", "late")) == 6
     assert index().append_new(rows("late")) is None
+
+
+def test_bundles_hold_many_artifacts_a_file(spark, tmp_dir):
+    rows = spark.createDataFrame([(f"e{i}_raw.txt", f"t{i}\n") for i in range(300)] + [("e1_meta.json", "{}"), ("e1_my.json", "{1}"), ("odd", "x"),
+                                  ("a%b_raw.txt", "p"), ("e1.mp3", "")], "name string, text string").repartition(2)
+    K.export_bundles(rows, f"{tmp_dir}/b")
+    files = [f for _, _, fs in os.walk(f"{tmp_dir}/b") for f in fs if f.endswith(".parquet")]
+    assert len(files) <= 2 * 5
+    raw = K.read_bundles(spark, f"{tmp_dir}/b", artifact_glob("raw"))
+    assert raw.count() == 301 and raw.where("slug = 'e7'").first().text == "t7\n"
+    assert "kind" in raw._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:60]
+    assert [r.slug for r in K.read_bundles(spark, f"{tmp_dir}/b", "*_my.json").collect()] == ["e1"]
+    assert [r.name for r in K.read_bundles(spark, f"{tmp_dir}/b", "a%*").collect()] == ["a%b_raw.txt"]
+    assert K.read_bundles(spark, f"{tmp_dir}/b").count() == 305
