@@ -1,8 +1,8 @@
 """One row for each key, picked on narrow columns.
 
 The rows are written once to the shared scratch folder with a row number;
-winners are found on (key, order, row number) alone by hash aggregates over
-numbers, round by round (one for each order column, then the row number, so
+winners are found on (key, order, row number) alone, by hash aggregates where
+the order is a number or a time, round by round (one for each order column, then the row number, so
 that every tie has a defined winner); and the rows themselves move once, in
 the semi join with the winning numbers. A hot key is folded in every task
 before it moves. The rows that lose stay available."""
@@ -34,43 +34,35 @@ def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _text_terms(c: Column) -> list[Column]:
-    """Numbers that order texts by their first 14 bytes; a hash parts the rest."""
-    code = F.hex(F.encode(c, "UTF-8"))
-    parts = [F.conv(F.rpad(F.substring(code, 1 + 14 * k, 14), 14, "0"), 16, 10).cast("bigint") for k in range(2)]
-    return [*parts, F.shiftright(F.xxhash64(c), 1)]
-
-
 def order_terms(df: DataFrame, order: Sequence[Column]) -> list[Column]:
-    """``order`` as bigint columns of the same order; NULL comes lowest."""
+    """``order`` as bigint columns (texts stay texts) of the same order; NULL
+    comes lowest."""
     out = []
     for c in order:
         kind = df.select(c.alias("o")).schema["o"].dataType
         if isinstance(kind, T.StructType):
             out += order_terms(df, [c[f.name] for f in kind.fields])
         elif isinstance(kind, T.StringType):
-            out += _text_terms(c)
+            out.append(F.coalesce(c, F.lit("")))
         elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            out.append(F.unix_micros(c.cast("timestamp")))
+            out.append(F.coalesce(F.unix_micros(c.cast("timestamp")), F.lit(LOWEST)))
         elif isinstance(kind, (T.IntegralType, T.BooleanType)):
-            out.append(c.cast("bigint"))
+            out.append(F.coalesce(c.cast("bigint"), F.lit(LOWEST)))
         else:
             raise TypeError(f"cannot order by {kind.simpleString()}")
-    return [F.coalesce(t, F.lit(LOWEST)) for t in out]
+    return out
 
 
 def pick(df: DataFrame, key: str, order: Sequence[Column] = (), smallest: bool = False) -> Picked:
     """The row of the greatest ``order`` for each ``key`` (with ``smallest`` the
     least), the last row of equals (the first), and the other rows."""
-    terms = order_terms(df, order)
-    sign = -1 if smallest else 1
-    saved = numbered(df.select("*", *[(t * sign).alias(f"_o{i}") for i, t in enumerate(terms)]))
+    terms, best = order_terms(df, order), F.min if smallest else F.max
+    saved = numbered(df.select("*", *[t.alias(f"_o{i}") for i, t in enumerate(terms)]))
     left = saved.select(F.col(key).alias("_key"), *[f"_o{i}" for i in range(len(terms))], "_row")
     for i in range(len(terms)):
-        top = left.groupBy("_key").agg(F.max(f"_o{i}").alias("_top"))
+        top = left.groupBy("_key").agg(best(f"_o{i}").alias("_top"))
         left = (left.join(top.withColumnRenamed("_key", "_k"), F.col("_key").eqNullSafe(F.col("_k")) & (F.col(f"_o{i}") == F.col("_top")))
                 .drop("_k", "_top"))
-    row = F.min("_row") if smallest else F.max("_row")
-    won = left.groupBy("_key").agg(row.alias("_row")).select("_row")
+    won = left.groupBy("_key").agg(best("_row").alias("_row")).select("_row")
     drop = [f"_o{i}" for i in range(len(terms))] + ["_row"]
     return Picked(saved.join(won, "_row", "left_semi").drop(*drop), saved.join(won, "_row", "left_anti").drop(*drop))

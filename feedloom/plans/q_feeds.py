@@ -257,3 +257,29 @@ SELECT eid AS id, audio_url AS url,
 FROM p""")
 def download_plan_q(spark, sf):
     return download_plan(_episodes(spark, sf), "/data/audio")
+
+
+# Layout of an event's time by its number: (Spark pattern, DuckDB format); both give whole seconds in UTC.
+_LAYOUTS = (
+    ("EEE, dd MMM yyyy HH:mm:ss '+0000'", "%a, %d %b %Y %H:%M:%S +0000"), ("d MMM yyyy HH:mm:ss 'GMT'", "%-d %b %Y %H:%M:%S GMT"),
+    ("EEEE, dd-MMM-yy HH:mm:ss 'UTC'", "%A, %d-%b-%y %H:%M:%S UTC"), ("EEE MMM d HH:mm:ss yyyy", "%a %b %-d %H:%M:%S %Y"),
+    ("d MMMM yyyy HH:mm:ss", "%-d %B %Y %H:%M:%S"), ("yyyy-MM-dd'T'HH:mm:ss'Z'", "%Y-%m-%dT%H:%M:%SZ"),
+    ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"), ("yyyy-MM-dd'T'HH:mm:ss'.250+00:00'", "%Y-%m-%dT%H:%M:%S.250+00:00"),
+    ("'on 'yyyy", "on %Y"))
+_LAYOUT_SQL = " ".join(f"WHEN {i} THEN strftime(ts, '{fmt}')" for i, (_, fmt) in enumerate(_LAYOUTS))
+
+
+@register("pub_date_layouts", f"""
+WITH e AS (SELECT event_id, date_trunc('second', ts) AS ts, CAST(event_id % {len(_LAYOUTS)} AS INTEGER) AS layout FROM events),
+r AS (SELECT *, CASE layout {_LAYOUT_SQL} END AS raw FROM e)
+SELECT event_id, raw, CASE WHEN layout = {len(_LAYOUTS) - 1} THEN raw ELSE strftime(ts, '%a, %d %b %Y %H:%M:%S +0000') END AS pub_date
+FROM r""")
+def pub_date_layouts(spark, sf):
+    """Event times printed in the layouts that feeds use, read back; the
+    last is none and stays as it is."""
+    e = table(spark, sf, "events").select("event_id", F.date_trunc("second", "ts").alias("ts"))
+    raw = F.lit(None).cast("string")
+    for i, (pattern, _) in enumerate(_LAYOUTS):
+        raw = F.when(F.col("event_id") % len(_LAYOUTS) == i, F.date_format("ts", pattern)).otherwise(raw)
+    e = e.select("event_id", raw.alias("raw"))
+    return e.select("event_id", "raw", normalize_pub_date("raw").alias("pub_date"))

@@ -206,3 +206,31 @@ def graph_from_entities(spark, sf):
     e = g.edges.select(F.lit("edge").alias("kind"), F.lit(None).cast("string").alias("id"), "label",
                        F.lit(None).cast("string").alias("document"), "edge_id", "src", "dst", "context")
     return n.unionByName(e)
+
+
+@register("graph_from_customers", """
+WITH c AS (SELECT c_custkey, c_name, c_mktsegment, n_name, 'customer-' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS doc
+           FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT 'node' AS kind, c_name AS id, 'Organization' AS label, doc AS document, NULL::BIGINT AS edge_id, NULL AS src, NULL AS dst, NULL AS context FROM c
+UNION ALL
+SELECT 'node', n_name, 'Location', max(doc), NULL, NULL, NULL, NULL FROM c GROUP BY n_name
+UNION ALL
+SELECT 'edge', NULL, 'located_in', NULL, row_number() OVER (ORDER BY doc) - 1, c_name, n_name, c_mktsegment FROM c""")
+def graph_from_customers(spark, sf):
+    """G9 over as many documents as there are customers; a nation is named by
+    many and keeps the last one's document."""
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    docs = c.select(
+        F.concat(F.lit("customer-"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("id"),
+        F.struct(
+            F.array(F.struct(F.col("c_name").alias("id"), F.lit("Organization").alias("type")),
+                    F.struct(F.col("n_name").alias("id"), F.lit("Location").alias("type"))).alias("entities"),
+            F.array(F.struct(F.col("c_name").alias("source"), F.col("n_name").alias("target"), F.lit("located_in").alias("relation"),
+                             F.col("c_mktsegment").alias("context"))).alias("relationships")).alias("graph"))
+    g = G.entities_to_graph(docs)
+    n = g.nodes.select(F.lit("node").alias("kind"), "id", "label", F.col("properties")["document"].alias("document"),
+                       F.lit(None).cast("bigint").alias("edge_id"), F.lit(None).cast("string").alias("src"),
+                       F.lit(None).cast("string").alias("dst"), F.lit(None).cast("string").alias("context"))
+    e = g.edges.select(F.lit("edge").alias("kind"), F.lit(None).cast("string").alias("id"), "label",
+                       F.lit(None).cast("string").alias("document"), "edge_id", "src", "dst", "context")
+    return n.unionByName(e)
