@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from conftest import SF001
 
-PYTHON_STAGES = {"enrich_status", "run_summary", "document_flow"}
+PYTHON_STAGES = {"enrich_status", "run_summary", "document_flow", "stage_replacement"}
 
 
 def _plan(df) -> str:
