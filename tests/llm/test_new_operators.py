@@ -25,6 +25,52 @@ def docs_of(spark, texts, n=3):
     return spark.createDataFrame([(i, t, "x", "y", "z") for i, t in texts], DOCS).repartition(n)
 
 
+# -- 3, 5 ------------------------------------------------------------------------------------------
+
+def test_digests_are_those_of_the_bytes_read(spark, tmp_dir):
+    """A payload changed on the way gives other figures, and is told."""
+    import glob
+    import gzip
+
+    from feedloom.llm import warc
+    same = "x" * 2000
+    pages = spark.createDataFrame([(1, "http://a/", same), (2, "http://b/", same), (3, "http://c/", "short text"), (4, "http://d/", None)],
+                                  "page_id bigint, url string, html string").coalesce(1)
+    warc.write_warc(pages, f"{tmp_dir}/w")
+
+    def read():
+        return {r.page_id: r for r in warc.resolve(warc.captures(warc.transactions(warc.read_warc(spark, f"{tmp_dir}/w", payloads=False)))).collect()}
+    good = read()
+    assert all(r.intact for r in good.values()) and good[1].payload_digest == hashlib.sha1(same.encode()).hexdigest()
+    for name in glob.glob(f"{tmp_dir}/w/part-*"):
+        with open(name, "rb") as fh:
+            data = gzip.decompress(fh.read())
+        with open(name, "wb") as fh:
+            fh.write(gzip.compress(data.replace(b"x" * 2000, b"x" * 1999 + b"y").replace(b"short text", b"shirt text")))
+    changed = read_unchecked(spark, warc, f"{tmp_dir}/w")
+    assert changed[3].payload_digest == hashlib.sha1(b"shirt text").hexdigest() and not changed[3].intact
+    assert changed[2].payload_digest == changed[1].payload_digest == hashlib.sha1(b"x" * 1999 + b"y").hexdigest()
+    assert not changed[2].intact and not changed[1].intact and changed[4].intact
+
+
+def read_unchecked(spark, warc, path):
+    """The archive from a copy without Hadoop's own checksum files."""
+    import os
+    import shutil
+    os.makedirs(f"{path}-copy")
+    for name in os.listdir(path):
+        if name.startswith("part-"):
+            shutil.copy(f"{path}/{name}", f"{path}-copy/{name}")
+    return {r.page_id: r for r in warc.resolve(warc.captures(warc.transactions(warc.read_warc(spark, f"{path}-copy", payloads=False)))).collect()}
+
+
+def test_documents_beside_null_ids_are_found(spark, tmp_dir):
+    from feedloom.llm import token_files
+    docs = spark.createDataFrame([(i if i else None, f"text number {i}") for i in range(21)], "doc_id bigint, text string").coalesce(1)
+    token_files.write_token_files(docs, f"{tmp_dir}/t", queries.tokenizer_file(), num_parts=1)
+    assert sorted(r.doc_id for r in token_files.fetch(spark, f"{tmp_dir}/t", [5, 7, 99]).collect()) == [5, 7]
+
+
 # -- 6 ---------------------------------------------------------------------------------------------
 
 LONG = "This paragraph tells at some length what has happened, to whom, and why that is worth a page of its own. "
@@ -229,7 +275,7 @@ def test_rare_words_meet_their_counts(spark, monkeypatch):
     rows = lm_rows()[:60]
     docs = docs_of(spark, rows).select("doc_id", log_bilinear.held_out(F.col("doc_id")).alias("held_out"), "text")
     counts = log_bilinear.word_counts(docs.where(~F.col("held_out")))
-    few = log_bilinear.outcomes(counts, head=3, classes=2, common=3)
+    few = log_bilinear.outcomes(counts, head=3, classes=2, common=6)
     wide = log_bilinear.outcomes(counts, head=3, classes=2, common=10_000)
     assert few.counts.tolist() == wide.counts.tolist() and few.size == 3 + 1 + 2 + 1
     assert few.counts.sum() == few.tokens
