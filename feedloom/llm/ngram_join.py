@@ -371,18 +371,22 @@ def forest(ids_a: list[int], ids_b: list[int], linked: np.ndarray) -> Iterator[t
                 yield a, ids_b[j]
 
 
-def verified(members: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
+def verified(members: DataFrame, rule: Rule, block: int = BLOCK, count: bool = False) -> DataFrame:
     """(a, b): spanning forests of the links within clusters. ``members`` are
-    rows (cluster, sid, n, tokens)."""
+    rows (cluster, sid, n, tokens). With ``count`` they also have ``docs``, the
+    documents of each set, and (a, null, links) rows follow: every pair of sets
+    is looked at once, and there each side adds up the documents of the sets
+    that it is linked with."""
     spark = members.sparkSession
+    last = ["docs"] if count else []
     sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
     own = F.pmod(F.xxhash64("sid"), F.col("blocks"))
     units = (members.join(sizes, "cluster").withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
              .select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
-                     "sid", "n", "tokens"))
+                     "sid", "n", "tokens", *last))
 
-    def check(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    def check(rows: list[tuple]) -> Iterator[tuple]:
         i, j = rows[0][1], rows[0][2]
         left = [r for r in rows if r[3] == i]
         right = left if i == j else [r for r in rows if r[3] == j]
@@ -394,42 +398,51 @@ def verified(members: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
         if i == j:
             linked = np.triu(linked, 1)
         yield from forest([r[4] for r in left], [r[4] for r in right], linked)
+        if count:
+            sides = [(left, linked @ np.array([r[7] for r in right])), (right, np.array([r[7] for r in left]) @ linked)]
+            yield from ((r[4], None, int(c)) for side, sums in sides for r, c in zip(side, sums) if c)
 
     def run(batches):
         group, now, found = [], None, []
         for b in batches:
-            for row in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if row[:3] != now:
                     if len(group) > 1:
                         found.extend(check(group))
                     group, now = [], row[:3]
-                group.append((*row[:6], np.frombuffer(row[6], "<u8")))
+                group.append((*row[:6], np.frombuffer(row[6], "<u8"), *row[7:]))
             if len(found) > 10_000:
-                yield _edges(found)
+                yield _edges(found, count)
                 found = []
         if len(group) > 1:
             found.extend(check(group))
-        yield _edges(found)
+        yield _edges(found, count)
 
     return (units.repartition(parts(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "sid")
-            .mapInArrow(gives_back(run), "a bigint, b bigint"))
+            .mapInArrow(gives_back(run), "a bigint, b bigint" + (", links bigint" if count else "")))
 
 
-def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()),
-                                       pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+def _edges(found: list[tuple], count: bool = False) -> pa.RecordBatch:
+    columns = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())]
+    if count:
+        columns.append(pa.array([f[2] if len(f) > 2 else None for f in found], pa.int64()))
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "links"][:len(columns)])
 
 
 # -- the join ------------------------------------------------------------------------------------
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE,
-                       num: int = NUMERATOR, den: int = DENOMINATOR, rare: int = RARE, block: int = BLOCK) -> DataFrame:
-    """(id, n_shingles, component_id) of every row of ``docs``."""
+                       num: int = NUMERATOR, den: int = DENOMINATOR, rare: int = RARE, block: int = BLOCK,
+                       count_links: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id) of every row of ``docs``; with
+    ``count_links`` also ``n_links``, the rows with an id that it is linked
+    with (those of an equal set among them, itself not)."""
     workers_ready(docs.sparkSession)
     rule = Rule(num, den)
     rows = stored(token_sets(docs, id_col, text_col, size), "token-sets")
     # One document stands for each distinct set.
-    sets = rows.where("sid is not null and id is not null").groupBy("sid").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
+    held = rows.where("sid is not null and id is not null").groupBy("sid")
+    sets = held.agg(F.min("id").alias("rep"), F.max("n").alias("n"))
     ref = F.col("sid").bitwiseAND(F.lit((1 << REF_BITS) - 1))
     n = F.col("n")
     least = -F.floor(-n * num / den)
@@ -445,12 +458,22 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     clusters = components(near)
     members = (clusters.withColumnRenamed("node", "sid").withColumnRenamed("root", "cluster")
                .join(tokens.select("sid", "n", "tokens"), "sid"))
-    classes = components(verified(members, rule, block)).withColumnRenamed("node", "sid")
+    if count_links:
+        copies = held.agg(F.count(F.lit(1)).alias("docs"))
+        checked = stored(verified(members.join(copies, "sid"), rule, block, count=True), "verified")
+        links = (checked.where("b is null").groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("near")))
+        rows = rows.join(copies.join(links, "sid", "left").select(
+            "sid", (F.col("docs") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")), "sid", "left")
+        edges = checked.where("b is not null").select("a", "b")
+    else:
+        edges = verified(members, rule, block)
+    classes = components(edges).withColumnRenamed("node", "sid")
     # The smallest id of a class names it.
     named = rows.join(classes, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     firsts = named.where("root is not null").groupBy("root").agg(F.min("id").alias("first"))
+    more = [F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")] if count_links else []
     return named.join(firsts, "root", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("first", "id").alias("component_id"))
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("first", "id").alias("component_id"), *more)
 
 
 def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:

@@ -66,7 +66,8 @@ links AS (
   WHERE 100 * k >= 75 * (nx.n + ny.n - k)),
 reach(x, y) AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles,
-       least(w.doc_id, coalesce((SELECT min(y) FROM reach WHERE reach.x = w.doc_id), w.doc_id)) AS component_id
+       least(w.doc_id, coalesce((SELECT min(y) FROM reach WHERE reach.x = w.doc_id), w.doc_id)) AS component_id,
+       (SELECT count(*) FROM links WHERE links.x = w.doc_id) AS n_links
 FROM w LEFT JOIN n USING (doc_id)
 """
 

@@ -59,7 +59,7 @@ def op7_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), count_links=True)
 
 
 def op9_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:

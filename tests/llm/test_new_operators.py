@@ -119,6 +119,32 @@ def test_ratios_choose_the_lines_where_no_name_does(monkeypatch):
     assert all("Item 1" in html_text.main_text(p) for p in pages)
 
 
+# -- 8 ---------------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_every_document_knows_its_number_of_links(spark, block):
+    from feedloom.llm import ngram_join
+    r = random.Random(2)
+    base = [[f"w{r.randrange(500)}" for _ in range(60)] for _ in range(6)]
+    rows = []
+    for k, words in enumerate(base):
+        for i in range(9):
+            own = list(words)
+            for _ in range(r.randrange(0, 3)):
+                own[r.randrange(60)] = f"x{r.randrange(9)}"
+            rows.append((100 * k + i, " ".join(own)))
+        rows += [(100 * k + 20 + i, " ".join(words)) for i in range(3)]
+    rows += [(900, None), (901, ""), (902, "two words"), (903, "Two  WORDS"), (904, "alone here")]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    sets = {i: shingles(t) for i, t in rows}
+    want = {i: sum(i != j and bool(a and b) and 100 * len(a & b) >= 75 * len(a | b) for j, b in sets.items()) for i, a in sets.items()}
+    got = ngram_join.jaccard_components(docs_of(spark, rows), block=block, count_links=True)
+    assert {x.doc_id: x.n_links for x in got.collect()} == want and max(want.values()) > 3
+
+
 # -- 11 --------------------------------------------------------------------------------------------
 
 ODD = ["café", "l'eau", "don't", "naïve,", "x", "▁a", "日本語", "a b", "😀", "(ok)", "end.", "...", "<|endoftext|>", "<s>",
