@@ -229,6 +229,15 @@ class Units:
             self.learn(list(new))
         return rows, [list(map(self.number.__getitem__, c)) for c in cut]
 
+    def flat(self, numbers: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(units of all rows, where each row's begin, which rows have tokens):
+        a row has tokens if all its units have."""
+        sizes = np.fromiter(map(len, numbers), np.int64, len(numbers))
+        units = np.fromiter(chain.from_iterable(numbers), np.int64, sizes.sum())
+        starts = np.cumsum(sizes) - sizes
+        good = np.minimum.reduceat(self.sums[units, 0], starts) > 0 if len(numbers) else np.zeros(0, bool)
+        return units, starts, good
+
     def totals(self, uses: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(distinct pairs, links of each) when unit i was met ``uses[i]`` times."""
         if not self.pairs:
@@ -271,11 +280,8 @@ def pair_parts(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
             rows, numbers = units.numbers(b.column(0).to_pylist())
             if len(uses) < len(units.texts):
                 uses = np.concatenate([uses, np.zeros(len(units.texts) - len(uses), np.int64)])
-            for own in numbers:
-                if all(units.texts[i] is not None for i in set(own)):
-                    uses += np.bincount(own, minlength=len(uses)) if len(own) * 8 > len(uses) else 0
-                    if len(own) * 8 <= len(uses):
-                        np.add.at(uses, own, 1)
+            own, starts, good = units.flat(numbers)
+            uses += np.bincount(own[np.repeat(good, np.diff(starts, append=len(own)))], minlength=len(uses))
             if units.full:
                 yield from emit(*units.totals(uses))
                 units.clear()
@@ -385,10 +391,11 @@ OUT = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
 def looked_up(docs: DataFrame, files: tuple[str, str], table: PairTable | None, counts: np.ndarray,
-              best: np.ndarray) -> DataFrame:
+              best: np.ndarray, last: bool) -> DataFrame:
     """Second pass over (doc_id, text, n_best, count_sum): the sums of this
-    group of pairs are added to what the groups before have found."""
-    pass_id = uuid.uuid4().hex
+    group of pairs are added to what the groups before have found. All but
+    the last group's rows carry the text on."""
+    pass_id, kept = uuid.uuid4().hex, ["doc_id"] if last else ["doc_id", "text"]
 
     def use(pairs: np.ndarray) -> np.ndarray:
         if table is None:
@@ -402,21 +409,23 @@ def looked_up(docs: DataFrame, files: tuple[str, str], table: PairTable | None,
         for b in batches:
             rows, numbers = units.numbers(b.column(1).to_pylist())
             sums, digest = np.zeros((b.num_rows, Units.COLUMNS), np.int64), [""] * b.num_rows
-            for i, own in zip(rows, numbers):
-                texts = [units.texts[u] for u in own]
-                if None not in texts:
-                    sums[i] = units.sums[own].sum(axis=0)
-                    digest[i] = hashlib.sha256(b";".join(texts)).hexdigest()
+            own, starts, good = units.flat(numbers)
+            if len(rows):
+                sums[rows] = np.add.reduceat(units.sums[own], starts, axis=0) * good[:, None]
+            for i, of, fine in zip(rows, numbers, good.tolist()):
+                if fine:
+                    digest[i] = hashlib.sha256(b";".join(map(units.texts.__getitem__, of))).hexdigest()
             sums[:, 4] += b.column(2).to_numpy()
             sums[:, 5] += b.column(3).to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(c)) for c in sums.T), pa.array(digest, pa.string())],
-                names=["doc_id", "text", *OUT, "groups_sha256"])
+                [*b.columns[:len(kept)], *(pa.array(np.ascontiguousarray(c)) for c in sums.T), pa.array(digest, pa.string())],
+                names=[*kept, *OUT, "groups_sha256"])
             if units.full:
                 units.clear()
 
     return docs.select("doc_id", "text", "n_best", "count_sum").mapInArrow(
-        gives_back(run), "doc_id bigint, text string, " + ", ".join(f"{c} bigint" for c in OUT) + ", groups_sha256 string")
+        gives_back(run), "doc_id bigint, " + ("" if last else "text string, ") + ", ".join(f"{c} bigint" for c in OUT)
+        + ", groups_sha256 string")
 
 
 def alignment(docs: DataFrame, file_a: str, file_b: str, *, id_col: str = "doc_id", text_col: str = "text",
@@ -446,9 +455,10 @@ def alignment(docs: DataFrame, file_a: str, file_b: str, *, id_col: str = "doc_i
     out = rows
     for i, group in enumerate(groups):
         table, links = table_of(group), np.frombuffer(bytes(counts[i].first().links), np.int64)
-        out = looked_up(stored(out, "aligned") if i else out, files, table, links, links == highest[table.keys() % n_b])
+        out = looked_up(stored(out, "aligned") if i else out, files, table, links, links == highest[table.keys() % n_b],
+                        i + 1 == len(groups))
     if not groups:                                               # no pair anywhere: every row has no tokens
-        out = looked_up(out, files, None, np.zeros(0, np.int64), np.zeros(0, np.bool_))
+        out = looked_up(out, files, None, np.zeros(0, np.int64), np.zeros(0, np.bool_), True)
     return out.select("doc_id", *OUT, "groups_sha256")
 
 
