@@ -130,14 +130,16 @@ def least_count(words: DataFrame, most: int) -> int:
 
 
 def outcomes(counts: DataFrame, head: int = HEAD, classes: int = CLASSES, common: int = COMMON) -> Outcomes:
-    """The outcomes from stored word counts. At most ``common`` words and some
-    ``classes`` endings come to the driver."""
+    """The outcomes from stored word counts. At most ``common`` and ``head``
+    words and some ``classes`` endings come to the driver. No word is left out:
+    what is beyond ``common`` meets its count in a join, and endings beyond
+    ``classes`` are one outcome in which each word has its own share."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     words = counts.where(F.length("word") > 0)
-    ranked = sorted(((bytes(r.word), r.c) for r in words.where(F.col("c") >= least_count(words, common)).collect()),
-                    key=lambda x: (-x[1], x[0]))
+    held = {bytes(r.word): r.c for r in words.where(F.col("c") >= least_count(words, common)).collect()}
     ends = counts.where(F.length("word") == 0).select("c").first()
-    top = ranked[:head]
+    # By themselves: where more than ``common`` words share the highest counts, none of them is held.
+    top = [(bytes(r.word), r.c) for r in words.orderBy(F.desc("c"), "word").limit(head).collect()]
     ending = F.coalesce(F.right(F.col("word").cast("string"), F.lit(SUFFIX)), F.lit(""))
     tail = words.where(~F.col("word").isin([bytearray(w) for w, _ in top])) if top else words
     by_ending = tail.groupBy(ending.alias("ending")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"))
@@ -151,7 +153,7 @@ def outcomes(counts: DataFrame, head: int = HEAD, classes: int = CLASSES, common
         names, {r.ending: len(names) + i for i, r in enumerate(chosen)},
         np.array(each + [c for c, _ in of_class], np.int64),
         np.array([0.0] * len(names) + [np.log10(c + 0.5 * (v + 1)) for c, v in of_class]),
-        dict(ranked) | {END: each[-1]}, total.n, total.v)
+        held | dict(top) | {END: each[-1]}, total.n, total.v)
 
 
 class Numbers(dict):

@@ -314,6 +314,15 @@ def test_rare_words_meet_their_counts(spark, monkeypatch):
         assert x.tail_log + rare == pytest.approx(y.tail_log + still)
 
 
+def test_most_frequent_words_are_outcomes_though_too_many_share_their_count(spark):
+    """More words of one count than tasks hold leave the head as it is."""
+    counts = spark.createDataFrame([(bytearray(w), 2) for w in (b"ea", b"da", b"cb", b"bb", b"ab")] + [(bytearray(b""), 1)],
+                                   "word binary, c bigint")
+    o = log_bilinear.outcomes(counts, head=2, classes=1, common=3)
+    assert o.head == [b"ab", b"bb", log_bilinear.END] and o.common == {b"ab": 2, b"bb": 2, log_bilinear.END: 1}
+    assert o.endings == {"cb": 3} and o.counts.tolist() == [2, 2, 1, 2, 4] and o.counts.sum() == o.tokens
+
+
 def test_probabilities_sum_to_one():
     r = np.random.default_rng(2)
     m = log_bilinear.Model.start(r.integers(0, 50, 9))
