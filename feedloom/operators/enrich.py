@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from feedloom.functions import jsonfn as J
 from feedloom.functions import strings as S
 from feedloom.operators import memo as M
-from feedloom.session import cut_lineage, ship_package
+from feedloom.session import cut_lineage, release_memory, ship_package, small_batches
 
 BatchFn = Callable[[pd.Series], Sequence]
 RowFn = Callable[[str], str]
@@ -74,24 +74,31 @@ def replies(batch_fn: BatchFn, requests: pd.Series, retry: bool = True) -> tuple
 
 def enrich(df: DataFrame, fn: BatchFn | RowFn, request_col: str = "request",
            max_parallel: int | None = None, value_col: str = "reply",
-           error_col: str = "error", row_fn: bool = False, retry: bool = True) -> DataFrame:
+           error_col: str = "error", row_fn: bool = False, retry: bool = True, keep_request: bool = True) -> DataFrame:
     """Adds ``reply`` (string) and ``error`` (string, NULL when ok), one
-    call for every row of ``df``.
+    call for every row of ``df``. Without ``keep_request`` the requests, which
+    may be whole feeds, do not come back from Python.
 
     ``max_parallel`` bounds concurrent calls by the number of partitions
     (one task per partition). Filters must be applied *before* this call:
     Catalyst does not move them across ``mapInPandas``."""
     batch_fn = rowwise(fn) if row_fn else fn
-    schema = T.StructType(df.schema.fields + [T.StructField(value_col, T.StringType()),
-                                              T.StructField(error_col, T.StringType())])
+    kept = [f for f in df.schema.fields if keep_request or f.name != request_col]
+    names = [f.name for f in kept]
+    schema = T.StructType(kept + [T.StructField(value_col, T.StringType()), T.StructField(error_col, T.StringType())])
 
     def run(batches):
-        for pdf in batches:
-            out = pdf.copy()
-            out[value_col], out[error_col] = replies(batch_fn, pdf[request_col], retry)
-            yield out
+        try:
+            for pdf in batches:
+                out = pdf[names].copy(deep=False)
+                out[value_col], out[error_col] = replies(batch_fn, pdf[request_col], retry)
+                yield out
+                del pdf, out                        # before the next batch is read
+        finally:
+            release_memory()
 
     ship_package(df.sparkSession)
+    small_batches(df.sparkSession)
     src = df.repartition(max_parallel) if max_parallel else df
     return src.mapInPandas(run, schema)
 
@@ -113,7 +120,7 @@ def call_once(rows: DataFrame, fn: BatchFn | RowFn | None, key: Column, request:
         done = requests.select("call_key", F.lit(None).cast("string").alias("reply"),
                                F.lit(f"{stage}: {NOT_CONFIGURED}").alias("error"))
     else:
-        done = enrich(requests, fn, "request", max_parallel, row_fn=row_fn).drop("request")
+        done = enrich(requests, fn, "request", max_parallel, row_fn=row_fn, keep_request=False)
     return cut_lineage(done)
 
 

@@ -9,6 +9,7 @@ from feedloom.operators import memo as M
 from feedloom.operators.enrich import enrich, extract, transcribe
 from feedloom.operators.status import RunFailed
 from feedloom.plans.flow import DocumentFlow, FlowError, RunOptions, process_episodes, read_documents, row_transform
+from feedloom.session import BATCH_BYTES
 from feedloom.sinks import artifacts as K
 
 EP = "feed_url string, position int, id string, title string, audio_url string, description string, transcript string, pub_date string"
@@ -80,6 +81,15 @@ def test_batch_protocol_values_errors_and_failing_batches(spark, tmp_path):
     assert {r.error for r in enrich(df, lambda s: s[:0]).collect()} == {"ValueError: stage returned a different number of rows"}
 
 
+def test_a_call_gets_a_bounded_number_of_bytes(spark):
+    """Whole feeds as requests: a batch ends by its bytes, and requests stay in Python."""
+    df = spark.range(300).select(F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), 100_000)).alias("request")).coalesce(1)
+    got = enrich(df, lambda s: [str(s.str.len().sum())] * len(s), keep_request=False)
+    assert got.columns == ["reply", "error"]
+    rows = got.collect()
+    assert len(rows) == 300 and max(int(r.reply) for r in rows) <= BATCH_BYTES + 200_000
+
+
 def test_one_call_for_every_audio_url(spark, tmp_path):
     rows = [("f", i, f"g{i}", f"t{i}", "https://a/same.mp3", "d", "", "x") for i in range(6)]
     rows += [("f", 9, "n1", "t", "", "d", "", "x"), ("f", 10, "n2", "t", "", "d", "", "x"), ("f", 11, "n3", "other", "", "d", "", "x"),
