@@ -45,11 +45,12 @@ def parse_benchmark_lines(lines: DataFrame, line_col: str = "line", strip_procs:
     name_pat = NAME_PATTERN if strip_procs else r"^(Benchmark\S+/\S+)$"
     s = trim_ws(F.col(line_col))
     keep = [c for c in lines.columns if c != line_col]
-    value = F.regexp_extract(s, VALUE_PATTERN, 1)
-    token = F.regexp_extract(s, r"^(\S+)", 1)
-    return (lines.select(*keep, value.alias("_v"), token.alias("_t")).where(F.col("_v") != "")
-            .select(*keep, F.regexp_extract("_t", name_pat, 1).alias("variant"),
-                    F.col("_v").try_cast("double").alias("ns_per_op"))
+    value = F.regexp_extract("_line", VALUE_PATTERN, 1).try_cast("double")
+    variant = F.regexp_extract(F.regexp_extract("_line", r"^(\S+)", 1), name_pat, 1)
+    # As the row of a generator the patterns are looked for once a line: the
+    # filters below stay behind it, instead of looking for them by themselves.
+    found = F.inline(F.array(F.struct(variant.alias("variant"), value.alias("ns_per_op"))))
+    return (lines.select(*keep, s.alias("_line")).select(*keep, found)
             .where((F.col("variant") != "") & F.col("ns_per_op").isNotNull()))
 
 
