@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from feedloom.operators.latest import pick
 from feedloom.operators.ordered import row_rank
-from feedloom.session import cut_lineage
+from feedloom.session import saved
 
 EMPTY_PROPS = "cast(map() as map<string,string>)"
 # Fixed values that must equal the reference's for identical results.
@@ -174,23 +174,28 @@ def bfs(g: Graph, start: str, max_depth: int | None = None) -> DataFrame:
     edges, start included at depth 0. Unknown start -> NodeNotFound.
 
     One join per level, never one per node, and one job per level: the level
-    is saved (a reliable checkpoint) and counted by the same job. The edge
-    view (each undirected pair once, far ends that are nodes) is saved once;
-    how a level meets it, by broadcast, by shuffle or with a hub's edges split
-    over tasks, is decided at run time from the measured sizes. In an
-    undirected graph a neighbour of a node at depth d sits at depth d-1, d or
-    d+1, so the anti join only needs the last two levels, not the whole
-    visited set."""
+    is saved and counted by the same job. Each undirected pair is saved once,
+    as Parquet, and read in both directions; levels are saved so too, and
+    how a level meets the pairs, by broadcast, by shuffle or with a hub's edges
+    split over tasks, is decided from the sizes they have. So while a level is
+    small no pair moves, and only the ends it reaches are looked up among the
+    nodes. In an undirected graph a neighbour of a node at depth d sits at
+    depth d-1, d or d+1, so the anti join only needs the last two levels, not
+    the whole visited set."""
     spark = g.nodes.sparkSession
-    if g.nodes.where(F.col("id") == start).select("id").isEmpty():
+    nodes = saved(g.nodes.select("id"), "bfs-nodes")
+    if nodes.where(F.col("id") == start).isEmpty():
         raise NodeNotFound(start)
-    und = cut_lineage(undirected(g.edges, g.nodes))
+    ends = g.edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
+    pairs = saved(ends.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "bfs-pairs")
+    und = pairs.select(_both_ways())
     levels = [spark.createDataFrame([(start,)], "id string")]
     while max_depth is None or len(levels) <= max_depth:
         seen = levels[-1] if len(levels) < 2 else levels[-1].unionByName(levels[-2])
         reached = und.join(levels[-1].select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
         count = Observation()
-        found = cut_lineage(reached.join(seen, "id", "left_anti").observe(count, F.count(F.lit(1)).alias("n")))
+        found = reached.join(seen, "id", "left_anti").join(nodes, "id", "left_semi")
+        found = saved(found.observe(count, F.count(F.lit(1)).alias("n")), "bfs-level")
         if not count.get["n"]:
             break
         levels.append(found)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.operators import graph as G
+from feedloom.session import saved
 
 
 def graph(spark, nodes, edges):
@@ -139,3 +140,20 @@ def test_snapshot_json_lines(spark):
     assert rows[("node", "a")] == {"id": "a", "label": "P", "properties": {"k": "1"}}
     assert rows[("edge", "0")] == {"from": "a", "to": "b", "label": "r"}
     assert len(rows) == 6
+
+
+def test_bfs_saves_each_undirected_pair_once(spark, monkeypatch):
+    """Repeated, reversed, null-ended and dangling edges; what is saved is one row a pair."""
+    held = {}
+
+    def recorded(df, name):
+        out = saved(df, name)
+        held.setdefault(name, []).append(out.count())
+        return out
+    monkeypatch.setattr(G, "saved", recorded)
+    nodes = spark.createDataFrame([(x, "n", {}) for x in "abcde"], "id string, label string, properties map<string,string>")
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "b"), ("b", "c"), ("c", "c"), ("c", "x"), ("x", "d"), (None, "a"), ("e", None)],
+                                  "src string, dst string")
+    got = G.bfs(G.Graph(nodes, edges), "a")
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 0), ("b", 1), ("c", 2)]
+    assert held["bfs-pairs"] == [5] and held["bfs-level"] == [1, 1, 0]
