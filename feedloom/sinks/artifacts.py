@@ -206,6 +206,10 @@ def export_files(df: DataFrame, path: str, name_col: str = "name", text_col: str
 KIND_PATTERN = r"(_raw\.txt|_meta\.json|\.mp3|_[^_]+\.json)$"
 
 
+#: Rows of ``export_bundles``.
+BUNDLE_DDL = "name string, text string, kind string"
+
+
 def export_bundles(df: DataFrame, path: str, name_col: str = "name", text_col: str = "text") -> None:
     """Many artifacts a file: (name, text) rows in one folder for each kind
     (``kind=<suffix>``), committed by Spark. The number of files follows the
@@ -233,7 +237,7 @@ def _slug_of(name: Column, suffix: str | None) -> Column:
 def read_bundles(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(name, slug, text) of ``export_bundles`` folders; a glob for a known
     kind reads that kind's folder alone."""
-    rows, suffix = spark.read.schema("name string, text string, kind string").parquet(path), _plain_suffix(glob)
+    rows, suffix = spark.read.schema(BUNDLE_DDL).parquet(path), _plain_suffix(glob)
     if suffix and re.fullmatch(KIND_PATTERN.rstrip("$"), suffix):
         rows = rows.where(F.col("kind") == suffix)
     if glob:

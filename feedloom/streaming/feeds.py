@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from feedloom.operators.validate import with_reject_reason
 from feedloom.session import cut_lineage
-from feedloom.sinks.artifacts import read_batches
+from feedloom.sinks.artifacts import BUNDLE_DDL, read_batches
 from feedloom.sources.feeds import episodes as feed_episodes
 from feedloom.sources.feeds import feed_errors, parse_feeds
 from feedloom.streaming.identities import IdentityIndex
@@ -62,15 +62,25 @@ def _error_identity() -> Column:
 
 
 def stream_feeds(spark: SparkSession, source_dir: str, table_path: str, checkpoint: str | None = None,
-                 policy: str = "strict", available_now: bool = True, max_files: int | None = None) -> StreamingQuery:
+                 policy: str = "strict", available_now: bool = True, max_files: int | None = None,
+                 bundles: bool = False) -> StreamingQuery:
     """Watch ``source_dir`` for feed files (one feed per file) and
     append new, valid, unseen episodes to ``table_path``. The stream's own
     checkpoint lies beside the table unless another place is given, so a
-    second run reads only new files."""
-    reader = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true")
+    second run reads only new files.
+
+    Spark lists every file for each run and again for each batch, and sends
+    the lists to the driver; so very many feeds should come as ``bundles``,
+    the (name, text) files of ``artifacts.export_bundles`` with many feeds
+    each, whose names are the feeds' URLs."""
+    reader = spark.readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
-    raw = reader.load(source_dir).select(F.col("_metadata.file_path").alias("feed_url"), F.col("value").alias("xml"))
+    if bundles:
+        raw = reader.schema(BUNDLE_DDL).parquet(source_dir).select(F.col("name").alias("feed_url"), F.col("text").alias("xml"))
+    else:
+        files = reader.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(source_dir)
+        raw = files.select(F.col("_metadata.file_path").alias("feed_url"), F.col("value").alias("xml"))
     w = (raw.writeStream.foreachBatch(lambda df, epoch: ingest_batch(df, table_path, policy))
          .option("checkpointLocation", checkpoint or f"{table_path.rstrip('/')}_checkpoint"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

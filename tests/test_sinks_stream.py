@@ -111,6 +111,22 @@ def test_stream_keeps_episodes_without_url_and_reports_errors(spark, tmp_dir):
     assert dedupe_by_identity(with_identity(rows)).count() == 6
 
 
+def test_stream_reads_many_feeds_a_file(spark, tmp_dir):
+    """Feeds in bundles: each by its own name, broken ones and replays too."""
+    import glob
+    from feedloom.streaming.feeds import read_error_table
+    src, out = f"{tmp_dir}/in3", f"{tmp_dir}/out3"
+    feeds = [(f"f{k}.xml", RSS.format(t="t", g=f"g{k}", u=str(k % 20))) for k in range(30)] + [("bad.xml", "<rss><channel>"), ("none.xml", None)]
+    K.export_bundles(spark.createDataFrame(feeds, "name string, text string").coalesce(2), src)
+    assert len(glob.glob(f"{src}/**/*.parquet", recursive=True)) <= 2
+    for run in range(2):
+        stream_feeds(spark, src, out, checkpoint=f"{tmp_dir}/ck3-{run}", bundles=True).awaitTermination()
+    got = sorted(r.audio_url for r in read_episode_table(spark, out).collect())
+    assert got == sorted(f"https://a/{k}.mp3" for k in range(20))
+    assert sorted(tuple(r) for r in read_error_table(spark, out).collect()) == [
+        ("bad.xml", None, "invalid feed XML"), ("none.xml", None, "invalid feed XML")]
+
+
 def test_names_collide_once_and_suffix_follows_the_glob(spark, tmp_dir):
     rows = spark.createDataFrame([("a_b_entry.json", "2"), ("a_b_entry.json", "1"), ("c_entry.json", "3")], "name string, text string")
     assert sorted(tuple(r) for r in K.new_rows(rows, None).collect()) == [("a_b_entry.json", "1"), ("c_entry.json", "3")]
