@@ -129,9 +129,11 @@ class Vocabularies:
         return (unit[1:] if unit[0] == MARK else unit if unit[0] in " \n" else " " + unit).encode()
 
 
-def aligned(a: list[list[int]], b: list[list[int]], v: Vocabularies) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def aligned(a: list[list[int]], b: list[list[int]], v: Vocabularies,
+            groups: bool = True) -> tuple[np.ndarray, np.ndarray, list[str] | None]:
     """For units that spell the same bytes in both: linked id pairs of all
-    units one after the other, where each unit's end, and its groups as text."""
+    units one after the other, where each unit's end, and its groups as text
+    (None without ``groups``)."""
     flat_a = np.fromiter(chain.from_iterable(a), np.int64)
     flat_b = np.fromiter(chain.from_iterable(b), np.int64)
     end_a, end_b = np.cumsum(v.size_a[flat_a]), np.cumsum(v.size_b[flat_b])
@@ -139,9 +141,12 @@ def aligned(a: list[list[int]], b: list[list[int]], v: Vocabularies) -> tuple[np
     # Between two neighbouring token ends lies exactly one linked pair.
     cuts = np.union1d(end_a, end_b)
     pairs = flat_a[np.searchsorted(end_a, cuts)] * len(v.bytes_b) + flat_b[np.searchsorted(end_b, cuts)]
+    stops = np.searchsorted(cuts, ends, "right")
+    if not groups:
+        return pairs, stops, None
     common = np.intersect1d(end_a, end_b, assume_unique=True)
     last = np.searchsorted(common, ends, "right")
-    return pairs, np.searchsorted(cuts, ends, "right"), shown(flat_a, flat_b, end_a, end_b, common, last, v)
+    return pairs, stops, shown(flat_a, flat_b, end_a, end_b, common, last, v)
 
 
 def shown(flat_a: np.ndarray, flat_b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray, common: np.ndarray,
@@ -173,12 +178,13 @@ def same(ids: list[list[int]], spell: list[bytes], size: np.ndarray, spelt: list
 
 class Units:
     """Alignments of the units a worker has met. ``use(pairs)`` gives, for
-    every linked pair, columns whose sums a unit keeps."""
+    every linked pair, columns whose sums a unit keeps. Without ``groups`` none
+    are written or counted: the text of a unit with tokens is empty."""
 
     COLUMNS = 6                                             # n_a, n_b, n_groups, n_links, n_best, count_sum
 
-    def __init__(self, v: Vocabularies, use=None, keep_pairs: bool = False):
-        self.v, self.use, self.keep_pairs = v, use, keep_pairs
+    def __init__(self, v: Vocabularies, use=None, keep_pairs: bool = False, groups: bool = True):
+        self.v, self.use, self.keep_pairs, self.groups = v, use, keep_pairs, groups
         self.clear()
 
     def clear(self) -> None:
@@ -206,13 +212,15 @@ class Units:
         at = np.flatnonzero(good)
         if len(at):
             a, b = [a[i] for i in at], [b[i] for i in at]
-            pairs, ends, groups = aligned(a, b, v)
+            pairs, ends, groups = aligned(a, b, v, self.groups)
             sizes = np.diff(ends, prepend=0)
             sums[at, 0], sums[at, 1] = list(map(len, a)), list(map(len, b))
-            sums[at, 2], sums[at, 3] = [t.count(";") + 1 for t in groups], sizes
+            sums[at, 3] = sizes
             if self.use:
                 sums[at, 4:] = np.add.reduceat(self.use(pairs), ends - sizes, axis=0)
-            for i, t in zip(at.tolist(), groups):
+            if groups is not None:
+                sums[at, 2] = [t.count(";") + 1 for t in groups]
+            for i, t in zip(at.tolist(), groups or [""] * len(at)):
                 texts[i] = t.encode()
             if self.keep_pairs:
                 self.pairs.append(pairs), self.sizes.append(sizes), self.owners.append(at + first)
@@ -274,7 +282,7 @@ def pair_parts(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
                                              names=["keys", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = worker_units((pass_id,), files, keep_pairs=True)
+        units = worker_units((pass_id,), files, keep_pairs=True, groups=False)
         uses = np.zeros(0, np.int64)
         for b in batches:
             rows, numbers = units.numbers(b.column(0).to_pylist())

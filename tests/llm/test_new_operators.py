@@ -237,6 +237,19 @@ def test_small_memory_of_units_changes_nothing(spark, monkeypatch):
     assert total == Counter(dict(zip(*(x.tolist() for x in large.totals(uses)))))
 
 
+def test_pairs_are_counted_without_writing_groups(monkeypatch):
+    v, texts = align.Vocabularies(*FILES), [t for _, t in odd_rows()[:100]]
+    with_groups, without = align.Units(v, keep_pairs=True), align.Units(v, keep_pairs=True, groups=False)
+    names = sorted({u for t in texts if t for u in v.units(t)})
+    with_groups.learn(names)
+    monkeypatch.setattr(align, "shown", None)
+    without.learn(names)
+    uses = np.ones(len(names), np.int64)
+    assert all((x == y).all() for x, y in zip(with_groups.totals(uses), without.totals(uses)))
+    assert [t is None for t in with_groups.texts] == [t is None for t in without.texts]
+    assert (with_groups.sums[:, [0, 1, 3]] == without.sums[:, [0, 1, 3]]).all()
+
+
 def test_perfect_hash_is_minimal_and_verifies():
     r = np.random.default_rng(1)
     for n in (0, 1, 2, 63, 5000):
