@@ -8,15 +8,18 @@ new, never a partial write (K5). Single writer per table.
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Callable, Iterable
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions.strings import effective_id, meta_name, raw_name, raw_text, structured_name
 from feedloom.operators.latest import Picked, pick
-from feedloom.session import cut_lineage
+from feedloom.session import cut_lineage, release_memory, ship_package, small_batches
 
 
 # --- batch directories -------------------------------------------------------------
@@ -197,9 +200,65 @@ def export_files(df: DataFrame, path: str, name_col: str = "name", text_col: str
     task (one file) and the many small files are spread over all tasks.
     This is the reference's file-per-episode layout, for interchange; it is
     bound by file-system metadata operations, and the batch tables above
-    are the primary sink."""
-    (df.select(name_col, text_col).repartition(name_col)
-     .write.mode("append").partitionBy(name_col).text(path))
+    are the primary sink.
+
+    In Hadoop's local file system each new folder, file and checksum file
+    starts a process, and one thread renames all of them in the end. There
+    (a disk, or a mount that all executors share) the tasks write the files
+    themselves, each under a hidden name until it is whole."""
+    spark = df.sparkSession
+    fs, p, jvm = _fs(spark, path)
+    if fs.getUri().getScheme() != "file":
+        df.select(name_col, text_col).repartition(name_col).write.mode("append").partitionBy(name_col).text(path)
+        return
+    ship_package(spark)
+    small_batches(spark)
+    folder, part = fs.makeQualified(p).toUri().getPath(), f"part-{uuid.uuid4().hex}.txt"
+    # No name, an empty one and the folder's own name share a folder, as Spark writes them.
+    name = F.coalesce(F.nullif(F.col(name_col).cast("string"), F.lit(_NO_NAME)), F.lit(""))
+    (df.select(name.alias("name"), F.col(text_col).cast("binary").alias("text"))
+     .repartition("name").sortWithinPartitions("name")
+     .mapInArrow(lambda batches: _write_files(batches, folder, name_col, part), "files bigint")
+     .agg(F.sum("files")).collect())
+    fs.mkdirs(p)
+    fs.create(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"), True).close()
+
+
+#: What Spark escapes in the name of a partition folder, and the folder of no name.
+_ESCAPED = {i: f"%{i:02X}" for i in (*range(1, 32), 127, *map(ord, "\"#%'*/:=?\\{[]^"))}
+_NO_NAME = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _write_files(batches: Iterator[pa.RecordBatch], folder: str, name_col: str, part: str) -> Iterator[pa.RecordBatch]:
+    """Write sorted (name, text) rows, a line each, and count the files. A
+    file's place depends on its name alone and it appears there whole, so a
+    task that is run again writes the same files."""
+    files, last, out, hidden, whole = 0, None, None, "", ""
+    own = f".{part}-{uuid.uuid4().hex}"
+
+    def finish():
+        out.close()
+        os.replace(hidden, whole)
+
+    try:
+        for b in batches:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if out is None or name != last:
+                    if out is not None:
+                        finish()
+                    home = f"{folder}/{name_col.translate(_ESCAPED)}={name.translate(_ESCAPED) or _NO_NAME}"
+                    os.makedirs(home, exist_ok=True)
+                    hidden, whole, last = f"{home}/{own}", f"{home}/{part}", name
+                    out = open(hidden, "wb")  # noqa: SIM115  (open over batches)
+                    files += 1
+                out.write((text or b"") + b"\n")
+        if out is not None:
+            finish()
+    finally:
+        if out is not None:
+            out.close()
+        release_memory()
+    yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
 
 
 #: Suffix of the known kinds of artifact; a structured output's is its scheme's.

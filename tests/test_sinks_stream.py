@@ -1,5 +1,7 @@
 import os
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from feedloom.functions.strings import artifact_glob
@@ -48,6 +50,36 @@ def test_export_and_harvest_by_glob(spark, tmp_dir):
     assert [(r.name, r.slug) for r in st] == [("b_entry.json", "b")]
 
 
+def test_export_to_a_disk_writes_each_name_in_its_task(spark, tmp_dir):
+    rows = [(None, "n"), ("", "e"), ("a/b%=c:{x}", "odd"), ("two", "1"), ("two", "2"), ("null", None), ("u", "ü"), ("cr", "x\ry")]
+    df = spark.createDataFrame(rows * 2, "name string, text string")
+    K.export_files(df, tmp_dir)
+    df.repartition("name").write.partitionBy("name").text(f"{tmp_dir}_spark")
+    lines = lambda path: sorted((r.name or "", r.value) for r in spark.read.option("lineSep", "\n").text(path).collect())
+    assert lines(tmp_dir) == lines(f"{tmp_dir}_spark")
+    K.export_files(df.where("name = 'two'"), tmp_dir)                    # a further export adds files
+    found = sorted(os.path.relpath(os.path.join(d, f), tmp_dir) for d, _, fs in os.walk(tmp_dir) for f in fs)
+    assert "_SUCCESS" in found
+    parts = [f for f in found if "/part-" in f]
+    assert sorted(f for f in found if "/" in f) == parts                 # no checksum or unfinished file beside them
+    assert sorted({d.split("/")[0] for d in parts}) == sorted(d for d in os.listdir(f"{tmp_dir}_spark") if d.startswith("name="))
+    assert len(parts) == 1 + len({d.split("/")[0] for d in parts})       # one file a name and export
+
+
+def test_export_started_again_writes_the_same_files(tmp_dir):
+    def batches(n):
+        for i in range(n):
+            yield pa.RecordBatch.from_pydict({"name": ["a", "b"][i:i + 1] * 2, "text": [b"x", b"y"]})
+        if n < 2:
+            raise RuntimeError("lost")
+    with pytest.raises(RuntimeError):
+        list(K._write_files(batches(1), tmp_dir, "name", "part-0.txt"))
+    assert not [f for _, _, fs in os.walk(tmp_dir) for f in fs if f.startswith("part-")]        # "a" may go on in what was lost
+    for _ in range(2):
+        assert [b.column(0).to_pylist() for b in K._write_files(batches(2), tmp_dir, "name", "part-0.txt")] == [[2]]
+    assert {d: open(f"{tmp_dir}/name={d}/part-0.txt", "rb").read() for d in "ab"} == {"a": b"x\ny\n", "b": b"x\ny\n"}
+
+
 def test_read_scheme(spark, tmp_dir):
     with open(f"{tmp_dir}/guests.v2.json", "w") as fh:
         fh.write('{"guests": []}')
