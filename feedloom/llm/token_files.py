@@ -24,7 +24,8 @@ and last id choose the block, the offset index the frame.
 Tokenizing. The byte-level vocabulary splits a text before a lone space or
 around a lone line feed between non-blank characters, whatever stands beside
 it. Words between those points therefore get their ids one by one from the
-tokenizers library, once per distinct word and worker (a bounded cache); any
+tokenizers library, once per distinct word and worker (a bounded cache, asked
+once for each distinct word of a batch); any
 line with other white space, and any text with an added token in it, goes to
 the library whole. The ids equal those of the whole text.
 
@@ -42,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,6 +56,8 @@ DICT_DOCS = 1000
 BLOCK_DOCS = 256
 BLOCK_BYTES = 4 * 1024 * 1024
 CACHE_WORDS = 400_000
+GROUP_CHARS = 16 * 1024 * 1024
+LONGEST = 100_000_000        # characters whose ids Arrow's 32-bit offsets surely span
 LEVEL = 3
 
 BLOCK_DDL = ("part int, block int, first_doc bigint, last_doc bigint, doc_ids array<bigint>, offsets array<int>, "
@@ -84,53 +88,50 @@ class WordIds(dict):
     """word -> serialized ids, filled from the library on demand. When full it
     becomes the older generation, from which words still in use come back.
     ``lead`` is what stands before every word ("" or a blank); a
-    word may begin with a line feed of its own. Letters, and punctuation
-    behind them, are encoded apart: the vocabulary never joins them. Any other
-    word is encoded as a text of its own."""
+    word may begin with a line feed of its own, and is then looked up in
+    ``bare``, where nothing stands before a word. Letters, and punctuation
+    behind them, are encoded apart: the vocabulary never joins them, and only
+    the letters are kept. Any other word is encoded as a text of its own."""
 
-    def __init__(self, tokenizer, lead: str, letters: ByteLetters, limit: int = CACHE_WORDS):
+    def __init__(self, tokenizer, lead: str, letters: ByteLetters, limit: int = CACHE_WORDS,
+                 bare: WordIds | None = None):
         super().__init__()
-        self.tokenizer, self.lead, self.letters, self.limit = tokenizer, lead, letters, limit
+        self.tokenizer, self.lead, self.letters, self.limit, self.bare = tokenizer, lead, letters, limit, bare
         self.model, self.tails, self.old = tokenizer.model, {}, {}
+        self.lead_letters = lead.translate(letters)
+        self.line_feed = self.text("\n")
 
     def __missing__(self, word: str) -> bytes:
+        if word[0] == "\n" and self.bare is not None:      # no blank stands before it or behind it
+            return self.line_feed + (self.bare[word[1:]] if len(word) > 1 else b"")
+        head = word.rstrip(TAIL)
+        plain = head.isalpha() and (head.isascii() or max(head) <= PLAIN)
+        if plain and len(head) < len(word):
+            return self[head] + self.tail(word[len(head):])
         if len(self) >= self.limit:
             self.old = self.copy()
             self.clear()
             self.tails.clear()
         out = self.old.get(word)
         if out is None:
-            out = self.ids(word)
+            out = self.one(self.lead_letters, word) if plain else self.text(self.lead + word)
         self[word] = out
         return out
 
-    def ids(self, word: str) -> bytes:
-        if word[0] == "\n":                               # no blank stands before it or behind it
-            return self.text("\n") + (self.core("", word[1:]) if len(word) > 1 else b"")
-        return self.core(self.lead, word)
-
-    def core(self, lead: str, word: str) -> bytes:
-        head = word.rstrip(TAIL)
-        if not head.isalpha() or max(head) > PLAIN:
-            return self.text(lead + word)
-        if len(head) == len(word):
-            return self.one(lead + head)
-        tail = word[len(head):]
-        if tail not in self.tails:
-            self.tails[tail] = self.one(tail)
-        if lead != self.lead:
-            return self.one(lead + head) + self.tails[tail]
-        ids = self.get(head)
-        if ids is None:
-            ids = self[head] = self.one(lead + head)
-        return ids + self.tails[tail]
+    def tail(self, tail: str) -> bytes:
+        out = self.tails.get(tail)
+        if out is None:
+            out = self.tails[tail] = self.one("", tail)
+        return out
 
     def text(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def one(self, token: str) -> bytes:
-        """Ids of what the vocabulary never splits before its merges."""
-        return array("I", [t.id for t in self.model.tokenize(token.translate(self.letters))]).tobytes()
+    def one(self, lead: str, token: str) -> bytes:
+        """Ids of what the vocabulary never splits before its merges. Letters
+        and punctuation of ASCII stand for themselves in its alphabet."""
+        token = token if token.isascii() else token.translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(lead + token)]).tobytes()
 
 
 class Encoder:
@@ -142,7 +143,7 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         letters = ByteLetters()
         self.first = WordIds(self.tokenizer, "", letters, CACHE_WORDS // 10)
-        self.rest = WordIds(self.tokenizer, " ", letters)
+        self.rest = WordIds(self.tokenizer, " ", letters, bare=self.first)
         self.end = array("I", [end_id]).tobytes()
 
     def whole(self, text: str) -> list[int]:
@@ -157,14 +158,48 @@ class Encoder:
         lone = " ".join(text.split())
         return lone == text or lone == text.replace("\n", " ")
 
-    def ids(self, text: str | None) -> bytes:
-        """The serialized 32-bit ids of a text, the end id included."""
-        if not text:
-            return self.end
-        if not self.splits(text):
-            return array("I", self.whole(text)).tobytes() + self.end
-        first, *words = text.replace("\n", " \n").split(" ")
-        return self.first[first] + b"".join(map(self.rest.__getitem__, words)) + self.end
+    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The serialized 32-bit ids of each text, the end id included."""
+        for group in bounded(texts, GROUP_CHARS):
+            words = [i for i, t in enumerate(group) if t and len(t) <= LONGEST and self.splits(t)]
+            by_words = iter(self.by_words([group[i] for i in words]))
+            words = set(words)
+            for i, t in enumerate(group):
+                if i in words:
+                    yield next(by_words)
+                else:
+                    yield (array("I", self.whole(t)).tobytes() if t else b"") + self.end
+
+    def by_words(self, texts: list[str]) -> Iterator[bytes]:
+        """Every distinct word of the texts is looked up once; Arrow finds
+        them and puts their ids where the words stood."""
+        if not texts:
+            return
+        words = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " \n"), " ")
+        bounds, flat = words.offsets.to_numpy(), words.flatten()
+        distinct = flat.dictionary_encode()
+        known = [self.rest[w] for w in distinct.dictionary.to_numpy(zero_copy_only=False)]
+        where = distinct.indices.to_numpy().copy()
+        where[bounds[:-1]] = len(known) + np.arange(len(texts))              # no blank stands before a first word
+        known += [self.first[w] for w in flat.take(pa.array(bounds[:-1])).to_pylist()]
+        joined = pa.array(known, pa.binary()).take(pa.array(where))
+        _, ends, data = joined.buffers()
+        at = np.frombuffer(ends, dtype=np.int32)[bounds].tolist()
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            yield data[a:b].to_pybytes() + self.end
+
+
+def bounded(texts: list[str | None], chars: int) -> Iterator[list[str | None]]:
+    """The texts in order, in groups of at most ``chars`` characters (or one text)."""
+    group, size = [], 0
+    for t in texts:
+        size += len(t or "")
+        if group and size > chars:
+            yield group
+            group, size = [], len(t or "")
+        group.append(t)
+    if group:
+        yield group
 
 
 _ENCODERS: dict = {}
@@ -196,7 +231,7 @@ def train_dictionary(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc
         enc = encoder(tokenizer_file, end_id)
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([serialized(enc.ids(t), width)[:dict_bytes] for t in b.column(0).to_pylist()], pa.binary())],
+                [pa.array([serialized(x, width)[:dict_bytes] for x in enc.ids(b.column(0).to_pylist())], pa.binary())],
                 names=["s"])
 
     few = (docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
@@ -251,8 +286,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, *, id_col
             return pa.RecordBatch.from_pylist([row], schema=_BLOCK_SCHEMA)
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = enc.ids(text)
+            for doc, x in zip(b.column(0).to_pylist(), enc.ids(b.column(1).to_pylist()), strict=True):
                 frame = comp.compress(serialized(x, width))
                 if ids and (len(ids) >= BLOCK_DOCS or offsets[-1] + len(frame) > BLOCK_BYTES):
                     yield flush()

@@ -476,3 +476,33 @@ def test_long_queries_are_dealt_to_blocks(spark):
     asked = spark.createDataFrame(items, "item_id bigint, text string")
     rows = ball_tree.queries_of(asked).collect()
     assert len(rows) == len({r.query for r in rows}) == sum(bool(ball_tree.terms_of((t or "").encode())) for _, t in items)
+
+
+def test_token_ids_come_from_one_look_a_distinct_word(monkeypatch):
+    from feedloom.llm import token_files as T
+    enc = T.Encoder(queries.tokenizer_file())
+    asked = []
+    one = T.WordIds.one
+    monkeypatch.setattr(T.WordIds, "one", lambda self, lead, token: asked.append(lead + token) or one(self, lead, token))
+    texts = ["the cat, the cat. the cat!", "the cat", "Zürich, Zürich\nthe cat?", "cat\nthe cat, it's 12 a_b (x) \u0434\u0430.",
+             None, "", " lead", "two  blanks", "tab\tin it", "end\n", "\nstart", "a\n\nb", "x<|endoftext|>y", "\u00e9,", ",", ", ,"] * 3
+    want = [T.array("I", enc.whole(t)).tobytes() + enc.end if t else enc.end for t in texts]
+    assert list(enc.ids(texts)) == want
+    letters = [w for w in asked if w.strip("\u0120").isalpha()]
+    assert letters and len(letters) == len(set(letters))            # never twice for a word, whatever punctuation is behind it
+    assert "cat" in enc.rest and not {"cat,", "cat.", "cat!"} & enc.rest.keys()      # letters alone are kept
+    monkeypatch.setattr(T, "GROUP_CHARS", 10)                       # groups of a text
+    assert list(enc.ids(texts)) == want
+    assert [list(g) for g in T.bounded(["ab", None, "cdefghijkl", "m", ""], 4)] == [["ab", None], ["cdefghijkl"], ["m", ""]]
+    monkeypatch.setattr(T, "LONGEST", 3)                            # as if too long for a column: whole
+    assert list(enc.ids(texts)) == want
+
+
+def test_token_ids_outlive_a_full_cache():
+    from feedloom.llm import token_files as T
+    enc = T.Encoder(queries.tokenizer_file())
+    enc.rest.limit = enc.first.limit = 3
+    texts = [f"alpha b{chr(97 + i)} gamma, delta. eps{chr(97 + i)}!\nzeta{chr(98 + i)} alpha" for i in range(20)]
+    for _ in range(2):
+        assert list(enc.ids(texts)) == [T.array("I", enc.whole(t)).tobytes() + enc.end for t in texts]
+        assert len(enc.rest) <= 3
