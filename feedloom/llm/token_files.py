@@ -55,8 +55,9 @@ DICT_BYTES = 64 * 1024
 DICT_DOCS = 1000
 BLOCK_DOCS = 256
 BLOCK_BYTES = 4 * 1024 * 1024
-CACHE_WORDS = 400_000
-GROUP_CHARS = 16 * 1024 * 1024
+CACHE_WORDS = 250_000
+GROUP_CHARS = 4 * 1024 * 1024
+STEP_WORDS = 4096
 LONGEST = 100_000_000        # characters whose ids Arrow's 32-bit offsets surely span
 LEVEL = 3
 
@@ -178,11 +179,13 @@ class Encoder:
         words = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " \n"), " ")
         bounds, flat = words.offsets.to_numpy(), words.flatten()
         distinct = flat.dictionary_encode()
-        known = [self.rest[w] for w in distinct.dictionary.to_numpy(zero_copy_only=False)]
+        all_words = distinct.dictionary
+        known = [pa.array([self.rest[w] for w in all_words.slice(k, STEP_WORDS).to_numpy(zero_copy_only=False)], pa.binary())
+                 for k in range(0, len(all_words), STEP_WORDS)]              # few of them are Python objects at a time
         where = distinct.indices.to_numpy().copy()
-        where[bounds[:-1]] = len(known) + np.arange(len(texts))              # no blank stands before a first word
-        known += [self.first[w] for w in flat.take(pa.array(bounds[:-1])).to_pylist()]
-        joined = pa.array(known, pa.binary()).take(pa.array(where))
+        where[bounds[:-1]] = len(all_words) + np.arange(len(texts))          # no blank stands before a first word
+        known.append(pa.array([self.first[w] for w in flat.take(pa.array(bounds[:-1])).to_pylist()], pa.binary()))
+        joined = pa.concat_arrays(known).take(pa.array(where))
         _, ends, data = joined.buffers()
         at = np.frombuffer(ends, dtype=np.int32)[bounds].tolist()
         for a, b in zip(at[:-1], at[1:], strict=True):
