@@ -22,8 +22,10 @@ further group reads the rows that the group before has written).
 Units. Neither vocabulary joins a letter or mark with a lone blank before it,
 a lone line feed around it, or marks behind a word with its last letter; a
 text in which all white space is of that kind is aligned word by word, and a
-worker remembers the alignment of a bounded number of words. B is asked
-whether this holds: its pieces are searched for ones that would reach over.
+worker remembers the alignment of a bounded number of words (when there are too
+many, those it has met most often stay). Arrow cuts the texts of a batch and
+finds its distinct words, so that each is looked up once. B is asked whether
+this holds: its pieces are searched for ones that would reach over.
 Any other text is aligned whole. The ids equal those of the whole text.
 
 Defined results: texts null or empty, or whose tokens do not spell the blank
@@ -42,18 +44,21 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import gives_back, stored, workers_ready
 from feedloom.llm.perfect_hash import Slots, mix
-from feedloom.llm.token_files import PLAIN, TAIL, ByteLetters
+from feedloom.llm.token_files import GROUP_CHARS, PLAIN, TAIL, ByteLetters, bounded
 from feedloom.llm.tree_sum import DDL, chunks, tree_sum
 
 BLANK = "▁"
 MARK = "\x01"
-#: Marks behind a letter, at the end of a word.
-_MARKS = re.compile(r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-" + PLAIN + r"])[" + re.escape(TAIL) + r"]+(?= |\Z)")
+#: Marks behind a letter, at the end of a word; the second form is Arrow's, which cannot look around.
+_LETTER, _TAIL = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-" + PLAIN + "]", "[" + re.escape(TAIL) + "]+"
+_MARKS = re.compile("(?<=" + _LETTER + ")" + _TAIL + r"(?= |\Z)")
+_ARROW_MARKS = f"({_LETTER})({_TAIL})( |\\z)"
 UNITS = 600_000
 UNIT_BYTES = 64 * 1024 * 1024
 PAIRS_A_ROW = 262_144
@@ -79,6 +84,7 @@ class Vocabularies:
         self.a = Tokenizer.from_file(file_a)
         self.a.encode_special_tokens = True
         self.model, self.letters = self.a.model, ByteLetters()
+        self.blank = " ".translate(self.letters)
         byte, self.bytes_a = byte_of_letter(), [b""] * self.a.get_vocab_size()
         for token, i in self.a.get_vocab().items():
             self.bytes_a[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
@@ -92,29 +98,60 @@ class Vocabularies:
         self.by_word = not any("\n" in p or (p[1] == BLANK and p[0] != BLANK) or (p[0].isalpha() and p[1] in TAIL) for p in near)
         self.size_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        self.line_feed = self.a.encode("\n", add_special_tokens=False).ids
         #: Every id with the mark behind it: inside a group, at its end.
         self.written = [f"{i}{mark}" for i in range(len(self.bytes_a)) for mark in ",|"]
         self.written += [f"{i}{mark}" for i in range(len(self.bytes_b)) for mark in ",;"]
 
+    def cuts(self, text: str) -> bool:
+        """Whether a text can be aligned word by word."""
+        if not self.by_word or MARK in text:
+            return False
+        lone = " ".join(text.split())
+        return lone == text or lone == text.replace("\n", " ")
+
     def units(self, text: str) -> list[str]:
         """The parts of a text: a word stands for a blank and the word,
         ``MARK`` for nothing before the marks behind it, and the words behind
         a line feed begin with it. A text that cannot be cut is one unit: a
         blank and the text."""
-        if self.by_word and MARK not in text:
-            lone = " ".join(text.split())
-            if lone == text or lone == text.replace("\n", " "):
-                return _MARKS.sub(" " + MARK + r"\g<0>", text.replace("\n", " \n")).split(" ")
+        if self.cuts(text):
+            return _MARKS.sub(" " + MARK + r"\g<0>", text.replace("\n", " \n")).split(" ")
         return [" " + text]
 
+    def units_of(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """``units`` of several texts: the units that occur in them, where
+        among these the units of one text after the other are, and where each
+        text's end."""
+        fits = np.fromiter(map(self.cuts, texts), bool, len(texts))
+        cut = pa.array([t for t, f in zip(texts, fits.tolist()) if f], pa.large_string())
+        cut = pc.replace_substring_regex(pc.replace_substring(cut, "\n", " \n"), _ARROW_MARKS, r"\1 " + MARK + r"\2\3")
+        words = pc.split_pattern(cut, " ")
+        distinct = words.flatten().dictionary_encode()
+        names = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
+        sizes = np.ones(len(texts), np.int64)
+        sizes[fits] = np.diff(words.offsets.to_numpy())
+        ends = np.cumsum(sizes)
+        where, single = np.empty(sizes.sum(), np.int64), np.zeros(sizes.sum(), bool)
+        single[(ends - sizes)[~fits]] = True
+        where[~single] = distinct.indices.to_numpy()
+        where[single] = len(names) + np.arange(np.count_nonzero(single))
+        return names + [" " + t for t, f in zip(texts, fits.tolist()) if not f], where, ends
+
+    def letters_only(self, word: str) -> bool:
+        """Whether the vocabulary never splits a word before its merges."""
+        return word.isalpha() and (word.isascii() or max(word) <= PLAIN)
+
     def ids_a(self, unit: str) -> list[int]:
+        if self.letters_only(unit):                                 # letters of ASCII stand for themselves in its alphabet
+            return [t.id for t in self.model.tokenize(self.blank + (unit if unit.isascii() else unit.translate(self.letters)))]
         if unit[0] == MARK:
             return [t.id for t in self.model.tokenize(unit[1:])]
-        if unit.isalpha() and (unit.isascii() or max(unit) <= PLAIN):
-            return [t.id for t in self.model.tokenize((" " + unit).translate(self.letters))]
         if unit[0] == "\n":
-            rest = self.a.encode(unit[1:], add_special_tokens=False).ids if len(unit) > 1 else []
-            return self.a.encode("\n", add_special_tokens=False).ids + rest
+            rest = unit[1:]
+            if self.letters_only(rest):
+                return self.line_feed + [t.id for t in self.model.tokenize(rest if rest.isascii() else rest.translate(self.letters))]
+            return self.line_feed + (self.a.encode(rest, add_special_tokens=False).ids if rest else [])
         return self.a.encode(unit if unit[0] == " " else " " + unit, add_special_tokens=False).ids
 
     def ids_b(self, units: list[str]) -> list[list[int]]:
@@ -129,22 +166,27 @@ class Vocabularies:
         return (unit[1:] if unit[0] == MARK else unit if unit[0] in " \n" else " " + unit).encode()
 
 
-def aligned(a: list[list[int]], b: list[list[int]], v: Vocabularies,
+def flattened(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids one after the other, how many each unit has)."""
+    counts = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int64, counts.sum()), counts
+
+
+def aligned(flat_a: np.ndarray, n_a: np.ndarray, flat_b: np.ndarray, v: Vocabularies,
             groups: bool = True) -> tuple[np.ndarray, np.ndarray, list[str] | None]:
     """For units that spell the same bytes in both: linked id pairs of all
     units one after the other, where each unit's end, and its groups as text
-    (None without ``groups``)."""
-    flat_a = np.fromiter(chain.from_iterable(a), np.int64)
-    flat_b = np.fromiter(chain.from_iterable(b), np.int64)
+    (None without ``groups``), with a semicolon behind each."""
     end_a, end_b = np.cumsum(v.size_a[flat_a]), np.cumsum(v.size_b[flat_b])
-    ends = end_a[np.cumsum([len(x) for x in a]) - 1]
+    ends = end_a[np.cumsum(n_a) - 1]
     # Between two neighbouring token ends lies exactly one linked pair.
-    cuts = np.union1d(end_a, end_b)
+    both = np.sort(np.concatenate([end_a, end_b]), kind="stable")         # two runs, each in order
+    again = both[1:] == both[:-1]
+    cuts, common = both[np.append(~again, True)], both[1:][again]
     pairs = flat_a[np.searchsorted(end_a, cuts)] * len(v.bytes_b) + flat_b[np.searchsorted(end_b, cuts)]
     stops = np.searchsorted(cuts, ends, "right")
     if not groups:
         return pairs, stops, None
-    common = np.intersect1d(end_a, end_b, assume_unique=True)
     last = np.searchsorted(common, ends, "right")
     return pairs, stops, shown(flat_a, flat_b, end_a, end_b, common, last, v)
 
@@ -163,13 +205,12 @@ def shown(flat_a: np.ndarray, flat_b: np.ndarray, end_a: np.ndarray, end_b: np.n
     code[np.arange(len(flat_b)) + upto_a[group]] = 2 * (len(v.bytes_a) + flat_b) + (common[group] == end_b)
     written = list(map(v.written.__getitem__, code.tolist()))
     stops = (upto_a + upto_b)[last - 1].tolist()
-    return ["".join(written[x:y])[:-1] for x, y in zip([0, *stops], stops)]
+    return ["".join(written[x:y]) for x, y in zip([0, *stops], stops)]
 
 
-def same(ids: list[list[int]], spell: list[bytes], size: np.ndarray, spelt: list[bytes]) -> np.ndarray:
+def same(ids: list[list[int]], flat: np.ndarray, counts: np.ndarray, spell: list[bytes], size: np.ndarray,
+         spelt: list[bytes]) -> np.ndarray:
     """Which units' ids spell their bytes."""
-    counts = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), np.int64)
     if counts.all() and b"".join(map(spell.__getitem__, flat.tolist())) == b"".join(spelt):
         if (np.add.reduceat(size[flat], np.cumsum(counts) - counts) == np.fromiter(map(len, spelt), np.int64, len(spelt))).all():
             return np.ones(len(spelt), bool)
@@ -188,9 +229,10 @@ class Units:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: dict[str, int] = {}                    # in ascending order
         self.texts: list[bytes | None] = []
         self.sums = np.zeros((1024, self.COLUMNS), np.int64)
+        self.met = np.zeros(1024, np.int64)
         self.pairs: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
         self.owners: list[np.ndarray] = []
@@ -200,26 +242,45 @@ class Units:
     def full(self) -> bool:
         return len(self.texts) > UNITS or self.bytes > UNIT_BYTES
 
+    def shrink(self) -> None:
+        """Forget all but those units, at most half of them, that were met more than once and most often."""
+        met, names, spelt = self.met[:len(self.texts)], list(self.number), self.v.spelt
+        kept = np.argsort(-met, kind="stable")[:UNITS // 2]
+        kept = np.sort(kept[met[kept] > 1])
+        lengths = np.cumsum([len(spelt(names[i])) for i in kept.tolist()])
+        kept = kept[:np.searchsorted(lengths, UNIT_BYTES // 2, "right")]
+        names, texts, sums, met = [names[i] for i in kept.tolist()], [self.texts[i] for i in kept.tolist()], self.sums[kept], met[kept]
+        place = np.full(len(self.texts), -1)
+        place[kept] = np.arange(len(kept))
+        pairs, sizes, owners = self.pairs, self.sizes, self.owners
+        self.clear()
+        self.number, self.texts = dict(zip(names, range(len(names)))), texts
+        self.bytes = int(lengths[len(kept) - 1]) if len(kept) else 0
+        self.sums, self.met = np.concatenate([sums, self.sums]), np.concatenate([met // 2, self.met])
+        if pairs:
+            sizes, owners = np.concatenate(sizes), place[np.concatenate(owners)]
+            self.pairs = [np.concatenate(pairs)[np.repeat(owners >= 0, sizes)]]
+            self.sizes, self.owners = [sizes[owners >= 0]], [owners[owners >= 0]]
+
     def learn(self, names: list[str]) -> None:
         """Align units that are new."""
         v, first = self.v, len(self.texts)
         a, b, spelt = list(map(v.ids_a, names)), v.ids_b(names), list(map(v.spelt, names))
-        good = same(a, v.bytes_a, v.size_a, spelt) & same(b, v.bytes_b, v.size_b, spelt)
+        (flat_a, n_a), (flat_b, n_b) = flattened(a), flattened(b)
+        good = same(a, flat_a, n_a, v.bytes_a, v.size_a, spelt) & same(b, flat_b, n_b, v.bytes_b, v.size_b, spelt)
         while len(self.sums) < first + len(names):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+            self.sums, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.met))
         sums = self.sums[first:first + len(names)]
         texts: list[bytes | None] = [None] * len(names)
         at = np.flatnonzero(good)
         if len(at):
-            a, b = [a[i] for i in at], [b[i] for i in at]
-            pairs, ends, groups = aligned(a, b, v, self.groups)
+            pairs, ends, groups = aligned(flat_a[np.repeat(good, n_a)], n_a[good], flat_b[np.repeat(good, n_b)], v, self.groups)
             sizes = np.diff(ends, prepend=0)
-            sums[at, 0], sums[at, 1] = list(map(len, a)), list(map(len, b))
-            sums[at, 3] = sizes
+            sums[at, 0], sums[at, 1], sums[at, 3] = n_a[good], n_b[good], sizes
             if self.use:
                 sums[at, 4:] = np.add.reduceat(self.use(pairs), ends - sizes, axis=0)
             if groups is not None:
-                sums[at, 2] = [t.count(";") + 1 for t in groups]
+                sums[at, 2] = [t.count(";") for t in groups]
             for i, t in zip(at.tolist(), groups or [""] * len(at)):
                 texts[i] = t.encode()
             if self.keep_pairs:
@@ -228,20 +289,24 @@ class Units:
         self.number.update(zip(names, range(first, first + len(names))))
         self.bytes += sum(map(len, spelt))
 
-    def numbers(self, texts: list[str | None]) -> tuple[list[int], np.ndarray]:
+    def numbers(self, texts: list[str | None]) -> tuple[list[int], list[np.ndarray]]:
         """(rows with a text, unit numbers of each)."""
-        rows = [i for i, t in enumerate(texts) if t]
-        cut = [self.v.units(texts[i]) for i in rows]
-        new = set().union(*cut).difference(self.number)
-        if new:
-            self.learn(list(new))
-        return rows, [list(map(self.number.__getitem__, c)) for c in cut]
-
-    def flat(self, numbers: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, out = [i for i, t in enumerate(texts) if t], []
+        for group in bounded([texts[i] for i in rows], GROUP_CHARS):
+            names, where, ends = self.v.units_of(group)
+            new = [n for n in dict.fromkeys(names) if n not in self.number]
+            if new:
+                self.learn(new)
+            known = np.fromiter(map(self.number.__getitem__, names), np.int64, len(names))
+            np.add.at(self.met, known, np.bincount(where, minlength=len(names)))
+            out += np.split(known[where], ends[:-1])
+        return rows, out
+
+    def flat(self, numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(units of all rows, where each row's begin, which rows have tokens):
         a row has tokens if all its units have."""
         sizes = np.fromiter(map(len, numbers), np.int64, len(numbers))
-        units = np.fromiter(chain.from_iterable(numbers), np.int64, sizes.sum())
+        units = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
         starts = np.cumsum(sizes) - sizes
         good = np.minimum.reduceat(self.sums[units, 0], starts) > 0 if len(numbers) else np.zeros(0, bool)
         return units, starts, good
@@ -283,7 +348,7 @@ def pair_parts(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = worker_units((pass_id,), files, keep_pairs=True, groups=False)
-        uses = np.zeros(0, np.int64)
+        uses = np.zeros(len(units.texts), np.int64)
         for b in batches:
             rows, numbers = units.numbers(b.column(0).to_pylist())
             if len(uses) < len(units.texts):
@@ -292,8 +357,8 @@ def pair_parts(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
             uses += np.bincount(own[np.repeat(good, np.diff(starts, append=len(own)))], minlength=len(uses))
             if units.full:
                 yield from emit(*units.totals(uses))
-                units.clear()
-                uses = np.zeros(0, np.int64)
+                units.shrink()
+                uses = np.zeros(len(units.texts), np.int64)
         yield from emit(*units.totals(uses))
 
     return stored(docs.select("text").mapInArrow(gives_back(run), "keys binary, links binary"), "pair-parts")
@@ -422,14 +487,14 @@ def looked_up(docs: DataFrame, files: tuple[str, str], table: PairTable | None,
                 sums[rows] = np.add.reduceat(units.sums[own], starts, axis=0) * good[:, None]
             for i, of, fine in zip(rows, numbers, good.tolist()):
                 if fine:
-                    digest[i] = hashlib.sha256(b";".join(map(units.texts.__getitem__, of))).hexdigest()
+                    digest[i] = hashlib.sha256(b"".join(map(units.texts.__getitem__, of.tolist()))[:-1]).hexdigest()
             sums[:, 4] += b.column(2).to_numpy()
             sums[:, 5] += b.column(3).to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:len(kept)], *(pa.array(np.ascontiguousarray(c)) for c in sums.T), pa.array(digest, pa.string())],
                 names=[*kept, *OUT, "groups_sha256"])
             if units.full:
-                units.clear()
+                units.shrink()
 
     return docs.select("doc_id", "text", "n_best", "count_sum").mapInArrow(
         gives_back(run), "doc_id bigint, " + ("" if last else "text string, ") + ", ".join(f"{c} bigint" for c in OUT)

@@ -250,6 +250,82 @@ def test_pairs_are_counted_without_writing_groups(monkeypatch):
     assert (with_groups.sums[:, [0, 1, 3]] == without.sums[:, [0, 1, 3]]).all()
 
 
+class CountedDict(dict):
+    asked = 0
+
+    def __getitem__(self, key):
+        self.asked += 1
+        return super().__getitem__(key)
+
+
+def test_a_unit_is_looked_up_once_a_batch():
+    v = align.Vocabularies(*FILES)
+    texts = [t for _, t in odd_rows()] + [" ".join(["again and"] * 5000), "one two, one\ntwo. one", "a, b, c", "x,\ny;", "é. ,.", "a\x01b c", "a\x01b c", "two\n, one"]
+    units = align.Units(v, groups=False)
+    units.number = CountedDict()
+    rows, numbers = units.numbers(texts)
+    assert [texts[i] for i in rows] == [t for t in texts if t]
+    names = list(units.number)
+    assert [[names[i] for i in own.tolist()] for own in numbers] == [v.units(t) for t in texts if t]
+    words = {u for t in texts if t for u in v.units(t)}
+    assert sorted(names) == sorted(words)
+    whole = sum(len(v.units(t)) == 1 for t in texts if t)                # these are not looked for among the others
+    assert units.number.asked <= len(words) + whole < sum(map(len, numbers)) / 5
+
+
+def test_letters_behind_a_line_feed_have_the_ids_of_the_text():
+    v = align.Vocabularies(*FILES)
+    for word in ("alpha", "Éclair", "ñandú", "x", "zzzzqqqq", "ƛ", "don't", "a1", "ψυχή"):
+        assert v.ids_a("\n" + word) == v.a.encode("\n" + word, add_special_tokens=False).ids
+        assert v.ids_a(word) == v.a.encode(" " + word, add_special_tokens=False).ids
+
+
+def test_frequent_units_outlive_a_full_memory(monkeypatch):
+    v = align.Vocabularies(*FILES)
+    monkeypatch.setattr(align, "UNITS", 40)
+    units, whole = (align.Units(v, keep_pairs=True, groups=False) for _ in range(2))
+    learnt, learn = [], units.learn
+    units.learn = lambda names: (learnt.extend(names), learn(names))
+    texts, total = [f"often again, {chr(97 + k % 26) * (2 + k // 26)}" for k in range(120)], Counter()
+    uses = np.zeros(0, np.int64)
+    for k in range(0, len(texts), 10):
+        _, numbers = units.numbers(texts[k:k + 10])
+        uses = np.concatenate([uses, np.zeros(len(units.texts) - len(uses), np.int64)])
+        uses += np.bincount(units.flat(numbers)[0], minlength=len(uses))
+        if units.full:
+            total.update(dict(zip(*(x.tolist() for x in units.totals(uses)))))
+            units.shrink()
+            assert not units.full and {"often", "again", "\x01,"} == set(units.number) and len(units.texts) == 3
+            uses = np.zeros(len(units.texts), np.int64)
+            assert not len(units.totals(uses)[0])
+    total.update(dict(zip(*(x.tolist() for x in units.totals(uses)))))
+    own = whole.flat(whole.numbers(texts)[1])[0]
+    assert total == Counter(dict(zip(*(x.tolist() for x in whole.totals(np.bincount(own, minlength=len(whole.texts)))))))
+    assert len(learnt) == len(set(learnt)) == 123
+
+
+@pytest.mark.parametrize("bounds", [{"UNITS": 60}, {"UNIT_BYTES": 500}, {"GROUP_CHARS": 200}])
+def test_alignment_with_a_small_memory(monkeypatch, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(align, name, value)
+    v, texts = align.Vocabularies(*FILES), [t for _, t in odd_rows()[:300]]
+    units, shrunk = align.Units(v), 0
+    for k in range(0, len(texts), 20):
+        rows, numbers = units.numbers(texts[k:k + 20])
+        own, starts, good = units.flat(numbers)
+        sums = np.add.reduceat(units.sums[own], starts, axis=0)
+        for i, of, fine, s in zip(rows, numbers, good.tolist(), sums.tolist()):
+            found = walked(texts[k + i], v)
+            assert fine == (found is not None)
+            if fine:
+                assert b"".join(map(units.texts.__getitem__, of.tolist()))[:-1].decode() == ";".join(found[2])
+                assert s[:4] == [len(found[0]), len(found[1]), len(found[2]), len(found[3])]
+        if units.full:
+            units.shrink()
+            shrunk += 1
+    assert shrunk or "GROUP_CHARS" in bounds
+
+
 def test_perfect_hash_is_minimal_and_verifies():
     r = np.random.default_rng(1)
     for n in (0, 1, 2, 63, 5000):
