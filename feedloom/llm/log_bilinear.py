@@ -10,7 +10,8 @@ count, every word half a count more and half a count for what was never seen,
 so the probabilities of all words after any context sum to one.
 
 1. Word counts of the training documents: added up in every task, then by word.
-2. Encoding: every document becomes the numbers of its outcomes. Words beyond
+2. Encoding: every document becomes the numbers of its outcomes. Arrow cuts the
+   texts, and the distinct words of a step are looked up once. Words beyond
    the ``COMMON`` most frequent ones (whose counts every task holds) are kept
    with the document and meet their counts in a join.
 3. Training by noise-contrastive estimation in numpy: a task goes through its
@@ -20,7 +21,8 @@ so the probabilities of all words after any context sum to one.
    tree of sums. Every training token is used once.
 4. Scoring: matrix products over batches of contexts give the log-odds of all
    outcomes; subtracting the logarithm of the sum of their exponentials
-   normalises them. Every token of every text is scored.
+   normalises them. That sum depends on the context alone, so a task works it
+   out once for contexts that it remembers. Every token of every text is scored.
 
 Defined results: a null text is empty, and a text without words has its end
 only; repeated rows are scored each by itself (and count each in training); a
@@ -29,16 +31,16 @@ model is its starting point; other columns are ignored."""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import bytes_list, gives_back, stored, workers_ready
+from feedloom.llm.common import gives_back, stored, workers_ready
 from feedloom.llm.tree_sum import DDL, chunks, tree_sum
 
 HEAD = 191
@@ -53,15 +55,34 @@ BATCH = 2048
 ROUNDS = 4
 RATE = 0.15
 BUFFER = 65_536
-SCORED = 1024
-WORDS = 300_000
+SCORED = 512
+SLOTS = 1 << 21
+STEP_BYTES = 4 << 20
 
 END = b""                                                       # no word is empty
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """Lower-cased (A-Z) words between ASCII white space."""
-    return text.lower().split() if text else []
+def tokens_of(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array]]:
+    """Steps of some ``STEP_BYTES`` of a column of texts: (first row, the
+    first token of each text and the number of tokens, tokens as numbers of
+    distinct words, these words). Tokens are the lower-cased (A-Z) words between
+    ASCII white space, and the end of each text; a null text is empty."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(texts):
+        done = upto[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(upto, done + STEP_BYTES, "right")))
+        step = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(first, last - first), pa.scalar("", texts.type))))
+        # What follows the blank at the end of a text is empty, as is all of an empty text: its end.
+        ended = pc.binary_join_element_wise(step, *(pa.scalar(x, step.type) for x in ("", " ")))
+        step = pc.if_else(pc.equal(pc.binary_length(step), 0), step, ended)
+        cut = pc.ascii_split_whitespace(step)
+        coded = cut.flatten().dictionary_encode()
+        starts = cut.offsets.to_numpy().astype(np.int64)
+        words = coded.dictionary
+        yield (first, starts - starts[0], coded.indices.to_numpy(),
+               words.cast(pa.large_binary() if pa.types.is_large_string(words.type) else pa.binary()).cast(pa.binary()))
+        first = last
 
 
 def held_out(id_col: Column, folds: int = 5, fold: int = 1) -> Column:
@@ -72,20 +93,24 @@ def held_out(id_col: Column, folds: int = 5, fold: int = 1) -> Column:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over (text) rows; the end of each text counts as a token."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+    def added(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).combine_chunks()
+        return pa.RecordBatch.from_arrays([t[x].chunk(0) for x in ("word", "c_sum")], names=["word", "c"])
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()),
-                                               pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            for text in bytes_list(b.column(0)):
-                counts.update(words_of(text))
-                counts[END] += 1
-                if len(counts) > FLUSH:
-                    yield out()
-                    counts.clear()
-        yield out()
+            for _, _, numbers, words in tokens_of(b.column(0)):
+                held.append(pa.RecordBatch.from_arrays([words, pa.array(np.bincount(numbers, minlength=len(words)))],
+                                                       names=["word", "c"]))
+                size += len(words)
+                if size > 2 * FLUSH:
+                    held = [added(held)]
+                    if (size := held[0].num_rows) > FLUSH:
+                        yield held[0]
+                        held, size = [], 0
+        if held:
+            yield added(held)
 
     return stored(docs.select("text").mapInArrow(gives_back(run), "word binary, c bigint")
                   .groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
@@ -110,9 +135,6 @@ class Outcomes:
     def size(self) -> int:
         return len(self.counts)
 
-    def number(self, word: bytes) -> int:
-        return self.endings.get(_ending(word), self.size - 1)
-
 
 def least_count(words: DataFrame, most: int) -> int:
     """The least count that at most ``most`` words reach: counts are looked at
@@ -156,27 +178,34 @@ def outcomes(counts: DataFrame, head: int = HEAD, classes: int = CLASSES, common
         held | dict(top) | {END: each[-1]}, total.n, total.v)
 
 
-class Numbers(dict):
-    """word -> outcome; words of classes are remembered up to ``WORDS``."""
+class Lookup:
+    """Outcomes and counts of distinct words."""
 
     def __init__(self, o: Outcomes):
-        super().__init__({w: i for i, w in enumerate(o.head)})
-        self.outcomes, self.fixed = o, len(o.head)
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS:
-            head = dict(zip(self.outcomes.head, range(self.fixed)))
-            self.clear()
-            self.update(head)
-        self[word] = out = self.outcomes.number(word)
-        return out
+        self.outcomes = o
+        self.head, self.common = pa.array(o.head, pa.binary()), pa.array(list(o.common), pa.binary())
+        self.endings = pa.array(list(o.endings), pa.string())
+        self.of_ending = np.array([*o.endings.values(), o.size - 1])
+        self.logs = np.append(np.log10(np.array(list(o.common.values()), np.float64) + 0.5), np.nan)
 
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The outcome of each word."""
+        try:
+            text = words.cast(pa.string())                  # refuses what is not UTF-8
+            ending = pc.utf8_slice_codeunits(text, start=-SUFFIX)
+        except pa.ArrowInvalid:
+            ending = pa.array([_ending(w) for w in words.to_pylist()], pa.string())
+        top = _index(words, self.head)
+        return np.where(top >= 0, top, self.of_ending[_index(ending, self.endings)]).astype(np.uint16)
 
-class Logs(dict):
-    """word -> log10(c + 0.5) of the common words; nan for any other."""
+    def log_counts(self, words: pa.Array) -> np.ndarray:
+        """log10(c + 0.5) of the common words; nan for any other."""
+        return self.logs[_index(words, self.common)]
 
-    def __missing__(self, word: bytes) -> float:
-        return np.nan
+
+def _index(values: pa.Array, among: pa.Array) -> np.ndarray:
+    """The place of each value, -1 where it is missing."""
+    return pc.fill_null(pc.index_in(values, among), -1).to_numpy(zero_copy_only=False)
 
 
 ENCODED = ("doc_id bigint, held_out boolean, n_tokens bigint, ids binary, head_log double, tail_log double, "
@@ -188,29 +217,30 @@ def encoded(docs: DataFrame, o: Outcomes) -> DataFrame:
     log10(c + 0.5) over the words of the head and over other words of known
     count, and the words to be looked up."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, head = Numbers(o), len(o.head)
-        logs = Logs((w, float(np.log10(c + 0.5))) for w, c in o.common.items())
+        lookup, head = Lookup(o), len(o.head)
         for b in batches:
-            ids, n, first, own, inside, known, rare, times = [], [], [], [], [], [], [], []
-            for text in bytes_list(b.column(2)):
-                words = words_of(text)
-                words.append(END)
-                at = np.fromiter(map(number.__getitem__, words), np.uint16, len(words))
-                log = np.fromiter(map(logs.__getitem__, words), np.float64, len(words))
-                missing = np.flatnonzero(np.isnan(log))
-                log[missing] = 0
-                top = at < head
-                counted = Counter([words[i] for i in missing.tolist()])
-                ids.append(at.tobytes()), n.append(len(words)), known.append(len(words) - len(missing))
-                first.append(float(log[top].sum())), own.append(float(log[~top].sum())), inside.append(float(o.shares[at].sum()))
-                rare.append(list(counted.keys())), times.append(list(counted.values()))
-            if not o.counts[head - 1]:                      # the end was never seen in training
-                known = [k - 1 for k in known]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(first, pa.float64()),
-                 pa.array(own, pa.float64()), pa.array(inside, pa.float64()), pa.array(known, pa.int64()), pa.array(rare, pa.list_(pa.binary())),
-                 pa.array(times, pa.list_(pa.int32()))],
-                names=["doc_id", "held_out", "n_tokens", "ids", "head_log", "tail_log", "class_log", "known", "rare", "times"])
+            for row, starts, tokens, words in tokens_of(b.column(2)):
+                number, log, n = lookup.numbers(words), lookup.log_counts(words), len(starts) - 1
+                unknown, top = np.isnan(log), number < head
+                log[unknown] = 0
+
+                def total(of_word: np.ndarray) -> np.ndarray:
+                    return np.add.reduceat(of_word[tokens], starts[:-1])         # no text is without a token
+                missing = np.flatnonzero(unknown[tokens])
+                text = np.searchsorted(starts, missing, "right") - 1
+                pairs, times = np.unique(text * len(words) + tokens[missing], return_counts=True)
+                each = pa.array(np.searchsorted(pairs, np.arange(n + 1) * len(words)), pa.int32())
+                known = np.diff(starts) - np.bincount(text, minlength=n)
+                if not o.counts[head - 1]:                  # the end was never seen in training
+                    known = known - 1
+                ids = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * starts).astype(np.int32)),
+                                                             pa.py_buffer(number[tokens])])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(row, n), b.column(1).slice(row, n), pa.array(np.diff(starts)), ids,
+                     pa.array(total(np.where(top, log, 0))), pa.array(total(np.where(top, 0, log))), pa.array(total(o.shares[number])),
+                     pa.array(known), pa.ListArray.from_arrays(each, words.take(pa.array(pairs % len(words)))),
+                     pa.ListArray.from_arrays(each, pa.array(times, pa.int32()))],
+                    names=["doc_id", "held_out", "n_tokens", "ids", "head_log", "tail_log", "class_log", "known", "rare", "times"])
 
     rows = docs.mapInArrow(gives_back(run), ENCODED).withColumn("row", F.monotonically_increasing_id())
     return stored(rows, "encoded")
@@ -250,31 +280,61 @@ class Model:
     def predicted(self, before: np.ndarray) -> np.ndarray:
         return np.einsum("bod,od->bd", self.context[before], self.weight)
 
-    def log_probabilities(self, words: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Natural logarithm of the normalised probability of each word. The
-        bias is a further coordinate of the output vectors, so one product
-        gives all log-odds of a batch."""
+    def log_probabilities(self, words: np.ndarray, before: np.ndarray, seen: Seen | None = None) -> np.ndarray:
+        """Natural logarithm of the normalised probability of each word.
+        ``seen`` holds log sums of this model from call to call."""
+        odds = self.bias[words].astype(np.float64)
+        for k in range(self.order):
+            odds += (self.context * self.weight[k] @ self.output.T)[before[:, k], words]
+        return odds - (Seen(0) if seen is None else seen).log_sums(self, before)
+
+    def log_sums(self, before: np.ndarray) -> np.ndarray:
+        """Logarithm of the sum of the exponentials of all log-odds after each
+        context. The bias is a further coordinate of the output vectors, so one
+        product gives all log-odds of a batch."""
         near = [self.context * w for w in self.weight]
         vectors = np.concatenate([self.output, self.bias[:, None]], axis=1)
         longest = float(np.sqrt((self.output ** 2).sum(axis=1).max())) if self.size else 0.0
         top, ones = float(np.abs(self.bias).max()), np.ones(self.size, np.float32)
-        guess, out = np.ones((SCORED, self.width + 1), np.float32), np.empty(len(words))
+        guess, out = np.ones((SCORED, self.width + 1), np.float32), np.empty(len(before))
         odds = np.empty((SCORED, self.size), np.float32)
-        for i in range(0, len(words), SCORED):
-            w, n = words[i:i + SCORED], min(SCORED, len(words) - i)
+        for i in range(0, len(before), SCORED):
+            n = min(SCORED, len(before) - i)
             g, o = guess[:n], odds[:n]
             np.take(near[0], before[i:i + n, 0], axis=0, out=(part := np.empty((n, self.width), np.float32)))
             for k in range(1, self.order):
                 part += near[k][before[i:i + n, k]]
             g[:, :-1] = part
             np.matmul(g, vectors.T, out=o)
-            own = np.einsum("bd,bd->b", g, vectors[w]).astype(np.float64)
             shift = 0.0
             if longest * float(np.sqrt((part * part).sum(axis=1).max())) + top > 60:       # else no exponential overflows
                 shift = o.max(axis=1)
                 o -= shift[:, None]
             np.exp(o, out=o)
-            out[i:i + n] = own - shift - np.log((o @ ones).astype(np.float64))
+            out[i:i + n] = shift + np.log((o @ ones).astype(np.float64))
+        return out
+
+
+class Seen:
+    """Log sums of contexts met before, by context; of several contexts of
+    one slot the latest stays."""
+
+    def __init__(self, slots: int = SLOTS):
+        self.keys, self.sums = np.full(slots, -1, np.int64), np.empty(slots)
+
+    def log_sums(self, model: Model, before: np.ndarray) -> np.ndarray:
+        key = before @ ((model.size + 1) ** np.arange(model.order))      # 16-bit outcomes: three of them fit
+        out, new = np.empty(len(key)), np.arange(len(key))
+        if len(self.keys):
+            slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(len(self.keys))
+            met = self.keys[slot] == key
+            out[met], new = self.sums[slot[met]], np.flatnonzero(~met)
+        distinct, first, back = np.unique(key[new], return_index=True, return_inverse=True)
+        sums = model.log_sums(before[new[first]])
+        out[new] = sums[back]
+        if len(self.keys):
+            at = slot[new[first]]
+            self.keys[at], self.sums[at] = distinct, sums
         return out
 
 
@@ -282,11 +342,9 @@ def noise_of(counts: np.ndarray) -> np.ndarray:
     return (counts + 0.5) / (counts.sum() + 0.5 * len(counts))
 
 
-def _scatter(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Sums of value rows by row number."""
-    width = values.shape[1]
-    at = (rows[:, None] * width + np.arange(width)).ravel()
-    return np.bincount(at, values.ravel(), size * width).reshape(size, width)
+def _scatter(rows: np.ndarray, values: list[np.ndarray], size: int) -> np.ndarray:
+    """Sums by row number of values that come column by column."""
+    return np.stack([np.bincount(rows, v, size) for v in values], axis=1)
 
 
 class Trainer:
@@ -299,6 +357,7 @@ class Trainer:
         self.noise = noise_of(counts)
         self.upto = np.cumsum(self.noise)
         self.log_noise = np.log(NOISE * self.noise).astype(np.float32)
+        self.odds = np.empty((BATCH, NOISE), np.float32)
 
     def learn(self, ids: list[bytes]) -> None:
         words, before = contexts(ids, self.model.size, self.model.order)
@@ -311,19 +370,23 @@ class Trainer:
     def step(self, words: np.ndarray, before: np.ndarray) -> None:
         m = self.model
         drawn = np.minimum(np.searchsorted(self.upto, self.random.random(NOISE)), m.size - 1)
-        near = m.context[before]                                            # batch, order, width
+        near = np.take(m.context, before, axis=0)                           # batch, order, width
         guess = np.einsum("bod,od->bd", near, m.weight)
         own, other = m.output[words], m.output[drawn]
         true = np.einsum("bd,bd->b", guess, own) + m.bias[words] - self.log_noise[words]
-        false = guess @ other.T + (m.bias[drawn] - self.log_noise[drawn])
+        false = np.matmul(guess, other.T, out=self.odds[:len(words)])
+        false += m.bias[drawn] - self.log_noise[drawn]
         d_true = -1 / (1 + np.exp(np.clip(true, -30, 30)))
-        d_false = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
+        np.negative(np.clip(false, -30, 30, out=false), out=false)
+        np.exp(false, out=false)
+        false += 1
+        d_false = np.divide(1, false, out=false)
         d_guess = d_true[:, None] * own + d_false @ other
         self.move("output", _scatter(np.concatenate([words, drawn]),
-                                     np.concatenate([d_true[:, None] * guess, d_false.T @ guess]), m.size))
+                                     [np.concatenate(x) for x in zip((d_true[:, None] * guess).T, (d_false.T @ guess).T)], m.size))
         self.move("bias", np.bincount(np.concatenate([words, drawn]),
                                       np.concatenate([d_true, d_false.sum(axis=0)]), m.size))
-        self.move("context", _scatter(before.ravel(), (d_guess[:, None, :] * m.weight).reshape(-1, m.width), m.size + 1))
+        self.move("context", _scatter(before.ravel(), [(d[:, None] * w).ravel() for d, w in zip(d_guess.T, m.weight.T)], m.size + 1))
         self.move("weight", np.einsum("bd,bod->od", d_guess, near))
 
     def move(self, name: str, gradient: np.ndarray) -> None:
@@ -373,7 +436,7 @@ def sequence_logs(rows: DataFrame, model: Model) -> DataFrame:
     keep = ["row", "doc_id", "held_out", "n_tokens", "head_log", "tail_log", "class_log", "known"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(size, flat=flat)
+        own, seen = Model(size, flat=flat), Seen()
         for b in batches:
             texts = b.column(len(keep)).to_pylist()
             logs, start, held = np.zeros(len(texts)), 0, 0
@@ -382,7 +445,7 @@ def sequence_logs(rows: DataFrame, model: Model) -> DataFrame:
                 if held >= BUFFER or i + 1 == len(texts):
                     part = texts[start:i + 1]
                     ends = np.cumsum([len(t) // 2 for t in part])
-                    each = own.log_probabilities(*contexts(part, size, own.order))
+                    each = own.log_probabilities(*contexts(part, size, own.order), seen)
                     logs[start:i + 1] = np.add.reduceat(each, ends - [len(t) // 2 for t in part])
                     start, held = i + 1, 0
             yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(logs / np.log(10))],

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -447,6 +448,53 @@ def test_gradients_are_those_of_the_loss(monkeypatch):
         assert got[i] == pytest.approx((loss(flat + e) - loss(flat - e)) / 2e-5, rel=1e-3, abs=1e-3)
 
 
+def test_distinct_words_are_cut_and_looked_up_once(monkeypatch):
+    """Against Python's own split; texts that are not UTF-8 too."""
+    texts = [None, b"", b" \t", b"\x0bA b\x0cB\x1ca  ba\r\n", "Ün ÉBA\u2003ba \x85".encode(), b"ba " * 400, b"b\xffa \xff\xfe ba", b"x"] * 2
+    lengths = [len(t or b"") for t in texts]
+    column = pa.Array.from_buffers(pa.string(), len(texts), [
+        pa.py_buffer(np.packbits([t is not None for t in texts], bitorder="little")),
+        pa.py_buffer(np.cumsum([0, *lengths]).astype(np.int32)), pa.py_buffer(b"".join(t or b"" for t in texts))])
+    o = log_bilinear.Outcomes([b"ba", log_bilinear.END], {"a": 2, "BA": 3, "ba": 4, "\ufffda": 5}, np.array([9, 9, 3, 2, 2, 1, 1]),
+                              np.zeros(7), {b"ba": 9, log_bilinear.END: 9, b"a": 3}, 27, 9)
+    lookup, asked = log_bilinear.Lookup(o), 0
+    for step in (1 << 20, 500, 1):
+        monkeypatch.setattr(log_bilinear, "STEP_BYTES", step)
+        at = 0
+        for first, starts, tokens, words in log_bilinear.tokens_of(column):
+            assert first == at and len(set(words.to_pylist())) == len(words)
+            numbers, logs, asked = lookup.numbers(words), lookup.log_counts(words), asked + len(words)
+            for a, b in zip(starts[:-1], starts[1:]):
+                want = [*(texts[at] or b"").lower().split(), b""]
+                assert [words[i].as_py() for i in tokens[a:b].tolist()] == want
+                ends = [w.decode("utf-8", "replace")[-2:] for w in want]
+                assert numbers[tokens[a:b]].tolist() == [o.head.index(w) if w in o.head else o.endings.get(e, 6) for w, e in zip(want, ends)]
+                assert np.array_equal(logs[tokens[a:b]], [math.log10(o.common[w] + .5) if w in o.common else math.nan for w in want], equal_nan=True)
+                at += 1
+        assert at == len(texts)
+        if step > 500:
+            assert asked == len({w for t in texts for w in [*(t or b"").lower().split(), b""]})
+
+
+def test_log_sums_are_worked_out_once_a_context(monkeypatch):
+    r = np.random.default_rng(4)
+    m = log_bilinear.Model.start(r.integers(0, 50, 7))
+    ids = [r.integers(0, 7, n).astype(np.uint16).tobytes() for n in (1, 900, 0, 2000)]
+    words, before = log_bilinear.contexts(ids, m.size, m.order)
+    each = np.concatenate([m.log_probabilities(words[i:i + 1], before[i:i + 1]) for i in range(len(words))])
+    worked, plain = [], log_bilinear.Model.log_sums
+    monkeypatch.setattr(log_bilinear.Model, "log_sums", lambda self, b: worked.extend(map(tuple, b.tolist())) or plain(self, b))
+    for slots in (0, 1, 5, 1 << 12):                                # few slots: contexts take each other's place
+        seen = log_bilinear.Seen(slots)
+        worked.clear()
+        for part in (slice(0, 1500), slice(1500, None)):
+            assert m.log_probabilities(words[part], before[part], seen) == pytest.approx(each[part], abs=1e-5)
+        assert len(worked) < len(words) / 2 and set(worked) == set(map(tuple, before.tolist()))
+    worked.clear()
+    seen.log_sums(m, before)
+    assert len(worked) < 0.2 * len(set(map(tuple, before.tolist())))
+
+
 def test_language_model_of_nothing(spark):
     empty = docs_of(spark, [(1, "a")]).where("false")
     assert log_bilinear.scores(empty).collect() == []
