@@ -280,38 +280,46 @@ class Model:
     def predicted(self, before: np.ndarray) -> np.ndarray:
         return np.einsum("bod,od->bd", self.context[before], self.weight)
 
+    def guesses(self, before: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        """The predicted vectors of ``SCORED`` contexts at a time (the memory
+        is used again), and a one that takes the bias."""
+        near = [self.context * w for w in self.weight]
+        guess = np.ones((SCORED, self.width + 1), np.float32)
+        for i in range(0, len(before), SCORED):
+            n = min(SCORED, len(before) - i)
+            part = np.take(near[0], before[i:i + n, 0], axis=0)
+            for k in range(1, self.order):
+                part += np.take(near[k], before[i:i + n, k], axis=0)
+            guess[:n, :-1] = part
+            yield slice(i, i + n), guess[:n]
+
+    @property
+    def vectors(self) -> np.ndarray:
+        """The output vectors, with the bias as a further coordinate."""
+        return np.concatenate([self.output, self.bias[:, None]], axis=1)
+
     def log_probabilities(self, words: np.ndarray, before: np.ndarray, seen: Seen | None = None) -> np.ndarray:
         """Natural logarithm of the normalised probability of each word.
         ``seen`` holds log sums of this model from call to call."""
-        odds = self.bias[words].astype(np.float64)
-        for k in range(self.order):
-            odds += (self.context * self.weight[k] @ self.output.T)[before[:, k], words]
-        return odds - (Seen(0) if seen is None else seen).log_sums(self, before)
+        vectors, own = self.vectors, np.empty(len(words))
+        for at, g in self.guesses(before):
+            own[at] = np.einsum("bd,bd->b", g, np.take(vectors, words[at], axis=0))
+        return own - (Seen(0) if seen is None else seen).log_sums(self, before)
 
     def log_sums(self, before: np.ndarray) -> np.ndarray:
         """Logarithm of the sum of the exponentials of all log-odds after each
-        context. The bias is a further coordinate of the output vectors, so one
-        product gives all log-odds of a batch."""
-        near = [self.context * w for w in self.weight]
-        vectors = np.concatenate([self.output, self.bias[:, None]], axis=1)
+        context; one product gives all log-odds of a batch."""
+        vectors, out = self.vectors, np.empty(len(before))
         longest = float(np.sqrt((self.output ** 2).sum(axis=1).max())) if self.size else 0.0
         top, ones = float(np.abs(self.bias).max()), np.ones(self.size, np.float32)
-        guess, out = np.ones((SCORED, self.width + 1), np.float32), np.empty(len(before))
         odds = np.empty((SCORED, self.size), np.float32)
-        for i in range(0, len(before), SCORED):
-            n = min(SCORED, len(before) - i)
-            g, o = guess[:n], odds[:n]
-            np.take(near[0], before[i:i + n, 0], axis=0, out=(part := np.empty((n, self.width), np.float32)))
-            for k in range(1, self.order):
-                part += near[k][before[i:i + n, k]]
-            g[:, :-1] = part
-            np.matmul(g, vectors.T, out=o)
-            shift = 0.0
-            if longest * float(np.sqrt((part * part).sum(axis=1).max())) + top > 60:       # else no exponential overflows
+        for at, g in self.guesses(before):
+            o, shift = np.matmul(g, vectors.T, out=odds[:len(g)]), 0.0
+            if longest * float(np.sqrt((g[:, :-1] ** 2).sum(axis=1).max())) + top > 60:    # else no exponential overflows
                 shift = o.max(axis=1)
                 o -= shift[:, None]
             np.exp(o, out=o)
-            out[i:i + n] = shift + np.log((o @ ones).astype(np.float64))
+            out[at] = shift + np.log((o @ ones).astype(np.float64))
         return out
 
 
